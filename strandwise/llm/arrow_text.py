@@ -118,3 +118,28 @@ def slices(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts - starts, counts)
+
+
+def sequence_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run h[start:end] of word hashes."""
+    if not len(start):
+        return np.zeros(0, U64)
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(mix(h) * powers(len(h), _BASE), out=total[1:])
+    return mix((total[end] - total[start]) * powers(len(h) + 1, _INVERSE)[start] ^ (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+
+
+def column(rb: pa.RecordBatch, name: str) -> pa.Array:
+    return rb.column(rb.schema.get_field_index(name))
+
+
+def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    """A record batch of arrays, cast to the schema where they are numpy's."""
+    made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+
+
+def arrow_schema(df_schema) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df_schema)

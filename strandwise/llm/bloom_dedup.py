@@ -28,7 +28,11 @@ def _bits(sha: Column, m: int) -> list[Column]:
 
 def repeated_bits(digests: DataFrame, m: int) -> DataFrame:
     """(word, mask): the bits that two or more rows set, 64 to a row; m / 64 rows at most."""
-    bit = digests.select(F.explode(F.array(*_bits(F.col("text_sha256"), m))).alias("bit"))
+    return repeated_bits_of(digests.select(F.explode(F.array(*_bits(F.col("text_sha256"), m))).alias("bit")), m)
+
+
+def repeated_bits_of(bit: DataFrame, m: int) -> DataFrame:
+    """(word, mask) of the bits that occur twice or more among m."""
     twice = bit.groupBy("bit").agg(F.count("*").alias("n")).where("n >= 2")
     one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     return twice.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("mask"))

@@ -27,6 +27,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # shuffle files of finished stages are removed only when the driver collects garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
