@@ -92,7 +92,7 @@ def frequent_slots(docs: DataFrame, slots: int) -> np.ndarray:
 
 
 def _digests(hot: np.ndarray, shift: int, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in A.chunks(batches, "text"):
@@ -100,7 +100,7 @@ def _digests(hot: np.ndarray, shift: int, id_type: pa.DataType):
             n = np.diff(first)
             keep = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
             pre = tok[A.slices(first[:-1], keep)]
-            yield A.batch(schema, A.column(rb, "doc_id"), n, _spread(tok, first, 1).view(np.int64), _spread(tok, first, 2).view(np.int64), A.ragged(pre.view(np.int64), keep))
+            yield A.batch(schema, A.column(rb, "doc_id"), A.column(rb, "tie"), n, _spread(tok, first, 1).view(np.int64), _spread(tok, first, 2).view(np.int64), A.ragged(pre.view(np.int64), keep))
 
     return run
 
@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, hot: np.ndarra
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+    """(doc_id, n_shingles, component_id, tie) for each row of docs; tie is xxhash64 of the text.
 
     Words are runs of anything but ASCII white space with A-Z lower-cased; a set holds the distinct shingles of
     WIDTH words, or the whole sequence if shorter. Null, empty and blank texts have no shingles and are
@@ -158,8 +158,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shift = 64 - (slots.bit_length() - 1)
     hot = frequent_slots(docs, slots)
     id_type = A.arrow_schema(docs.schema).field("doc_id").type
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, prefix array<bigint>"
-    rows = materialize(docs.mapInArrow(_digests(hot, shift, id_type), out), "digests")
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint, prefix array<bigint>"
+    rows = materialize(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(hot, shift, id_type), out), "digests")
     # rows with equal sets are one node
     nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -183,14 +183,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "named")
-    full = rows.where("n_shingles > 0").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = rows.where("n_shingles > 0").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id", "tie")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tie"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component left: the one whose doc_id names it.
+    """docs with one document of each component left: the one whose doc_id names it, with all of its equal rows.
 
     Rows without shingles are linked with nothing and stay, as do rows that reach only null doc_ids.
     """
-    named = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(named, "dropped"), "doc_id", "left_anti")
+    named = jaccard_components(docs).where("component_id is not null and not (doc_id <=> component_id)")
+    gone = materialize(named.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "dropped")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left_anti")

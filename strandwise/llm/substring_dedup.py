@@ -27,8 +27,9 @@ WINDOW, GRAM = 20, 8
 #: Entries of one minimizer that are still dealt to one shard.
 HOT = 200
 #: Words of a shard, about.
-SHARD_WORDS = 400_000
-LANES = 16_384
+SHARD_WORDS = 200_000
+#: Entries that are searched, or cut out of texts, at once.
+LANES, BLOCK = 8_192, 4_096
 
 
 class FMIndex:
@@ -187,8 +188,9 @@ def _pick(id_type: pa.DataType):
             flat = want.flatten()
             s0, n, key, hot = (np.asarray(flat.field(i)) for i in range(4))
             a = first[row] + s0
-            cold = np.flatnonzero(~hot)
-            if len(cold):
+            colds = np.flatnonzero(~hot)
+            for i in range(0, len(colds), BLOCK):
+                cold = colds[i : i + BLOCK]
                 # the words of each segment, one after the other with one space between
                 words = A.slices(a[cold], n[cold])
                 size = end[words] - start[words] + 1
@@ -198,8 +200,9 @@ def _pick(id_type: pa.DataType):
                 text = pa.LargeStringArray.from_buffers(len(cold), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
                 r = pa.array(row[cold])
                 yield A.batch(schema, A.column(rb, "doc_id").take(r), A.column(rb, "tie").take(r), s0[cold], key[cold], text)
-            warm = np.flatnonzero(hot)
-            if len(warm):
+            warms = np.flatnonzero(hot)
+            for i in range(0, len(warms), BLOCK):
+                warm = warms[i : i + BLOCK]
                 count = n[warm] - WINDOW + 1
                 w = A.slices(a[warm], count)
                 r = np.repeat(row[warm], count)
