@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import arrow_text as A
-from .unit_coding import coded
+from .unit_coding import Known, coded
 
 SPACE = "▁"
 #: Units that are indexed together.
@@ -209,9 +209,9 @@ def pieces(path: str) -> Pieces:
 
 
 @lru_cache(2)
-def _known(path: str) -> dict[bytes, bytes]:
+def _known(path: str) -> Known:
     """The units a worker remembers, from one task to the next."""
-    return {}
+    return Known("<u2" if len(pieces(path).rank) <= 1 << 16 else "<u4")
 
 
 def units_of(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
