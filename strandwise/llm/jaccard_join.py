@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,10 @@ from .store import materialize
 WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
-#: Slots of the frequency sketch: a slot for each SLOT_ROWS documents, within these bounds.
-MIN_SLOTS, MAX_SLOTS, SLOT_ROWS = 1 << 14, 1 << 20, 4
-FRAGMENT_BITS = 3
+#: Slots of the frequency sketch, and the counts from which a slot is of level 1, 2 and 3 of the order.
+SLOT_BITS, LEVELS = 22, (12, 64, 1024)
+#: Fragments: the level and three bits of hash.
+FRAGMENT_BITS = 5
 
 
 def _shingles(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +48,10 @@ def _shingles(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return g[ok], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _sets(rb: pa.RecordBatch, hot: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, first): distinct tokens of each row in the global order; a frequent shingle's token has the top bit."""
+def _sets(rb: pa.RecordBatch, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, first): distinct tokens of each row in the global order; the top two bits are the shingle's level."""
     g, first = _shingles(rb)
-    tok = (g >> A.U64(1)) | (hot[g >> A.U64(shift)].astype(A.U64) << A.U64(63))
+    tok = (g >> A.U64(2)) | (level[g >> A.U64(64 - SLOT_BITS)].astype(A.U64) << A.U64(62))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         tok[a:b].sort()
     new = np.ones(len(tok), bool)
@@ -65,38 +67,38 @@ def _spread(tok: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return s[first[1:]] - s[first[:-1]]
 
 
-def frequent_slots(docs: DataFrame, slots: int) -> np.ndarray:
-    """Which slots of the sketch hold a frequent shingle: six standard deviations of an even share above it.
+def slot_levels(docs: DataFrame) -> np.ndarray:
+    """The level of each slot of the sketch: how frequent its shingles are, 0 for most.
 
-    It only moves shingles to the end of the order; results don't depend on it.
+    A task passes on the slots in which it has counted clearly more than an even share. Levels only move
+    shingles to the end of the order; results don't depend on them.
     """
-    shift = 64 - (slots.bit_length() - 1)
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int32)
         for rb in A.chunks(batches, "text"):
             g, _ = _shingles(rb)
-            total += np.bincount((g >> A.U64(shift)).astype(np.int64), minlength=slots)
-        at = np.flatnonzero(total)
+            slot, n = np.unique((g >> A.U64(64 - SLOT_BITS)).astype(np.int32), return_counts=True)
+            total[slot] += n.astype(np.int32)
+        mean = total.sum(dtype=np.int64) / len(total)
+        at = np.flatnonzero(total >= 2 + mean + 4 * mean**0.5)
         if len(at):
             yield A.batch(schema, at, total[at])
 
     sums = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    sums = materialize(sums, "sketch")
-    mean = (sums.agg(F.sum("n")).first()[0] or 0) / slots
-    over = sums.where(F.col("n") > mean + 6 * mean**0.5 + 16).select("slot").toPandas()["slot"]  # at most MAX_SLOTS numbers
-    hot = np.zeros(slots, bool)
-    hot[over.to_numpy(np.int64)] = True
-    return hot
+    over = sums.where(F.col("n") >= LEVELS[0]).toPandas()  # at most 2**SLOT_BITS rows
+    level = np.zeros(1 << SLOT_BITS, np.uint8)
+    level[over["slot"].to_numpy(np.int64)] = np.searchsorted(LEVELS, over["n"].to_numpy(np.int64), "right")
+    return level
 
 
-def _digests(hot: np.ndarray, shift: int, id_type: pa.DataType):
+def _digests(level: Broadcast, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in A.chunks(batches, "text"):
-            tok, first = _sets(rb, hot, shift)
+            tok, first = _sets(rb, level.value)
             n = np.diff(first)
             keep = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
             pre = tok[A.slices(first[:-1], keep)]
@@ -105,12 +107,12 @@ def _digests(hot: np.ndarray, shift: int, id_type: pa.DataType):
     return run
 
 
-def _fragments(hot: np.ndarray, shift: int):
+def _fragments(level: Broadcast):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in A.chunks(batches, "text"):
-            tok, first = _sets(rb, hot, shift)
+            tok, first = _sets(rb, level.value)
             h1, h2 = (_spread(tok, first, s).view(np.int64) for s in (1, 2))
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             key = (row << FRAGMENT_BITS) | (tok >> A.U64(64 - FRAGMENT_BITS)).astype(np.int64)
@@ -122,7 +124,7 @@ def _fragments(hot: np.ndarray, shift: int):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, hot: np.ndarray, shift: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed per pair.
 
     Only the texts of documents in a pair are read again; both joins are plain sort-merge joins, which AQE splits at a hub.
@@ -134,7 +136,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, hot: np.ndarra
     ends = materialize(ends, "ends")
     ids = ends.select(F.col("first_id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_fragments(hot, shift), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>")
+    sets = texts.mapInArrow(_fragments(level), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>")
     sets = materialize(sets.join(ends.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "fragment", "tokens"), "sets")
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a")
     both = left.join(sets.withColumnsRenamed({"node": "b", "tokens": "tb"}), ["b", "fragment"])
@@ -154,31 +156,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Other columns of docs are not read. An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    slots = max(MIN_SLOTS, min(MAX_SLOTS, 1 << (docs.count() // SLOT_ROWS).bit_length()))
-    shift = 64 - (slots.bit_length() - 1)
-    hot = frequent_slots(docs, slots)
+    level = docs.sparkSession.sparkContext.broadcast(slot_levels(docs))  # 2**SLOT_BITS bytes
     id_type = A.arrow_schema(docs.schema).field("doc_id").type
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint, prefix array<bigint>"
-    rows = materialize(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(hot, shift, id_type), out), "digests")
+    rows = materialize(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(level, id_type), out), "digests")
     # rows with equal sets are one node
     nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    posts = nodes.select("node", F.explode("prefix").alias("token"))
-    lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    posts = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
     lists = materialize(lists, "lists")
     shared = materialize(posts.join(lists, "token"), "shared")
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, nodes, docs, hot, shift)
+    links = verified(stars, nodes, docs, level)
     member = components(links)
-    placed = shared.where("n > 2").join(member, "node", "left").select("token", "node", "hub", F.coalesce("component", "node").alias("component"))
+    placed = shared.where("met > 2").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = materialize(placed.join(split, "token", "left_semi"), "open")
-    x, y = (open_.select("token", F.col("node").alias(k), F.col("component").alias(f"c{k}"), "hub") for k in "ab")
-    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    x, y = (open_.select("token", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), "hub") for k in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    size = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
+    # what can still be shared from the first shared token on must be enough
+    enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
+    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & size & enough).select("a", "b").distinct()
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, nodes, docs, hot, shift))
+        links = links.unionByName(verified(rest, nodes, docs, level))
         member = components(links)
     named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
