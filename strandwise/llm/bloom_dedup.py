@@ -38,6 +38,13 @@ def repeated_bits_of(bit: DataFrame, m: int) -> DataFrame:
     return twice.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("mask"))
 
 
+def repeated_only(rows: DataFrame, key: str, bitmap: DataFrame, m: int) -> DataFrame:
+    """The rows whose key (a bigint) has its bit in the bitmap: all that occur twice or more, and few others."""
+    small = F.broadcast(bitmap)  # at most m / 64 <= 2**21 rows
+    held = rows.join(small, F.expr(f"pmod({key}, {m}) div 64 = word"))
+    return held.where(f"(shiftright(mask, cast(pmod({key}, {m}) % 64 as int)) & 1L) = 1").select(rows.columns)
+
+
 def bitmap_bits(n_rows: int) -> int:
     """16 to 32 bits a row, within the broadcast bound; beyond it more rows shuffle, results stay exact."""
     return max(MIN_BITS, min(MAX_BITS, 1 << (16 * max(1, n_rows)).bit_length()))

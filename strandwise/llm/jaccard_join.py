@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
+from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_only
 from .components import components
-from .store import materialize
+from .store import discard, materialize
 
 WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
@@ -132,7 +133,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadca
     size = nodes.select("node", "n_shingles")
     pairs = pairs.join(size.withColumnsRenamed({"node": "a", "n_shingles": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n_shingles": "nb"}), "b")
     pairs = materialize(pairs.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.drop("n_shingles", "prefix"), "node")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.drop("n_shingles"), "node")
     ends = materialize(ends, "ends")
     ids = ends.select(F.col("first_id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
@@ -163,10 +164,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # rows with equal sets are one node
     nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    wide, rows = rows, materialize(rows.drop("prefix"), "rows")
+    discard(wide)
     posts = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    m = bitmap_bits(nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    bitmap = materialize(repeated_bits_of(posts.select(F.pmod("token", F.lit(m)).alias("bit")), m), "bloom")
+    posts = materialize(repeated_only(posts, "token", bitmap, m), "posts")
+    wide, nodes = nodes, materialize(nodes.drop("prefix"), "nodes")
+    discard(wide)
     lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
     lists = materialize(lists, "lists")
     shared = materialize(posts.join(lists, "token"), "shared")
+    discard(posts)
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(stars, nodes, docs, level)
     member = components(links)

@@ -28,7 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     spark._jvm.System.gc()  # shuffle files of finished stages are removed only when the driver collects garbage
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialize() gave as df; what was computed from it and isn't stored can't be read any more."""
+    remove(df.sparkSession, df.stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .bloom_dedup import bitmap_bits, repeated_bits_of
-from .store import materialize
+from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_only
+from .store import discard, materialize
 
 WINDOW, GRAM = 20, 8
 #: Entries of one minimizer that are still dealt to one shard.
 HOT = 200
 #: Words of a shard, about.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 50_000
 #: Entries that are searched, or cut out of texts, at once.
 LANES, BLOCK = 8_192, 4_096
 
@@ -304,8 +304,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = materialize(keyed.mapInArrow(_cut(id_type), cut), "segments")
     m = bitmap_bits(rows.count())
     bitmap = materialize(repeated_bits_of(rows.select(F.pmod("anchor", F.lit(m)).alias("bit")), m), "bloom")
-    some = rows.join(F.broadcast(bitmap), F.expr(f"pmod(anchor, {m}) div 64 = word"), "left")  # at most m / 64 rows
-    some = materialize(some.where(F.expr(f"(shiftright(mask, cast(pmod(anchor, {m}) % 64 as int)) & 1L) = 1")).select(rows.columns), "repeated")
+    some = materialize(repeated_only(rows, "anchor", bitmap, m), "repeated")
+    discard(rows)
     place = F.struct("doc_id", "tie", "start")
     order = F.struct(F.col("doc_id").isNull().alias("none"), *[F.col(c) for c in ("doc_id", "tie", "start")])
     entries = some.groupBy("anchor", "seg", "n").agg(F.min(order).alias("first"), F.count("*").alias("copies"))

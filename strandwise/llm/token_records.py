@@ -26,7 +26,7 @@ from .unit_coding import Known, coded
 MASK = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BBq")
 #: Bytes of text that go to one file, about. A file is read whole by one task.
-FILE_TEXT_BYTES = 16 << 20
+FILE_TEXT_BYTES = 8 << 20
 SEPARATOR = "<|startoftext|>"
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from . import arrow_text as A
 
 #: Chunks that are encoded together, and units that a worker remembers (some 30 bytes each; then it learns no more).
-GROUP, REMEMBERED = 6, 2_000_000
+GROUP, REMEMBERED = 3, 1_000_000
 
 
 class Known:
