@@ -125,24 +125,29 @@ def _fragments(level: Broadcast):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, prefixes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed per pair.
 
-    Only the texts of documents in a pair are read again; both joins are plain sort-merge joins, which AQE splits at a hub.
+    The prefix is the first fragment: what two documents share beyond it is at most what the longer rest holds, so most
+    pairs end there. Of the others the texts are read again for the other fragments. All joins are plain
+    sort-merge joins, which AQE splits at a hub.
     """
-    size = nodes.select("node", "n_shingles")
-    pairs = pairs.join(size.withColumnsRenamed({"node": "a", "n_shingles": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n_shingles": "nb"}), "b")
-    pairs = materialize(pairs.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.drop("n_shingles"), "node")
-    ends = materialize(ends, "ends")
-    ids = ends.select(F.col("first_id").alias("__id")).distinct()
+    size = nodes.select("node", "n_shingles", "h1", "h2", "first_id").join(prefixes, "node")
+    for k in "ab":
+        pairs = pairs.join(size.withColumnsRenamed({"node": k, "n_shingles": f"n{k}", "h1": f"h1{k}", "h2": f"h2{k}", "first_id": f"id{k}", "tokens": f"p{k}"}), k)
+        if k == "a":
+            pairs = materialize(pairs, "halves")
+    rest = lambda n: F.ceil(F.col(n) * NUM / F.lit(DEN)) - 1
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("na"), rest("nb"))
+    able = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (most * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM)
+    pairs = materialize(pairs.where(able).drop("pa", "pb"), "pairs")
+    ids = pairs.select(F.col("ida").alias("__id")).union(pairs.select(F.col("idb").alias("__id"))).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_fragments(level), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>")
-    sets = materialize(sets.join(ends.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "fragment", "tokens"), "sets")
-    left = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a")
-    both = left.join(sets.withColumnsRenamed({"node": "b", "tokens": "tb"}), ["b", "fragment"])
+    sets = materialize(texts.mapInArrow(_fragments(level), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>"), "sets")
+    left = pairs.join(sets.withColumnsRenamed({"h1": "h1a", "h2": "h2a", "tokens": "ta"}), ["h1a", "h2a"])
+    both = left.join(sets.withColumnsRenamed({"h1": "h1b", "h2": "h2b", "tokens": "tb"}), ["h1b", "h2b", "fragment"])
     part = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
-    part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))  # a repeated row has the same sets
+    part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))  # equal rows have equal sets
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return materialize(total.where(F.col("overlap") * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b"), "links")
 
@@ -176,8 +181,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = materialize(lists, "lists")
     shared = materialize(posts.join(lists, "token"), "shared")
     discard(posts)
+    prefixes = materialize(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")), "prefixes")  # a prefix, or less
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, nodes, docs, level)
+    links = verified(stars, nodes, prefixes, docs, level)
     member = components(links)
     placed = shared.where("met > 2").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
@@ -191,7 +197,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & size & enough).select("a", "b").distinct()
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, nodes, docs, level))
+        links = links.unionByName(verified(rest, nodes, prefixes, docs, level))
         member = components(links)
     named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
