@@ -66,13 +66,17 @@ def block_ends(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(start, end, n): the greedy blocks of two or more loci, by a recursive query over the block ends."""
-    spark = pairs.sparkSession
-    chain = """
-WITH RECURSIVE e AS (SELECT x.pos, x.rank, coalesce(y.rank, m.last + 1) AS next FROM {ends} x LEFT JOIN {ends} y ON x.stop = y.pos CROSS JOIN (SELECT max(rank) AS last FROM {ends}) m),
-c(rank, next) AS (SELECT rank, next FROM e WHERE rank = 1 UNION ALL SELECT e.rank, e.next FROM e JOIN c ON e.rank = c.next)
-SELECT s.pos AS start_pos, t.pos AS end_pos, CAST(c.next - c.rank AS bigint) AS n FROM c JOIN e s ON s.rank = c.rank JOIN e t ON t.rank = c.next - 1 WHERE c.next - c.rank >= 2"""
-    return spark.sql(chain, ends=block_ends(pairs, threshold).persist())  # a row a locus, read in each round
+    """(start_pos, end_pos, n): the greedy blocks of two or more loci. One row holds the loci of the request; a fold over
+    them walks from each block's first locus to the next block's."""
+    ends = block_ends(pairs, threshold)
+    stops = ends.select(F.col("pos").alias("stop"), F.col("rank").alias("next"))
+    chain = ends.join(stops, "stop", "left").agg(F.sort_array(F.collect_list(F.struct("rank", "pos", "next"))).alias("e"))
+    none = F.array().cast("array<struct<rank:int,next:int>>")
+    step = lambda a, x: F.when(x["rank"] == a["at"], F.struct(F.coalesce(x["next"], F.size("e") + 1).alias("at"), F.concat(a["all"], F.array(F.struct(x["rank"].alias("rank"), F.coalesce(x["next"], F.size("e") + 1).alias("next")))).alias("all"))).otherwise(a)
+    walked = chain.select("e", F.explode(F.aggregate("e", F.struct(F.lit(1).alias("at"), none.alias("all")), step)["all"]).alias("b"))
+    at = lambda k: F.get(F.col("e"), k)["pos"]
+    n = F.col("b.next") - F.col("b.rank")
+    return walked.select(at(F.col("b.rank") - 1).alias("start_pos"), at(F.col("b.next") - 2).alias("end_pos"), n.cast("bigint").alias("n")).where("n >= 2")
 
 
 def k2p(spectrum: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3) -> DataF
 
 def cigar_runs(columns: DataFrame) -> DataFrame:
     """Run-length text of each id's operations (id, place, op)."""
-    w = Window.partitionBy("id").orderBy("place")
+    w = Window.partitionBy("id").orderBy("place", "op")
     new = columns.withColumn("new", F.when(F.lag("op").over(w) == F.col("op"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = new.groupBy("id", "run", "op").agg(F.count("*").alias("n"))
     parts = runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("run", F.concat(F.col("n").cast("string"), "op").alias("t")))).alias("all"))

@@ -306,7 +306,7 @@ def melting_temperature(spark, d):
 
 
 @query("""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS place, CASE l_returnflag WHEN 'R' THEN 'M' WHEN 'A' THEN 'I' ELSE 'D' END AS op FROM lineitem),
-r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY place) AS run FROM (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY id ORDER BY place) = op THEN 0 ELSE 1 END AS new FROM o))
+r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY place, op) AS run FROM (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY id ORDER BY place, op) = op THEN 0 ELSE 1 END AS new FROM o))
 SELECT id, string_agg(t, '' ORDER BY run) AS cigar FROM (SELECT id, run, count(*)::VARCHAR || op AS t FROM r GROUP BY id, run, op) GROUP BY id""")
 def cigar_runs(spark, d):
     o = spark.read.parquet(f"{d}/lineitem.parquet")
