@@ -121,7 +121,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
     sample = features.join(F.broadcast(taught), "doc_id").select("features", "y").toPandas()  # SAMPLE rows at most of labels
     sample = sample.iloc[np.lexsort([sample["y"], sample["features"].map(lambda v: float(np.sum(v)))])] if len(sample) else sample
-    x = np.array(sample["features"].tolist(), float).reshape(len(sample), -1)
+    x = np.array(sample["features"].tolist(), float).reshape(len(sample), 2 * DIM + 2)
     model = network.fit(x, sample["y"].to_numpy(float))
     schema = pa.schema([A.arrow_schema(features.schema).field("doc_id"), ("score", pa.float64())])
 

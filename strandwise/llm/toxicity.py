@@ -178,7 +178,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id"), "sample")
     terms = lexicon(sample)
     seen = features(sample, terms, "doc_id", "y").toPandas()
-    x = np.array(seen["features"].tolist(), float).reshape(len(seen), -1)
+    x = np.array(seen["features"].tolist(), float).reshape(len(seen), 5)
     y = seen["y"].to_numpy(float)
     order = np.lexsort([*x.T, y]) if len(y) else slice(None)
     model = network.fit(x[order], y[order], hidden=8)
