@@ -7,6 +7,8 @@ pivots; for candidate pairs the overlap is counted in each fragment by itself an
 Only connectivity is asked for, so pairs within a group are not all made: each prefix shingle ties its
 documents to one hub (as many pairs as rows), and only shingles whose documents are still in two or more
 components have their remaining pairs across components counted too. No link between components is lost.
+Before any tokens are shipped, a pair is held against its sets' parity bitmaps: bits that differ are at most as many as
+shingles that differ, so pairs with too many of them can't link.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
@@ -68,6 +70,30 @@ def _spread(tok: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return s[first[1:]] - s[first[:-1]]
 
 
+def _parities(tok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts): of each row a bitmap of four to eight bits a token, each the parity of the tokens hashed to it."""
+    n = np.diff(first)
+    counts = np.left_shift(1, np.ceil(np.log2(np.maximum(n / 16, 1))).astype(np.int64))
+    at = np.repeat(np.cumsum(counts) - counts, n)
+    h = A.mix(tok ^ A.U64(3))
+    words = np.zeros(int(counts.sum()), A.U64)
+    np.bitwise_xor.at(words, at + (h >> A.U64(6)).astype(np.int64) % np.repeat(counts, n), A.U64(1) << (h & A.U64(63)))
+    return words, counts
+
+
+def _halved(bits: Column) -> Column:
+    """The bitmap of half the size: words that fall together are added without carry."""
+    k = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, k), F.slice(bits, k + 1, k), lambda x, y: x.bitwiseXOR(y))
+
+
+def fewest_differences(a: Column, b: Column) -> Column:
+    """A lower bound of the shingles that only one of two sets has, from bitmaps whose sizes differ by a factor of two at most."""
+    longer = lambda x, y: F.when(F.size(x) > F.size(y), _halved(x)).otherwise(x)
+    odd = F.zip_with(longer(a, b), longer(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(odd, F.lit(0), lambda total, x: total + x)
+
+
 def slot_levels(docs: DataFrame) -> np.ndarray:
     """The level of each slot of the sketch: how frequent its shingles are, 0 for most.
 
@@ -95,7 +121,7 @@ def slot_levels(docs: DataFrame) -> np.ndarray:
 
 
 def _digests(level: Broadcast, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in A.chunks(batches, "text"):
@@ -103,7 +129,9 @@ def _digests(level: Broadcast, id_type: pa.DataType):
             n = np.diff(first)
             keep = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
             pre = tok[A.slices(first[:-1], keep)]
-            yield A.batch(schema, A.column(rb, "doc_id"), A.column(rb, "tie"), n, _spread(tok, first, 1).view(np.int64), _spread(tok, first, 2).view(np.int64), A.ragged(pre.view(np.int64), keep))
+            words, counts = _parities(tok, first)
+            parity = A.ragged(words.view(np.int64), counts)
+            yield A.batch(schema, A.column(rb, "doc_id"), A.column(rb, "tie"), n, _spread(tok, first, 1).view(np.int64), _spread(tok, first, 2).view(np.int64), parity, A.ragged(pre.view(np.int64), keep))
 
     return run
 
@@ -128,18 +156,22 @@ def _fragments(level: Broadcast):
 def verified(pairs: DataFrame, nodes: DataFrame, prefixes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed per pair.
 
-    The prefix is the first fragment: what two documents share beyond it is at most what the longer rest holds, so most
+    Pairs whose sizes or parity bitmaps rule out a link go first. The prefix is the first fragment: what two documents share beyond it is at most what the longer rest holds, so most
     pairs end there. Of the others the texts are read again for the other fragments. All joins are plain
     sort-merge joins, which AQE splits at a hub.
     """
-    size = nodes.select("node", "n_shingles", "h1", "h2", "first_id").join(prefixes, "node")
+    size = nodes.select("node", "n_shingles", "h1", "h2", "first_id", "parity")
+    for k in "ab":
+        pairs = pairs.join(size.withColumnsRenamed({"node": k, "n_shingles": f"n{k}", "h1": f"h1{k}", "h2": f"h2{k}", "first_id": f"id{k}", "parity": f"bits{k}"}), k)
+    near = fewest_differences(F.col("bitsa"), F.col("bitsb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    pairs = materialize(pairs.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & near).drop("bitsa", "bitsb"), "near")
     for k in "ab":
-        pairs = pairs.join(size.withColumnsRenamed({"node": k, "n_shingles": f"n{k}", "h1": f"h1{k}", "h2": f"h2{k}", "first_id": f"id{k}", "tokens": f"p{k}"}), k)
+        pairs = pairs.join(prefixes.withColumnsRenamed({"node": k, "tokens": f"p{k}"}), k)
         if k == "a":
             pairs = materialize(pairs, "halves")
     rest = lambda n: F.ceil(F.col(n) * NUM / F.lit(DEN)) - 1
     most = F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("na"), rest("nb"))
-    able = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (most * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM)
+    able = most * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM
     pairs = materialize(pairs.where(able).drop("pa", "pb"), "pairs")
     ids = pairs.select(F.col("ida").alias("__id")).union(pairs.select(F.col("idb").alias("__id"))).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
@@ -164,12 +196,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     level = docs.sparkSession.sparkContext.broadcast(slot_levels(docs))  # 2**SLOT_BITS bytes
     id_type = A.arrow_schema(docs.schema).field("doc_id").type
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint, prefix array<bigint>"
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint, parity array<bigint>, prefix array<bigint>"
     rows = materialize(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(level, id_type), out), "digests")
     # rows with equal sets are one node
-    nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
+    nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    wide, rows = rows, materialize(rows.drop("prefix"), "rows")
+    wide, rows = rows, materialize(rows.drop("parity", "prefix"), "rows")
     discard(wide)
     posts = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     m = bitmap_bits(nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0)

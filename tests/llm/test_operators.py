@@ -152,6 +152,25 @@ def test_jaccard(docs, rows):
     assert got == jaccard(pairs(rows))
 
 
+def test_parity_bitmaps_bound_the_difference(spark):
+    rng = np.random.default_rng(7)
+    made = []
+    for n in (1, 5, 16, 17, 60, 64, 65, 300, 5000):
+        for share in (0.5, 0.75, 0.9, 1.0):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 1 << 62, max(0, n // 3 - n // 10)).astype(np.uint64)])
+            sets = [set(a.tolist()), set(b.tolist())]
+            tok = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+            words, counts = jaccard_join._parities(tok, np.cumsum([0, len(sets[0]), len(sets[1])]))
+            words = words.view(np.int64).tolist()
+            if max(counts) <= 2 * min(counts):
+                made.append((len(sets[0]) + len(sets[1]), len(sets[0] ^ sets[1]), words[: counts[0]], words[counts[0] :]))
+    got = spark.createDataFrame(made, "n long, d long, a array<long>, b array<long>").withColumn("least", jaccard_join.fewest_differences(F.col("a"), F.col("b"))).collect()
+    assert all(r.least <= r.d for r in got)
+    close = [r for r in got if r.n > 200 and r.d <= r.n / 5]  # about the border; far pairs fill their bitmaps
+    assert close and all(r.least >= 0.8 * r.d for r in close)
+
+
 def test_token_records(spark, docs, rows):
     tok = Tokenizer.from_file(WORDS)
     got = {r.doc_id: tuple(r)[1:] for r in token_records.record_digests(docs, WORDS).collect()}
