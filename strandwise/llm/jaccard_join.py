@@ -94,6 +94,12 @@ def fewest_differences(a: Column, b: Column) -> Column:
     return F.aggregate(odd, F.lit(0), lambda total, x: total + x)
 
 
+def _near() -> Column:
+    """Whether sizes and parity bitmaps let a pair (na, bitsa, nb, bitsb) link."""
+    size = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+    return size & (fewest_differences(F.col("bitsa"), F.col("bitsb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM))
+
+
 def slot_levels(docs: DataFrame) -> np.ndarray:
     """The level of each slot of the sketch: how frequent its shingles are, 0 for most.
 
@@ -163,8 +169,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, prefixes: DataFrame, docs: Data
     size = nodes.select("node", "n_shingles", "h1", "h2", "first_id", "parity")
     for k in "ab":
         pairs = pairs.join(size.withColumnsRenamed({"node": k, "n_shingles": f"n{k}", "h1": f"h1{k}", "h2": f"h2{k}", "first_id": f"id{k}", "parity": f"bits{k}"}), k)
-    near = fewest_differences(F.col("bitsa"), F.col("bitsb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
-    pairs = materialize(pairs.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & near).drop("bitsa", "bitsb"), "near")
+    pairs = materialize(pairs.where(_near()).drop("bitsa", "bitsb"), "near")
     for k in "ab":
         pairs = pairs.join(prefixes.withColumnsRenamed({"node": k, "tokens": f"p{k}"}), k)
         if k == "a":
@@ -220,13 +225,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = shared.where("met > 2").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = materialize(placed.join(split, "token", "left_semi"), "open")
-    x, y = (open_.select("token", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), "hub") for k in "ab")
+    open_ = placed.join(split, "token", "left_semi").join(nodes.select("node", "parity"), "node")
+    open_ = materialize(open_, "open")
+    x, y = (open_.select("token", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), F.col("parity").alias(f"bits{k}"), "hub") for k in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    size = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
     # what can still be shared from the first shared token on must be enough
     enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
-    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & size & enough).select("a", "b").distinct()
+    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _near()).select("a", "b").distinct()
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, nodes, prefixes, docs, level))
