@@ -33,6 +33,8 @@ NUM, DEN = 3, 4
 SLOT_BITS, LEVELS = 22, (12, 64, 1024)
 #: Fragments: the level and three bits of hash.
 FRAGMENT_BITS = 5
+#: Rounds in which each component's likeliest pair is counted before all pairs that are left.
+LIKELIEST_ROUNDS = 2
 
 
 def _shingles(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -231,11 +233,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     # what can still be shared from the first shared token on must be enough
     enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
-    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _near()).select("a", "b").distinct()
+    least = fewest_differences(F.col("bitsa"), F.col("bitsb")).alias("least")
+    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _near()).select("a", "b", "ca", "cb", least).distinct()
     rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, nodes, prefixes, docs, level))
+    # the likeliest pair of each component first: most other pairs are then within one; what is left is all counted
+    for k in range(LIKELIEST_ROUNDS + 1):
+        if rest.isEmpty():
+            break
+        tried = rest.select("a", "b")
+        if k < LIKELIEST_ROUNDS:
+            ends = rest.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("least", "a", "b").alias("pair"))
+            tried = materialize(ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "tried")
+        links = links.unionByName(verified(tried, nodes, prefixes, docs, level))
         member = components(links)
+        if k < LIKELIEST_ROUNDS:
+            rest = rest.select("a", "b", "least").join(tried, ["a", "b"], "left_anti")
+            for e in "ab":
+                rest = rest.join(member.withColumnsRenamed({"node": e, "component": f"c{e}"}), e, "left").withColumn(f"c{e}", F.coalesce(f"c{e}", e))
+            rest = materialize(rest.where("ca <> cb"), "rest")
     named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "named")
