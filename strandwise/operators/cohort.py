@@ -25,14 +25,19 @@ def jaccard_matrix(spectrum: DataFrame) -> DataFrame:
 
 
 def transmission_edges(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
-    """(source, target): the source's variants are fewer, all in the target, and it was collected earlier."""
-    o = overlaps(spectrum)
-    both = o.select(F.col("a").alias("source"), F.col("b").alias("target"), "shared", F.col("size_a").alias("own"), F.col("size_b").alias("other"))
-    both = both.unionByName(o.select(F.col("b").alias("source"), F.col("a").alias("target"), "shared", F.col("size_b").alias("own"), F.col("size_a").alias("other")))
-    dates = samples.select("sample_id", "collection_date")
-    near = both.where("shared = own and own < other")
-    near = near.join(dates.toDF("source", "source_date"), "source").join(dates.toDF("target", "target_date"), "target")
-    return near.where("source_date < target_date").select("source", "target")
+    """(source, target): the source's variants are fewer, all in the target, and it was collected earlier.
+
+    A target carries all of the source's variants, so it carries the source's rarest one: only carriers of that are
+    compared, and shared variants of these pairs are counted against the source's size."""
+    keys = spectrum.select("sample_id", *KEY).distinct()
+    size = keys.groupBy("sample_id").agg(F.count("*").alias("size")).join(samples.select("sample_id", "collection_date"), "sample_id")
+    carried = keys.groupBy(*KEY).agg(F.count("*").alias("carriers"))
+    rarest = keys.join(carried, KEY).groupBy("sample_id").agg(F.min(F.struct("carriers", *KEY)).alias("k")).select(F.col("sample_id").alias("source"), *[f"k.{k}" for k in KEY])
+    source, target = (size.toDF(s, f"{s}_size", f"{s}_date") for s in ("source", "target"))
+    near = rarest.join(keys.withColumnRenamed("sample_id", "target"), KEY).select("source", "target").join(source, "source").join(target, "target")
+    near = near.where("source_size < target_size and source_date < target_date").select("source", "target", "source_size")
+    shared = near.join(keys.withColumnRenamed("sample_id", "source"), "source").join(keys.withColumnRenamed("sample_id", "target"), ["target", *KEY])
+    return shared.groupBy("source", "target", "source_size").agg(F.count("*").alias("shared")).where("shared = source_size").select("source", "target")
 
 
 def reduced(edges: DataFrame) -> DataFrame:

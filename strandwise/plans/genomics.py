@@ -201,7 +201,7 @@ def jaccard_matrix(spark, d):
     return cohort.jaccard_matrix(spec(spark, d, "cohort_link"))
 
 
-#: Small samples (one variant type over few positions), so that some are within others.
+#: The SQL's subset; the query takes the whole spectrum.
 SMALL = "ref_pos % 97 = 0 AND sample_id < 400"
 EDGES = f"""WITH k AS (SELECT DISTINCT sample_id, {FIVE} FROM link JOIN variant USING (alignment_id) WHERE {SMALL}), size AS (SELECT sample_id, count(*) AS n FROM k GROUP BY 1),
 o AS (SELECT x.sample_id AS source, y.sample_id AS target, count(*) AS shared FROM k x JOIN k y USING ({FIVE}) WHERE x.sample_id <> y.sample_id GROUP BY 1, 2),
@@ -210,7 +210,7 @@ WHERE shared = s.n AND s.n < t.n AND p.collection_date < q.collection_date)"""
 
 
 def edges(spark, d):
-    return cohort.transmission_edges(spec(spark, d).where(SMALL), view(spark, d, "sample"))
+    return cohort.transmission_edges(spec(spark, d), view(spark, d, "sample"))
 
 
 @query(EDGES + "SELECT * FROM edges", (*BASE, "sample"))
