@@ -60,28 +60,44 @@ def ld_pairs(spectrum: DataFrame, samples: DataFrame, loci: DataFrame) -> DataFr
     return d.select("i", "j", (F.round("d", 6) + 0.0).alias("d"), F.when(most == 0, 0.0).otherwise(F.round(F.abs(F.col("d") / most), 6)).alias("d_prime"), F.when(var == 0, 0.0).otherwise(F.round(F.col("d") * F.col("d") / var, 6)).alias("r2"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df computed once: in spark.checkpoint.dir if it is set, else with the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def block_ends(pairs: DataFrame, threshold: float) -> DataFrame:
-    """For each locus, how far a block from it can go so that all its pairs reach the threshold (in locus order)."""
-    loci = pairs.select(F.col("i").alias("pos")).union(pairs.select(F.col("j").alias("pos"))).distinct()
-    bad = pairs.where(F.col("r2") < threshold).groupBy("i").agg(F.min("j").alias("bad"))
-    # loci of one request: a window over them all
-    w = Window.orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ends = loci.join(bad, loci.pos == bad.i, "left").select("pos", F.min("bad").over(w).alias("stop"))
-    return ends.withColumn("rank", F.row_number().over(Window.orderBy("pos")))
+    """For each locus, the first one that a block from it can't hold since a pair is below the threshold (in locus order)."""
+    by = [c for c in pairs.columns if c == "reference_id"]
+    # one pass: pairs are all those of a reference's loci, so that only its last locus is no i
+    bad = pairs.groupBy(*by, F.col("i").alias("pos")).agg(F.min(F.when(F.col("r2") < threshold, F.col("j"))).alias("bad"), F.max("j").alias("far"))
+    bad = _stored(bad)
+    last = bad.groupBy(*by).agg(F.max("far").alias("pos")).where("pos is not null").select(*by, "pos", F.lit(None).cast("bigint").alias("bad"))
+    loci = bad.drop("far").union(last)
+    # loci of one reference: a row for each, so a window over them
+    onward, back = Window.partitionBy(*by).orderBy("pos"), Window.partitionBy(*by).orderBy(F.desc("pos"))
+    stop = F.min("bad").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return loci.select(*by, "pos", stop.alias("stop"), F.row_number().over(onward).alias("rank"))
 
 
 def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(start_pos, end_pos, n): the greedy blocks of two or more loci. One row holds the loci of the request; a fold over
-    them walks from each block's first locus to the next block's."""
-    ends = block_ends(pairs, threshold)
-    stops = ends.select(F.col("pos").alias("stop"), F.col("rank").alias("next"))
-    chain = ends.join(stops, "stop", "left").agg(F.sort_array(F.collect_list(F.struct("rank", "pos", "next"))).alias("e"))
-    none = F.array().cast("array<struct<rank:int,next:int>>")
-    step = lambda a, x: F.when(x["rank"] == a["at"], F.struct(F.coalesce(x["next"], F.size("e") + 1).alias("at"), F.concat(a["all"], F.array(F.struct(x["rank"].alias("rank"), F.coalesce(x["next"], F.size("e") + 1).alias("next")))).alias("all"))).otherwise(a)
-    walked = chain.select("e", F.explode(F.aggregate("e", F.struct(F.lit(1).alias("at"), none.alias("all")), step)["all"]).alias("b"))
-    at = lambda k: F.get(F.col("e"), k)["pos"]
-    n = F.col("b.next") - F.col("b.rank")
-    return walked.select(at(F.col("b.rank") - 1).alias("start_pos"), at(F.col("b.next") - 2).alias("end_pos"), n.cast("bigint").alias("n")).where("n >= 2")
+    """(start_pos, end_pos, n), after reference_id if pairs have it: the greedy blocks of two or more loci of each reference.
+
+    Each locus leads to the first locus after a block from it. Those reached from a reference's first locus start
+    blocks; they are found by doubling the step, in as many joins as the logarithm of the number of blocks."""
+    by = [c for c in pairs.columns if c == "reference_id"]
+    ends = _stored(block_ends(pairs, threshold))
+    step = ends.where("stop is not null").select(*by, "pos", "stop")
+    reached = ends.where("rank = 1").select(*by, "pos")
+    while not step.isEmpty():
+        reached = _stored(reached.union(reached.join(step, [*by, "pos"]).select(*by, F.col("stop").alias("pos"))))
+        step = _stored(step.join(step.select(*by, F.col("pos").alias("stop"), F.col("stop").alias("then")), [*by, "stop"]).select(*by, "pos", F.col("then").alias("stop")))
+    w = Window.partitionBy(*by).orderBy("pos")
+    starts = ends.join(reached, [*by, "pos"]).withColumn("next", F.lead("rank").over(w))
+    last = ends.groupBy(*by).agg(F.max("rank").alias("last"))
+    starts = (starts.join(last, by) if by else starts.crossJoin(last)).withColumn("to", F.coalesce(F.col("next") - 1, F.col("last")))
+    out = starts.join(ends.select(*by, F.col("rank").alias("to"), F.col("pos").alias("end_pos")), [*by, "to"])
+    n = (F.col("to") - F.col("rank") + 1).cast("bigint")
+    return out.select(*by, F.col("pos").alias("start_pos"), "end_pos", n.alias("n")).where("n >= 2")
 
 
 def k2p(spectrum: DataFrame) -> DataFrame:

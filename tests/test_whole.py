@@ -67,3 +67,30 @@ def test_transmission_queries_take_the_whole_spectrum(spark, small):
     assert sorted(map(tuple, genomics.QUERIES["transmission_edges"](spark, small).collect())) == want
     direct = [(a, b) for a, b in want if not any((a, x) in want and (x, b) in want for x, _ in want)]
     assert sorted(map(tuple, genomics.QUERIES["transmission_reduced"](spark, small).collect())) == direct
+
+
+def brute_blocks(pairs, threshold):
+    """The reference's greedy walk, by reference."""
+    out = []
+    for ref in sorted({p[0] for p in pairs}):
+        r2 = {(i, j): v for r, i, j, v in pairs if r == ref}
+        pos = sorted({x for p in r2 for x in p})
+        i = 0
+        while i < len(pos):
+            e = i
+            while e + 1 < len(pos) and all(r2[pos[x], pos[e + 1]] >= threshold for x in range(i, e + 1)):
+                e += 1
+            out += [(ref, pos[i], pos[e], e - i + 1)] if e > i else []
+            i = e + 1
+    return out
+
+
+def test_haplotype_blocks_of_each_reference(spark):
+    """References in turn over the same stretch, one of them a single block."""
+    rng = random.Random(3)
+    pairs = [(r, i, j, 1.0 if r == 2 or rng.random() < 0.8 else 0.1) for r in range(3) for i in range(r, 120, 3) for j in range(i + 3, 120, 3)]
+    got = cohort.haplotype_blocks(spark.createDataFrame(pairs, "reference_id int, i bigint, j bigint, r2 double"), 0.5).collect()
+    want = brute_blocks(pairs, 0.5)
+    assert len(want) > 10
+    assert sorted(map(tuple, got)) == want
+
