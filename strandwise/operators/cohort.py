@@ -46,18 +46,21 @@ def reduced(edges: DataFrame) -> DataFrame:
     return edges.join(two, ["source", "target"], "left_anti")
 
 
-def ld_pairs(spectrum: DataFrame, samples: DataFrame, loci: DataFrame) -> DataFrame:
-    """D, D' and r² of each pair of loci over all samples; a sample carries a locus with any SNP there."""
+def ld_pairs(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
+    """D, D' and r² of each pair of SNP loci of one reference over all samples; a sample carries a locus with any SNP there."""
     n = samples.agg(F.count_distinct("sample_id").alias("n"))
-    carrier = spectrum.where("variant_type = 'SNP'").join(loci, "ref_pos", "left_semi").select("sample_id", "ref_pos").distinct()
-    one = carrier.groupBy("ref_pos").agg(F.count("*").alias("c"))
-    aa = carrier.toDF("sample_id", "i").join(carrier.toDF("sample_id", "j"), "sample_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("aa"))
-    pairs = one.toDF("i", "ci").join(one.toDF("j", "cj"), F.col("i") < F.col("j")).join(aa, ["i", "j"], "left").crossJoin(F.broadcast(n))
-    p = pairs.select("i", "j", (F.col("ci") / F.col("n")).alias("pi"), (F.col("cj") / F.col("n")).alias("pj"), (F.coalesce("aa", F.lit(0)) / F.col("n")).alias("pij"))
+    carrier = spectrum.where("variant_type = 'SNP'").select("reference_id", "sample_id", "ref_pos").distinct()
+    one = carrier.groupBy("reference_id", "ref_pos").agg(F.count("*").alias("c"))
+    # pairs without a common carrier have no row here; they come from the join of the loci
+    aa = carrier.toDF("reference_id", "sample_id", "i").join(carrier.toDF("reference_id", "sample_id", "j"), ["reference_id", "sample_id"])
+    aa = aa.where("i < j").groupBy("reference_id", "i", "j").agg(F.count("*").alias("aa"))
+    pairs = one.toDF("reference_id", "i", "ci").join(one.toDF("reference_id", "j", "cj"), "reference_id").where("i < j")
+    pairs = pairs.join(aa, ["reference_id", "i", "j"], "left").crossJoin(F.broadcast(n))
+    p = pairs.select("reference_id", "i", "j", (F.col("ci") / F.col("n")).alias("pi"), (F.col("cj") / F.col("n")).alias("pj"), (F.coalesce("aa", F.lit(0)) / F.col("n")).alias("pij"))
     d = p.withColumn("d", F.col("pij") - F.col("pi") * F.col("pj"))
     most = F.when(F.col("d") >= 0, F.least(F.col("pi") * (1 - F.col("pj")), (1 - F.col("pi")) * F.col("pj"))).otherwise(F.least(F.col("pi") * F.col("pj"), (1 - F.col("pi")) * (1 - F.col("pj"))))
     var = F.col("pi") * (1 - F.col("pi")) * F.col("pj") * (1 - F.col("pj"))
-    return d.select("i", "j", (F.round("d", 6) + 0.0).alias("d"), F.when(most == 0, 0.0).otherwise(F.round(F.abs(F.col("d") / most), 6)).alias("d_prime"), F.when(var == 0, 0.0).otherwise(F.round(F.col("d") * F.col("d") / var, 6)).alias("r2"))
+    return d.select("reference_id", "i", "j", (F.round("d", 6) + 0.0).alias("d"), F.when(most == 0, 0.0).otherwise(F.round(F.abs(F.col("d") / most), 6)).alias("d_prime"), F.when(var == 0, 0.0).otherwise(F.round(F.col("d") * F.col("d") / var, 6)).alias("r2"))
 
 
 def _stored(df: DataFrame) -> DataFrame:

@@ -223,6 +223,7 @@ def transmission_reduced(spark, d):
     return cohort.reduced(edges(spark, d))
 
 
+#: The SQL's subset; the query takes every SNP locus, and pairs those of one reference.
 LOCI = "SELECT p_partkey AS ref_pos FROM part WHERE p_size <= 2"
 
 
@@ -232,13 +233,16 @@ p AS (SELECT x.ref_pos AS i, y.ref_pos AS j, x.c / n.n AS pi, y.c / n.n AS pj, c
 q AS (SELECT *, pij - pi * pj AS d, pi * (1 - pi) * pj * (1 - pj) AS v, CASE WHEN pij - pi * pj >= 0 THEN least(pi * (1 - pj), (1 - pi) * pj) ELSE least(pi * pj, (1 - pi) * (1 - pj)) END AS m FROM p)
 SELECT i, j, round(d, 6) + 0.0 AS d, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE round(abs(d / m), 6) END AS d_prime, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round(d * d / v, 6) END AS r2 FROM q""", WITH_COHORT)
 def ld_matrix(spark, d):
-    loci = spark.read.parquet(f"{d}/part.parquet").where("p_size <= 2").select(F.col("p_partkey").alias("ref_pos"))
-    return cohort.ld_pairs(spec(spark, d, "cohort_link"), view(spark, d, "cohort"), loci)
+    return linkage(spark, d).drop("reference_id")
+
+
+def linkage(spark, d):
+    return cohort.ld_pairs(spec(spark, d, "cohort_link"), view(spark, d, "cohort"))
 
 
 @query()
 def haplotype_blocks(spark, d):
-    return cohort.haplotype_blocks(ld_matrix(spark, d), 0.05)
+    return cohort.haplotype_blocks(linkage(spark, d), 0.05)
 
 
 @query(COHORT + """, snp AS (SELECT sample_id, ref_pos, min(alt_base) AS alt FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1, 2), r AS (SELECT ref_pos, min(ref_base) AS ref FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1),

@@ -94,3 +94,29 @@ def test_haplotype_blocks_of_each_reference(spark):
     assert len(want) > 10
     assert sorted(map(tuple, got)) == want
 
+
+def brute_linkage(spark, d):
+    n = view(spark, d, "cohort").count()
+    loci = {}
+    for s, k in carriers(spark, d, "cohort_link"):
+        if k[2] == "SNP":
+            loci.setdefault(k[:2], set()).add(s)
+    out = {}
+    for (r, i), x in loci.items():
+        for (q, j), y in loci.items():
+            if r == q and i < j:
+                a, b = len(x) / n, len(y) / n
+                dd, v = len(x & y) / n - a * b, a * (1 - a) * b * (1 - b)
+                m = min(a * (1 - b), (1 - a) * b) if dd >= 0 else min(a * b, (1 - a) * (1 - b))
+                out[r, i, j] = (dd, abs(dd / m) if m else 0.0, dd * dd / v if v else 0.0)
+    return out
+
+
+def test_linkage_takes_every_locus_of_a_reference(spark, small):
+    want = brute_linkage(spark, small)
+    got = {(r.i, r.j): (r.d, r.d_prime, r.r2) for r in genomics.QUERIES["ld_matrix"](spark, small).collect()}
+    assert len(want) > 20
+    assert set(got) == {k[1:] for k in want}
+    assert all(got[k[1:]] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+    blocks = sorted(map(tuple, genomics.QUERIES["haplotype_blocks"](spark, small).collect()))
+    assert blocks == brute_blocks([(*k, v[2]) for k, v in want.items()], 0.05)
