@@ -16,16 +16,17 @@ def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> Da
     return joined.groupBy("sample_id", *KEY).agg(F.count_distinct("alignment_id").alias("depth"), F.max("score").alias("best_score"))
 
 
-def qc(evidence: DataFrame, min_score: float, min_depth: int, margin: int, length: int) -> DataFrame:
-    """The rules that each variant fails, and its status. The distance to the end is counted from 1."""
-    edge = F.least(F.col("ref_pos") + 1, F.lit(length) - F.col("ref_pos") + 1)
+def qc(evidence: DataFrame, min_score: float, min_depth: int, margin: int, length: DataFrame) -> DataFrame:
+    """The rules that each variant fails, and its status; length is one row with that column. The distance to the end is counted from 1."""
+    edge = F.least(F.col("ref_pos") + 1, F.col("length") - F.col("ref_pos") + 1)
     bad = {
         "alignment_score": F.coalesce(F.col("best_score") < min_score, F.lit(True)),
         "coverage_depth": F.col("depth") < min_depth,
         "edge_position": edge <= margin,
     }
     failed = F.concat_ws(",", *[F.when(c, F.lit(r)) for r, c in bad.items()])
-    return evidence.withColumn("failed_rules", failed).withColumn("qc_status", F.when(failed == "", "PASS").otherwise("FAIL"))
+    out = evidence.crossJoin(F.broadcast(length)).withColumn("failed_rules", failed).drop("length")
+    return out.withColumn("qc_status", F.when(F.col("failed_rules") == "", "PASS").otherwise("FAIL"))
 
 
 def qc_summary(results: DataFrame) -> DataFrame:

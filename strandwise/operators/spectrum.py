@@ -36,12 +36,17 @@ def maf_filter(maf: DataFrame, start: int, end: int, least: float) -> DataFrame:
     return maf.where(F.col("ref_pos").between(start, end) & (F.col("maf") >= least))
 
 
-def density_buckets(variants: DataFrame, width: int, length: int) -> DataFrame:
-    """Variants in each bucket of width positions up to length, zero where there are none."""
-    spark = variants.sparkSession
-    buckets = spark.range(-(-length // width)).select(F.col("id").alias("bucket"))
-    counts = variants.where(F.col("ref_pos") < length).groupBy(F.expr(f"ref_pos div {width}").alias("bucket")).agg(F.count("*").alias("n"))
-    end = F.least((F.col("bucket") + 1) * width - 1, F.lit(length - 1))
+def table_length(variants: DataFrame) -> DataFrame:
+    """One row: the length of the stretch that variants cover, from position 0 to the last."""
+    return variants.agg((F.coalesce(F.max("ref_pos"), F.lit(-1)) + 1).alias("length"))
+
+
+def density_buckets(variants: DataFrame, width: int) -> DataFrame:
+    """Variants in each bucket of width positions up to the last position, zero where there are none."""
+    last = table_length(variants).where("length > 0")
+    buckets = last.select("length", F.explode(F.expr(f"sequence(0, (length - 1) div {width})")).alias("bucket"))
+    counts = variants.groupBy(F.expr(f"ref_pos div {width}").alias("bucket")).agg(F.count("ref_pos").alias("n"))
+    end = F.least((F.col("bucket") + 1) * width - 1, F.col("length") - 1)
     return buckets.join(counts, "bucket", "left").select("bucket", (F.col("bucket") * width).alias("start_pos"), end.alias("end_pos"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -56,7 +56,7 @@ def frequency_range(spark, d):
 @query("""SELECT r.range AS bucket, r.range * 100 AS start_pos, least(r.range * 100 + 99, 1949) AS end_pos, count(ref_pos) AS n
 FROM range(20) r LEFT JOIN variant ON ref_pos // 100 = r.range AND ref_pos < 1950 GROUP BY r.range""", ("variant",))
 def variant_density_buckets(spark, d):
-    return spectrum.density_buckets(view(spark, d, "variant"), 100, 1950)
+    return spectrum.density_buckets(view(spark, d, "variant"), 100)
 
 
 @query("SELECT coalesce(variant_type, 'UNKNOWN') AS variant_type, count(*) AS n FROM variant GROUP BY 1", ("variant",))
@@ -133,7 +133,7 @@ WITH_ALIGNMENT = (*BASE, "alignment")
 
 def qc_results(spark, d):
     e = rules.evidence(view(spark, d, "link"), view(spark, d, "variant"), view(spark, d, "alignment"))
-    return rules.qc(e, 30, 1, 50, 2000)
+    return rules.qc(e, 30, 1, 50, spectrum.table_length(view(spark, d, "variant")))
 
 
 @query(EVIDENCE + "SELECT * FROM evidence", WITH_ALIGNMENT)

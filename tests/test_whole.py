@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strandwise.operators import cohort
+from strandwise.operators import cohort, spectrum
 from strandwise.plans import genomics
 from strandwise.sources.projection import view
 
@@ -120,3 +120,14 @@ def test_linkage_takes_every_locus_of_a_reference(spark, small):
     assert all(got[k[1:]] == pytest.approx(v, abs=2e-6) for k, v in want.items())
     blocks = sorted(map(tuple, genomics.QUERIES["haplotype_blocks"](spark, small).collect()))
     assert blocks == brute_blocks([(*k, v[2]) for k, v in want.items()], 0.05)
+
+
+def test_density_and_quality_control_take_the_length_from_the_table(spark, small):
+    pos = [r.ref_pos for r in view(spark, small, "variant").collect()]
+    got = sorted(map(tuple, genomics.QUERIES["variant_density_buckets"](spark, small).collect()))
+    assert max(pos) == 29_999
+    assert got == [(b, b * 100, b * 100 + 99, sum(p // 100 == b for p in pos)) for b in range(300)]
+    for r in genomics.QUERIES["qc_run"](spark, small).collect():
+        assert ("edge_position" in r.failed_rules) == (min(r.ref_pos + 1, 30_000 - r.ref_pos + 1) <= 50)
+    bare = view(spark, small, "variant").where("false")
+    assert spectrum.density_buckets(bare, 100).count() == 0
