@@ -26,7 +26,7 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON
     "annotation": (("part",), """
 SELECT p_partkey AS annotation_id, 50 * p_partkey AS start_pos, 50 * p_partkey + 39 AS end_pos,
   CASE p_partkey % 4 WHEN 0 THEN 'exon' WHEN 1 THEN 'intron' WHEN 2 THEN 'UTR' ELSE 'exon' END AS feature_type, p_brand AS gene_name
-FROM part WHERE p_partkey <= 400"""),
+FROM part{first}"""),
     "exposure": (("events",), "SELECT user_id AS sample_id, event_type AS signature, value AS exposure, ts AS taken FROM events"),
     "sequence": (("documents",), "SELECT doc_id AS sequence_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS bases FROM documents"),
 }
@@ -37,9 +37,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for t in tables:  # named arguments stand for the tables
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} {t} ")
-    return spark.sql(text.replace("{g}", "").replace("{" + name + "}", name), **frames)
+    return spark.sql(text.replace("{g}", "").replace("{first}", "").replace("{" + name + "}", name), **frames)
 
 
 def duckdb_views(*names: str) -> str:
-    """WITH clauses that define the views in DuckDB."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1].replace('{g}', ", 'g'")})" for n in names)
+    """WITH clauses that define the views in DuckDB. The SQL has the first 400 annotations only; Spark has all."""
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1].replace('{g}', ", 'g'").replace('{first}', ' WHERE p_partkey <= 400')})" for n in names)

@@ -131,3 +131,15 @@ def test_density_and_quality_control_take_the_length_from_the_table(spark, small
         assert ("edge_position" in r.failed_rules) == (min(r.ref_pos + 1, 30_000 - r.ref_pos + 1) <= 50)
     bare = view(spark, small, "variant").where("false")
     assert spectrum.density_buckets(bare, 100).count() == 0
+
+
+def test_annotations_beyond_the_first_400(spark, small):
+    within = lambda p: p // 50 if p >= 50 and p % 50 < 40 else None
+    got = genomics.QUERIES["annotate_first_match"](spark, small).collect()
+    assert all(r.annotation_id == within(r.ref_pos) for r in got)
+    positions = {}
+    for _, k in carriers(spark, small, "link"):
+        positions.setdefault(within(k[1]), set()).add(k[1])
+    want = {a: len(p) for a, p in positions.items() if a and len(p) * 100 / 40 >= 2.5}
+    assert max(want) > 400
+    assert {r.annotation_id: r.positions for r in genomics.QUERIES["hotspots"](spark, small).collect()} == want
