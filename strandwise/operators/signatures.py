@@ -36,6 +36,12 @@ def melting_temperature(bases: Column) -> Column:
     return F.when(F.length(bases) < 2, 0.0).otherwise(F.round(tm, 2))
 
 
+def primers(sequences: DataFrame, width: int) -> DataFrame:
+    """(sequence_id, place, primer): every window of width bases, from 1; a shorter sequence is one whole."""
+    places = sequences.select("sequence_id", "bases", F.explode(F.sequence(F.lit(1), F.greatest(F.length("bases") - (width - 1), F.lit(1)))).alias("place"))
+    return places.select("sequence_id", "place", F.col("bases").substr(F.col("place"), F.lit(width)).alias("primer"))
+
+
 def context_type(before: Column, ref: Column, after: Column, alt: Column) -> Column:
     """L[R>A]R with a pyrimidine in the middle."""
     flip = lambda c: F.translate(c, "ACGT", "TGCA")
@@ -75,15 +81,16 @@ def strongest(exposures: DataFrame) -> DataFrame:
     return total.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3) -> DataFrame:
-    """The k references (ref_id, ref_vector; a bounded catalogue) with the largest cosine to each vector."""
-    sim = vectors.crossJoin(F.broadcast(references)).withColumn("similarity", F.round(cosine(F.col("vector"), F.col("ref_vector")), 6))
+    """The k references (ref_id, ref_vector) with the largest cosine to each vector, of all of them. Norms are computed once a row."""
+    v = vectors.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
+    r = references.withColumn("ref_norm", F.sqrt(dot(F.col("ref_vector"), F.col("ref_vector")))).repartition(8)
+    n = F.col("norm") * F.col("ref_norm")
+    sim = v.crossJoin(r).select("id", "ref_id", F.round(F.when(n == 0, 0.0).otherwise(dot(F.col("vector"), F.col("ref_vector")) / n), 6).alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "ref_id")
     return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "similarity")
 

@@ -167,7 +167,7 @@ def qc_report_buckets(spark, d):
 SELECT s.* FROM spectrum s WHERE sample_id % 3 <> 0 OR EXISTS (SELECT 1 FROM qc q WHERE q.qc_status = 'PASS' AND q.sample_id = s.sample_id AND
 {' AND '.join(f'q.{k} = s.{k}' for k in spectrum.KEY)})""", WITH_ALIGNMENT)
 def qc_pass_filter(spark, d):
-    return rules.passed_only(spec(spark, d).drop("first_variant"), qc_results(spark, d).where("sample_id % 3 = 0"))
+    return rules.passed_only(spec(spark, d).drop("first_variant"), qc_results(spark, d))
 
 
 SCORED = FREQ + f""", scored AS (SELECT {FIVE}, carriers, CAST((CASE WHEN variant_type = 'DEL' THEN 4 ELSE 0 END) + (CASE WHEN variant_type = 'INS' THEN 3 ELSE 0 END)
@@ -286,7 +286,7 @@ FROM e a, e b WHERE b.vec_id < 30)
 SELECT id, rank, ref_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, ref_id) AS rank FROM p) WHERE rank <= 3""")
 def signature_match(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    refs = e.where("vec_id < 30").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vector"))
+    refs = e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vector"))
     return signatures.best_matches(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), refs)
 
 
@@ -294,7 +294,7 @@ def signature_match(spark, d):
 substr(reverse(translate(bases, 'ACGT', 'TGCA')), 1, 40) AS reverse_start FROM sequence""", ("sequence",))
 def sequence_features(spark, d):
     s = view(spark, d, "sequence")
-    return s.select("sequence_id", F.length("bases").alias("n"), signatures.gc_percent(F.col("bases")).alias("gc"), F.substring(signatures.reverse_complement(F.col("bases")), 1, 40).alias("reverse_start"))
+    return s.select("sequence_id", F.length("bases").alias("n"), signatures.gc_percent(F.col("bases")).alias("gc"), F.sha2(signatures.reverse_complement(F.col("bases")), 256).alias("reverse_sha256"))
 
 
 @query("""SELECT signature, round(f, 6) AS first, round(l, 6) AS last, CASE WHEN abs(f) >= 1e-15 THEN round((l - f) / f * 100, 4) END AS percent FROM
@@ -305,8 +305,7 @@ def exposure_change(spark, d):
 
 @query()
 def melting_temperature(spark, d):
-    primer = F.substring("bases", 1, 24)
-    return view(spark, d, "sequence").where("length(bases) >= 24").select("sequence_id", primer.alias("primer"), signatures.melting_temperature(primer).alias("tm"))
+    return signatures.primers(view(spark, d, "sequence"), 24).withColumn("tm", signatures.melting_temperature(F.col("primer")))
 
 
 @query("""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS place, CASE l_returnflag WHEN 'R' THEN 'M' WHEN 'A' THEN 'I' ELSE 'D' END AS op FROM lineitem),

@@ -1,6 +1,7 @@
 """Whole results: queries and operators over all rows, against brute force. The registered SQL of some of them takes a subset."""
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -143,3 +144,28 @@ def test_annotations_beyond_the_first_400(spark, small):
     want = {a: len(p) for a, p in positions.items() if a and len(p) * 100 / 40 >= 2.5}
     assert max(want) > 400
     assert {r.annotation_id: r.positions for r in genomics.QUERIES["hotspots"](spark, small).collect()} == want
+
+
+def test_quality_control_filters_every_sample(spark, small):
+    key = ("sample_id", "reference_id", "ref_pos", "variant_type", "ref_base", "alt_base")
+    passed = {tuple(r[k] for k in key) for r in genomics.QUERIES["qc_run"](spark, small).where("qc_status = 'PASS'").collect()}
+    got = [tuple(r[k] for k in key) for r in genomics.QUERIES["qc_pass_filter"](spark, small).collect()]
+    assert len(got) == len(passed) < len(carriers(spark, small, "link"))
+    assert set(got) == passed
+
+
+def test_matches_and_sequences_are_whole(spark, tmp_path):
+    rng = random.Random(2)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(70)] + [(70, [0.0] * 8)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    norm = lambda a: sum(x * x for x in a) ** 0.5
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 6) if norm(a) * norm(b) else 0.0
+    want = {(i, k + 1, -m[1]) for i, a in vectors for k, m in enumerate(sorted(((cosine(a, b), -j) for j, b in vectors), reverse=True)[:3])}
+    assert {(r.id, r.rank, r.ref_id) for r in genomics.QUERIES["signature_match"](spark, str(tmp_path)).collect()} == want
+    texts = ["", "A", "GATTACA", "".join(rng.choice("ACGT") for _ in range(24)), "".join(rng.choice("ACGT") for _ in range(90))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    flip = [t.translate(str.maketrans("ACGT", "TGCA"))[::-1] for t in texts]
+    assert {r.sequence_id: r.reverse_sha256 for r in genomics.QUERIES["sequence_features"](spark, str(tmp_path)).collect()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in enumerate(flip)}
+    tm = genomics.QUERIES["melting_temperature"](spark, str(tmp_path)).collect()
+    assert {(r.sequence_id, r.place, r.primer) for r in tm} == {(i, p + 1, t[p : p + 24]) for i, t in enumerate(texts) for p in range(max(1, len(t) - 23))}
+    assert all(r.tm is not None for r in tm)
