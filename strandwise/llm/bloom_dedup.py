@@ -45,6 +45,14 @@ def repeated_only(rows: DataFrame, key: str, bitmap: DataFrame, m: int) -> DataF
     return held.where(f"(shiftright(mask, cast(pmod({key}, {m}) % 64 as int)) & 1L) = 1").select(rows.columns)
 
 
+def repeated_flag(rows: DataFrame, key: str, bitmap: DataFrame, m: int, flag: str) -> DataFrame:
+    """rows with a boolean: whether the key (a bigint) has its bit in the bitmap."""
+    small = F.broadcast(bitmap.select(F.col("word").alias("__word"), F.col("mask").alias("__mask")))  # at most m / 64 <= 2**21 rows
+    held = rows.join(small, F.expr(f"pmod({key}, {m}) div 64 = __word"), "left")
+    set_ = F.expr(f"(shiftright(__mask, cast(pmod({key}, {m}) % 64 as int)) & 1L) = 1")
+    return held.withColumn(flag, F.coalesce(set_, F.lit(False))).drop("__word", "__mask")
+
+
 def bitmap_bits(n_rows: int) -> int:
     """16 to 32 bits a row, within the broadcast bound; beyond it more rows shuffle, results stay exact."""
     return max(MIN_BITS, min(MAX_BITS, 1 << (16 * max(1, n_rows)).bit_length()))

@@ -8,7 +8,8 @@ Only connectivity is asked for, so pairs within a group are not all made: each p
 documents to one hub (as many pairs as rows), and only shingles whose documents are still in two or more
 components have their remaining pairs across components counted too. No link between components is lost.
 Before any tokens are shipped, a pair is held against its sets' parity bitmaps: bits that differ are at most as many as
-shingles that differ, so pairs with too many of them can't link.
+shingles that differ, so pairs with too many of them can't link. Postings carry a sketch of 256 bits, the bitmap folded;
+the whole bitmap is joined once to each distinct pair that is left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_only
+from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_flag, repeated_only
 from .components import components
 from .store import discard, materialize
 
@@ -33,6 +34,8 @@ NUM, DEN = 3, 4
 SLOT_BITS, LEVELS = 22, (12, 64, 1024)
 #: Fragments: the level and three bits of hash.
 FRAGMENT_BITS = 5
+#: Words of 64 bits of a node's sketch.
+SKETCH = 4
 #: Rounds in which each component's likeliest pair is counted before all pairs that are left.
 LIKELIEST_ROUNDS = 2
 
@@ -73,9 +76,9 @@ def _spread(tok: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _parities(tok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, counts): of each row a bitmap of four to eight bits a token, each the parity of the tokens hashed to it."""
+    """(words, counts): of each row a bitmap of four to eight bits a token (256 at least), each the parity of the tokens hashed to it."""
     n = np.diff(first)
-    counts = np.left_shift(1, np.ceil(np.log2(np.maximum(n / 16, 1))).astype(np.int64))
+    counts = np.left_shift(1, np.ceil(np.log2(np.maximum(n / 16, SKETCH))).astype(np.int64))
     at = np.repeat(np.cumsum(counts) - counts, n)
     h = A.mix(tok ^ A.U64(3))
     words = np.zeros(int(counts.sum()), A.U64)
@@ -83,6 +86,14 @@ def _parities(tok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, counts
 
 
+def _folded(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bitmaps folded to SKETCH words each, one row each."""
+    out = np.zeros((len(counts), SKETCH), A.U64)
+    within = A.slices(np.zeros(len(counts), np.int64), counts) % SKETCH
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(counts)), counts), within), words)
+    return out
+
+
 def _halved(bits: Column) -> Column:
     """The bitmap of half the size: words that fall together are added without carry."""
     k = (F.size(bits) / 2).cast("int")
@@ -96,10 +107,34 @@ def fewest_differences(a: Column, b: Column) -> Column:
     return F.aggregate(odd, F.lit(0), lambda total, x: total + x)
 
 
-def _near() -> Column:
-    """Whether sizes and parity bitmaps let a pair (na, bitsa, nb, bitsb) link."""
-    size = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    return size & (fewest_differences(F.col("bitsa"), F.col("bitsb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM))
+def _few(least: Column) -> Column:
+    """Whether sets of na and nb shingles that differ in so many can link."""
+    return least * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+
+
+def _similar() -> Column:
+    """Whether the sizes and sketches of a pair (na, s0a, .., nb, s0b, ..) let it link."""
+    odd = sum((F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b"))) for k in range(SKETCH)), F.lit(0))
+    return (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & _few(odd)
+
+
+def with_sides(pairs: DataFrame, nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs (a, b) with columns of both nodes: {"n_shingles": "n"} gives na and nb.
+
+    Plain sort-merge joins of stored tables, which AQE splits at a hub.
+    """
+    for k in "ab":
+        side = nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{name}{k}") for c, name in columns.items()])
+        pairs = pairs.join(side, k)
+    return pairs
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that sizes and parity bitmaps let link, with na, nb and least, the differences that the bitmaps show."""
+    both = with_sides(pairs, nodes, {"n_shingles": "n", "parity": "bits"})
+    both = both.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
+    both = both.withColumn("least", fewest_differences(F.col("bitsa"), F.col("bitsb"))).drop("bitsa", "bitsb")
+    return both.where(_few(F.col("least")))
 
 
 def slot_levels(docs: DataFrame) -> np.ndarray:
@@ -129,7 +164,11 @@ def slot_levels(docs: DataFrame) -> np.ndarray:
 
 
 def _digests(level: Broadcast, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    sketch = [(f"s{k}", pa.int64()) for k in range(SKETCH)]
+    schema = pa.schema([
+        ("doc_id", id_type), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
+        *sketch, ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in A.chunks(batches, "text"):
@@ -138,8 +177,12 @@ def _digests(level: Broadcast, id_type: pa.DataType):
             keep = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
             pre = tok[A.slices(first[:-1], keep)]
             words, counts = _parities(tok, first)
-            parity = A.ragged(words.view(np.int64), counts)
-            yield A.batch(schema, A.column(rb, "doc_id"), A.column(rb, "tie"), n, _spread(tok, first, 1).view(np.int64), _spread(tok, first, 2).view(np.int64), parity, A.ragged(pre.view(np.int64), keep))
+            short = _folded(words, counts).view(np.int64)
+            h1, h2 = (_spread(tok, first, s).view(np.int64) for s in (1, 2))
+            yield A.batch(
+                schema, A.column(rb, "doc_id"), A.column(rb, "tie"), n, h1, h2, *np.ascontiguousarray(short.T),
+                A.ragged(words.view(np.int64), counts), A.ragged(pre.view(np.int64), keep),
+            )
 
     return run
 
@@ -161,25 +204,13 @@ def _fragments(level: Broadcast):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, prefixes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps by fragment, summed per pair.
 
-    Pairs whose sizes or parity bitmaps rule out a link go first. The prefix is the first fragment: what two documents share beyond it is at most what the longer rest holds, so most
-    pairs end there. Of the others the texts are read again for the other fragments. All joins are plain
-    sort-merge joins, which AQE splits at a hub.
+    The texts of the pairs' documents are read again and their sets cut into fragments; pairs meet them fragment by
+    fragment, each side in turn. All joins are plain sort-merge joins, which AQE splits at a hub.
     """
-    size = nodes.select("node", "n_shingles", "h1", "h2", "first_id", "parity")
-    for k in "ab":
-        pairs = pairs.join(size.withColumnsRenamed({"node": k, "n_shingles": f"n{k}", "h1": f"h1{k}", "h2": f"h2{k}", "first_id": f"id{k}", "parity": f"bits{k}"}), k)
-    pairs = materialize(pairs.where(_near()).drop("bitsa", "bitsb"), "near")
-    for k in "ab":
-        pairs = pairs.join(prefixes.withColumnsRenamed({"node": k, "tokens": f"p{k}"}), k)
-        if k == "a":
-            pairs = materialize(pairs, "halves")
-    rest = lambda n: F.ceil(F.col(n) * NUM / F.lit(DEN)) - 1
-    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("na"), rest("nb"))
-    able = most * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM
-    pairs = materialize(pairs.where(able).drop("pa", "pb"), "pairs")
+    pairs = materialize(with_sides(pairs.select("a", "b"), nodes, {"n_shingles": "n", "h1": "h1", "h2": "h2", "first_id": "id"}), "pairs")
     ids = pairs.select(F.col("ida").alias("__id")).union(pairs.select(F.col("idb").alias("__id"))).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_fragments(level), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>"), "sets")
@@ -188,7 +219,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, prefixes: DataFrame, docs: Data
     part = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
     part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))  # equal rows have equal sets
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return materialize(total.where(F.col("overlap") * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b"), "links")
+    enough = F.col("overlap") * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM
+    links = materialize(total.where(enough).select("a", "b"), "links")
+    discard(pairs, sets)
+    return links
+
+
+def distinct_sets(wide: DataFrame) -> DataFrame:
+    """The rows of digests with shingles, those of equal sets as one: node, first_id, n_shingles, h1, h2, s0.., parity, prefix.
+
+    Rows whose hash has no double by the Bloom bitmap pass straight through; only the others are grouped.
+    """
+    wide = wide.where("n_shingles > 0").withColumn("first_id", F.col("doc_id")).drop("doc_id", "tie")
+    m = bitmap_bits(wide.count())
+    bitmap = materialize(repeated_bits_of(wide.select(F.pmod("h1", F.lit(m)).alias("bit")), m), "bloom")
+    tried = repeated_flag(wide, "h1", bitmap, m, "again")
+    rest = [c for c in wide.columns if c not in ("h1", "h2", "n_shingles", "first_id")]
+    grouped = tried.where("again").groupBy("h1", "h2", "n_shingles").agg(F.min("first_id").alias("first_id"), F.first(F.struct(*rest)).alias("row"))
+    grouped = materialize(grouped.select("h1", "h2", "n_shingles", "first_id", "row.*"), "grouped")
+    return tried.where("not again").drop("again").unionByName(grouped)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -197,46 +246,81 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Words are runs of anything but ASCII white space with A-Z lower-cased; a set holds the distinct shingles of
     WIDTH words, or the whole sequence if shorter. Null, empty and blank texts have no shingles and are
     their own component. component_id is the smallest doc_id reached; null doc_ids are passed over, and a row that
-    reaches nothing but nulls has null. Rows that share a doc_id but not a text are each placed by their own text.
+    reaches nothing but nulls has null. Rows that share a doc_id but not a text are each placed by their own text;
+    equal rows get equal results. Whole texts count, however long.
     Other columns of docs are not read. An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
     level = docs.sparkSession.sparkContext.broadcast(slot_levels(docs))  # 2**SLOT_BITS bytes
     id_type = A.arrow_schema(docs.schema).field("doc_id").type
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint, parity array<bigint>, prefix array<bigint>"
-    rows = materialize(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(level, id_type), out), "digests")
-    # rows with equal sets are one node
-    nodes = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    wide, rows = rows, materialize(rows.drop("parity", "prefix"), "rows")
-    discard(wide)
-    posts = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    m = bitmap_bits(nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, n_shingles bigint, h1 bigint, h2 bigint"
+    out += "".join(f", s{k} bigint" for k in range(SKETCH)) + ", parity array<bigint>, prefix array<bigint>"
+    wide = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_digests(level, id_type), out)
+    wide = materialize(wide.withColumn("node", F.monotonically_increasing_id()), "digests")
+    rows = materialize(wide.select("doc_id", "tie", "n_shingles", "h1", "h2"), "rows")
+    sets = distinct_sets(wide)
+    nodes = materialize(sets.drop("prefix"), "nodes")
+    posts = sets.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    m = bitmap_bits(sets.agg(F.sum(F.size("prefix"))).first()[0] or 0)
     bitmap = materialize(repeated_bits_of(posts.select(F.pmod("token", F.lit(m)).alias("bit")), m), "bloom")
     posts = materialize(repeated_only(posts, "token", bitmap, m), "posts")
-    wide, nodes = nodes, materialize(nodes.drop("prefix"), "nodes")
     discard(wide)
     lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
     lists = materialize(lists, "lists")
     shared = materialize(posts.join(lists, "token"), "shared")
-    discard(posts)
-    prefixes = materialize(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")), "prefixes")  # a prefix, or less
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, nodes, prefixes, docs, level)
+    discard(posts, lists)
+    links = star_links(shared, nodes, docs, level)
     member = components(links)
+    links = links.unionByName(crossing_links(shared, member, nodes, docs, level, links))
+    member = components(links)
+    discard(shared)
+    named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    named = materialize(named.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "placed")
+    discard(nodes)
+    full = rows.where("n_shingles > 0").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id", "tie")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tie"))
+
+
+def star_links(shared: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
+    """The links among pairs of a shingle's hub and another of its nodes: as many pairs as rows, at most."""
+    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(stars, "stars")
+    sketch = {"n_shingles": "n"} | {f"s{k}": f"s{k}" for k in range(SKETCH)}
+    alike = materialize(with_sides(stars, nodes, sketch).where(_similar()).select("a", "b"), "alike")
+    near = materialize(near_pairs(alike, nodes).select("a", "b"), "near")
+    links = verified(near, nodes, docs, level)
+    discard(stars, alike, near)
+    return links
+
+
+def crossing_links(shared: DataFrame, member: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast, links: DataFrame) -> DataFrame:
+    """More links, such that with those given no link between two components is left out.
+
+    Pairs meet at the shingles whose nodes are of two or more components; a posting carries its component, its place
+    and a sketch of fixed size, no more. The likeliest pair of each component is counted first: most other pairs
+    are then within one. What is left is all counted.
+    """
     placed = shared.where("met > 2").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = placed.join(split, "token", "left_semi").join(nodes.select("node", "parity"), "node")
-    open_ = materialize(open_, "open")
-    x, y = (open_.select("token", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), F.col("parity").alias(f"bits{k}"), "hub") for k in "ab")
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    open_ = materialize(placed.join(split, "token", "left_semi").join(nodes.select("node", *sketch), "node"), "open")
+    discard(placed)
+    x, y = (
+        open_.select("token", "hub", *[F.col(c).alias(f"{to}{k}") for c, to in {"node": "", "component": "c", "n": "n", "at": "i", **{s: s for s in sketch}}.items()])
+        for k in "ab"
+    )
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     # what can still be shared from the first shared token on must be enough
     enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
-    least = fewest_differences(F.col("bitsa"), F.col("bitsb")).alias("least")
-    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _near()).select("a", "b", "ca", "cb", least).distinct()
-    rest = materialize(rest, "rest")
-    # the likeliest pair of each component first: most other pairs are then within one; what is left is all counted
+    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _similar()).select("a", "b", "ca", "cb").distinct()
+    rest = materialize(rest, "met")
+    discard(open_)
+    rest, met = materialize(near_pairs(rest, nodes).select("a", "b", "ca", "cb", "least"), "rest"), rest
+    discard(met)
+    found = links.limit(0)
     for k in range(LIKELIEST_ROUNDS + 1):
         if rest.isEmpty():
             break
@@ -244,18 +328,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if k < LIKELIEST_ROUNDS:
             ends = rest.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("least", "a", "b").alias("pair"))
             tried = materialize(ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "tried")
-        links = links.unionByName(verified(tried, nodes, prefixes, docs, level))
-        member = components(links)
+        found = found.unionByName(verified(tried, nodes, docs, level))
         if k < LIKELIEST_ROUNDS:
+            member = components(links.unionByName(found))
             rest = rest.select("a", "b", "least").join(tried, ["a", "b"], "left_anti")
             for e in "ab":
                 rest = rest.join(member.withColumnsRenamed({"node": e, "component": f"c{e}"}), e, "left").withColumn(f"c{e}", F.coalesce(f"c{e}", e))
             rest = materialize(rest.where("ca <> cb"), "rest")
-    named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialize(named.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "named")
-    full = rows.where("n_shingles > 0").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id", "tie")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tie"))
+    return found
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
+    """The cluster's spark.checkpoint.dir; a folder of our own where it is unset and the master is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (base or f"file://{tempfile.gettempdir()}/strandwise-checkpoints").rstrip("/")
 
 
@@ -33,9 +35,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table that materialize() gave as df; what was computed from it and isn't stored can't be read any more."""
-    remove(df.sparkSession, df.stored_at)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() gave; what was computed from them and isn't stored can't be read any more."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
