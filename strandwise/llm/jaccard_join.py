@@ -5,10 +5,10 @@ order must share a shingle with that of any document it links with. The order is
 pivots; for candidate pairs the overlap is counted in each fragment by itself and summed per pair.
 
 Only connectivity is asked for, so pairs within a group are not all made: each prefix shingle ties its
-documents to one hub (as many pairs as rows), and only shingles whose documents are still in two or more
-components have their remaining pairs across components counted too. No link between components is lost.
+documents to one hub (as many pairs as rows). Shingles whose documents are still in two or more components do so
+again with other hubs, and in the end have their remaining pairs across components counted too. No link between components is lost.
 Before any tokens are shipped, a pair is held against its sets' parity bitmaps: bits that differ are at most as many as
-shingles that differ, so pairs with too many of them can't link. Postings carry a sketch of 256 bits, the bitmap folded;
+shingles that differ, so pairs with too many of them can't link. Postings carry a sketch of 512 bits, the bitmap folded;
 the whole bitmap is joined once to each distinct pair that is left.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
@@ -35,7 +35,11 @@ SLOT_BITS, LEVELS = 22, (12, 64, 1024)
 #: Fragments: the level and three bits of hash.
 FRAGMENT_BITS = 5
 #: Words of 64 bits of a node's sketch.
-SKETCH = 4
+SKETCH = 8
+#: A posting carries so many of its node's tokens before it; a pair that shares one of them has met there.
+EARLIER = 4
+#: Rounds in which each shingle that still spans components ties its documents to another hub, chosen by hash.
+HUB_ROUNDS = 2
 #: Rounds in which each component's likeliest pair is counted before all pairs that are left.
 LIKELIEST_ROUNDS = 2
 
@@ -76,7 +80,7 @@ def _spread(tok: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _parities(tok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, counts): of each row a bitmap of four to eight bits a token (256 at least), each the parity of the tokens hashed to it."""
+    """(words, counts): of each row a bitmap of four to eight bits a token (512 at least), each the parity of the tokens hashed to it."""
     n = np.diff(first)
     counts = np.left_shift(1, np.ceil(np.log2(np.maximum(n / 16, SKETCH))).astype(np.int64))
     at = np.repeat(np.cumsum(counts) - counts, n)
@@ -121,11 +125,11 @@ def _similar() -> Column:
 def with_sides(pairs: DataFrame, nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
     """pairs (a, b) with columns of both nodes: {"n_shingles": "n"} gives na and nb.
 
-    Plain sort-merge joins of stored tables, which AQE splits at a hub.
+    Plain sort-merge joins of stored tables, which AQE splits at a hub; the hint makes small tables go the same way.
     """
     for k in "ab":
         side = nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{name}{k}") for c, name in columns.items()])
-        pairs = pairs.join(side, k)
+        pairs = pairs.join(side.hint("merge"), k)
     return pairs
 
 
@@ -267,60 +271,86 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     discard(wide)
     lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
     lists = materialize(lists, "lists")
-    shared = materialize(posts.join(lists, "token"), "shared")
+    shared = materialize(posts.join(lists.hint("merge"), "token"), "shared")
     discard(posts, lists)
-    links = star_links(shared, nodes, docs, level)
-    member = components(links)
-    links = links.unionByName(crossing_links(shared, member, nodes, docs, level, links))
+    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = crossing_links(shared, nodes, docs, level, tested_links(stars, nodes, docs, level))
     member = components(links)
     discard(shared)
-    named = nodes.select("node", "h1", "h2", "first_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "h1", "h2", "first_id").join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    named = materialize(named.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "placed")
+    named = materialize(named.select("h1", "h2", "component").join(least.hint("merge"), "component").select("h1", "h2", "component_id"), "placed")
     discard(nodes)
-    full = rows.where("n_shingles > 0").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id", "tie")
+    full = rows.where("n_shingles > 0").join(named.hint("merge"), ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id", "tie")
     return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tie"))
 
 
-def star_links(shared: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
-    """The links among pairs of a shingle's hub and another of its nodes: as many pairs as rows, at most."""
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(stars, "stars")
+def tested_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
+    """Those of the distinct pairs (a, b) that link: by sketch, then by parity bitmap, then by fragments."""
+    pairs = materialize(pairs, "stars")
     sketch = {"n_shingles": "n"} | {f"s{k}": f"s{k}" for k in range(SKETCH)}
-    alike = materialize(with_sides(stars, nodes, sketch).where(_similar()).select("a", "b"), "alike")
+    alike = materialize(with_sides(pairs, nodes, sketch).where(_similar()).select("a", "b"), "alike")
     near = materialize(near_pairs(alike, nodes).select("a", "b"), "near")
     links = verified(near, nodes, docs, level)
-    discard(stars, alike, near)
+    discard(pairs, alike, near)
     return links
 
 
-def crossing_links(shared: DataFrame, member: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast, links: DataFrame) -> DataFrame:
-    """More links, such that with those given no link between two components is left out.
+def _enough() -> Column:
+    """Whether what two sets can still share from a shingle at ia and ib on lets them link, if it is their first."""
+    return (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
 
-    Pairs meet at the shingles whose nodes are of two or more components; a posting carries its component, its place
-    and a sketch of fixed size, no more. The likeliest pair of each component is counted first: most other pairs
-    are then within one. What is left is all counted.
-    """
-    placed = shared.where("met > 2").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+def spanning(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """The postings of shingles whose nodes are of two or more components, with each node's component."""
+    placed = shared.drop("component").join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    sketch = [f"s{k}" for k in range(SKETCH)]
-    open_ = materialize(placed.join(split, "token", "left_semi").join(nodes.select("node", *sketch), "node"), "open")
+    out = materialize(placed.join(split.hint("merge"), "token", "left_semi"), "spanning")
     discard(placed)
+    return out
+
+
+def crossing_links(shared: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast, links: DataFrame) -> DataFrame:
+    """links and more, such that no link between two components is left out.
+
+    First rounds of other hubs: they join what is close to several of a group, in as many pairs as rows.
+    Then pairs meet at the shingles whose nodes are of two or more components, not at each but at those without another
+    shared one close before. A posting carries its component, its place, a sketch of fixed size and the EARLIER tokens
+    before it, no more. The likeliest pair of each component is counted first: most other pairs
+    are then within one. What is left is all counted.
+    """
+    shared = shared.where("met > 2").select("token", "node", "n", "at", "hub")
+    member = components(links)
+    for salt in range(HUB_ROUNDS):
+        shared = spanning(shared, member)
+        row = F.struct(*[F.col(c).alias(f"{to}b") for c, to in {"node": "", "component": "c", "n": "n", "at": "i"}.items()])
+        hubs = shared.groupBy("token").agg(F.min_by(row, F.xxhash64("node", "token", F.lit(salt))).alias("with")).select("token", "with.*")
+        rows = shared.select("token", *[F.col(c).alias(f"{to}a") for c, to in {"node": "", "component": "c", "n": "n", "at": "i"}.items()])
+        size = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+        stars = rows.join(hubs.hint("merge"), "token").where((F.col("ca") != F.col("cb")) & size & _enough())
+        stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(tested_links(stars, nodes, docs, level))
+        member = components(links)
+    shared = spanning(shared, member)
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    open_ = shared.join(nodes.select("node", *sketch).hint("merge"), "node")
+    order = Window.partitionBy("node").orderBy("at")  # the prefix of one document
+    open_ = open_.withColumn("earlier", F.array_compact(F.array(*[F.lag("token", k).over(order) for k in range(1, EARLIER + 1)])))
+    open_ = materialize(open_, "open")
     x, y = (
-        open_.select("token", "hub", *[F.col(c).alias(f"{to}{k}") for c, to in {"node": "", "component": "c", "n": "n", "at": "i", **{s: s for s in sketch}}.items()])
+        open_.select("token", "hub", *[F.col(c).alias(f"{to}{k}") for c, to in {"node": "", "component": "c", "n": "n", "at": "i", "earlier": "e", **{s: s for s in sketch}}.items()])
         for k in "ab"
     )
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    # what can still be shared from the first shared token on must be enough
-    enough = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
-    rest = x.where("a <> hub").join(y.drop("hub"), (x.token == y.token) & apart & enough & _similar()).select("a", "b", "ca", "cb").distinct()
+    first = ~F.arrays_overlap("ea", "eb")  # where a is the hub of an earlier shared token, the pair has been a star's
+    meet = (x.token == y.token) & apart & _enough() & _similar() & first
+    rest = x.where("a <> hub").join(y.drop("hub").hint("merge"), meet).select("a", "b", "ca", "cb").distinct()
     rest = materialize(rest, "met")
     discard(open_)
     rest, met = materialize(near_pairs(rest, nodes).select("a", "b", "ca", "cb", "least"), "rest"), rest
     discard(met)
-    found = links.limit(0)
     for k in range(LIKELIEST_ROUNDS + 1):
         if rest.isEmpty():
             break
@@ -328,14 +358,14 @@ def crossing_links(shared: DataFrame, member: DataFrame, nodes: DataFrame, docs:
         if k < LIKELIEST_ROUNDS:
             ends = rest.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("least", "a", "b").alias("pair"))
             tried = materialize(ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "tried")
-        found = found.unionByName(verified(tried, nodes, docs, level))
+        links = links.unionByName(verified(tried, nodes, docs, level))
         if k < LIKELIEST_ROUNDS:
-            member = components(links.unionByName(found))
+            member = components(links)
             rest = rest.select("a", "b", "least").join(tried, ["a", "b"], "left_anti")
             for e in "ab":
                 rest = rest.join(member.withColumnsRenamed({"node": e, "component": f"c{e}"}), e, "left").withColumn(f"c{e}", F.coalesce(f"c{e}", e))
             rest = materialize(rest.where("ca <> cb"), "rest")
-    return found
+    return links
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
