@@ -3,55 +3,117 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandwise.llm import bloom_dedup, jaccard_join, piece_matching, poisson_mix, quality_rules
-from strandwise.llm.store import materialize
+from strandwise.llm.store import materialize, recording, remove
 
 #: The share of a source in the mix goes with its rows to this power.
 TEMPER = 0.5
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Inner tables of the stages that ran before.
+_left: list[str] = []
+
+
+def _stage(function: Stage) -> Stage:
+    """A stage whose inner tables are deleted as a later stage begins, unless that stage's docs still read them."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        for path in [p for p in _left if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+            remove(spark, path)
+            _left.remove(path)
+        with recording(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def _beside(docs: DataFrame, taken: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs, those named like the operator's own (taken) too."""
+    held = {c: f"__held_{c}" for c in docs.columns if c in taken}
+    return work(docs.withColumnsRenamed(held)).select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    """Documents that the rules keep, with the columns of docs.
+
+    Null and blank texts and those below 20 words go. Repeated rows all stay or all go. All columns pass
+    through, whatever their names. An empty table gives an empty table.
+    """
+    return _beside(docs, quality_rules.OUT, lambda d: quality_rules.judge(d).where("kept"))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest doc_id."""
-    return bloom_dedup.exact_dedup(docs).where("kept").select(docs.columns)
+    """Of documents with equal texts, the one with the smallest doc_id.
+
+    Null counts as the empty text, a null doc_id as the largest. Of rows that repeat one stays. All columns pass through,
+    whatever their names. An empty table gives an empty table.
+    """
+    return _beside(docs, bloom_dedup.OUT, lambda d: bloom_dedup.exact_dedup(d).where("kept"))
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares most of its shingles."""
+    """Of each group of documents linked by their shingles, the one with the smallest doc_id.
+
+    Documents without a word, or whose group has null doc_ids only, stay; rows that repeat stay together. All columns pass through.
+    An empty table gives an empty table.
+    """
     return jaccard_join.near_dedup(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in a random order."""
-    return poisson_mix.poisson_mix(docs, poisson_mix.tempered_rates(docs, TEMPER)).select(docs.columns)
+    """Documents repeated to the target weights of their sources, in a random order.
+
+    A null source is a source of its own. Rows that repeat are drawn alike. All columns pass through, whatever their
+    names. An empty table gives an empty table.
+    """
+    rates = poisson_mix.tempered_rates(docs, TEMPER)
+    return _beside(docs, poisson_mix.OUT, lambda d: poisson_mix.poisson_mix(d, rates))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and piece ids of each document."""
+    """doc_id, source and piece ids of each row; null and empty texts have none. An empty table gives an empty table."""
     coded = piece_matching.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "source", "piece_ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing to target weights", mix), ("piece encoding", encode),
-]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing to target weights", mix),
+    ("piece encoding", encode),
+]
 
 #: SQL can't express the stages' estimation, components and merges; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """(doc_id, source, piece_ids) of the documents that are left, one row for each repetition that the mix draws.
+
+    The stages' docstrings tell what becomes of nulls, blanks, repeated rows, clashing columns and empty tables. Each stage's
+    output is stored once; it is deleted, with the stage's inner tables, when the stage after it has been stored.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            before, docs = path, materialize(docs, name.replace(" ", "-"))
+            path = docs.stored_at
+            if before:
+                remove(spark, before)
     return docs

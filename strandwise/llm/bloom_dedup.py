@@ -7,7 +7,7 @@ whose bits are all there shuffle, the rest pass straight through with their text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -81,8 +81,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     met = tagged.where("__maybe").drop("__maybe").join(groups, "text_sha256").withColumn("kept", F.expr("doc_id <=> keep_id"))
     ties = F.expr("kept and coalesce(if(keep_id is null, __nulls, __least), 1) > 1")
-    order = Window.partitionBy("text_sha256").orderBy("doc_id")
-    tied = met.where(ties).withColumn("kept", F.row_number().over(order) == 1)
+    # equal text and equal doc_id: one of the rows, by a number that each row gets as it is stored
+    tied = materialize(met.where(ties).withColumn("__at", F.monotonically_increasing_id()), "ties")
+    first = tied.groupBy("text_sha256").agg(F.min("__at").alias("__first"))
+    tied = tied.join(first, "text_sha256").withColumn("kept", F.col("__at") == F.col("__first"))
     cols = [c for c in alone.columns if c not in OUT] + list(OUT)
     return alone.select(cols).unionByName(met.where(~ties).select(cols)).unionByName(tied.select(cols))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandwise/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Add the paths of the tables that are stored meanwhile."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -29,7 +44,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    spark._jvm.System.gc()  # shuffle files of finished stages are removed only when the driver collects garbage
+    for paths in _recorders:
+        paths.append(path)
+    # Shuffle files of finished stages are removed only once the driver has collected its garbage, which a driver with little to
+    # do seldom does; PySpark has no call of its own for it.
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -44,8 +63,3 @@ def discard(*tables: DataFrame) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application; results not yet read depend on them."""
-    remove(spark, f"{shared_dir(spark)}/strandwise/{spark.sparkContext.applicationId}")

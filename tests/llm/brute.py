@@ -1,6 +1,7 @@
 """Brute-force versions of operators, over lists of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -50,3 +51,73 @@ def jaccard(docs, width=5):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def base_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen = {}
+    for a in range(len(words) - 7):
+        seen.setdefault(tuple(words[a : a + 8]), []).append(a)
+    covered = {a + k for v in seen.values() if len(v) > 1 for a in v for k in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def votes(text):
+    """1 good, 0 bad, 2 none, by rule."""
+    import regex
+
+    text = text or ""
+    n, chars, symbols, dup, repeat = base_counts(text)
+    words = WORD.findall(text)
+    lines = len([x for x in text.split("\n") if WORD.search(x)])
+    distinct = len(set(words))
+    upper = len(regex.findall(r"\p{Lu}", text))
+    bang, stops = text.count("!"), sum(c in ".!?" for c in text)
+    other = len(regex.findall(r"[^\p{L}\p{M}\x20\x09-\x0D]", text))
+    bare = sum(not regex.search(r"[\p{L}\p{M}\p{Nd}]", w) for w in words)
+    seen = {
+        "symbols": (symbols * 10 > n, symbols == 0), "bare": (bare * 5 > n, bare * 50 <= n), "letters": (other * 5 > chars, other * 10 <= chars),
+        "repeats": (repeat * 10 > n * 3, repeat == 0 and n >= 8), "lines": (dup * 2 > lines and lines >= 4, dup == 0 and lines >= 4),
+        "word_length": (chars < n * 3 or chars > n * 11, n * 4 <= chars <= n * 8), "capitals": (upper * 3 > chars, upper * 10 <= chars),
+        "shouting": (bang * 4 > n, bang * 20 <= n), "stops": (stops * 2 > n or (stops == 0 and n >= 100), stops * 50 >= n and stops * 4 <= n),
+        "variety": (distinct**2 < n * 9 and n >= 50, distinct**2 >= n * 25 and n >= 50),
+    }
+    return {r: 2 if n == 0 else 0 if bad else 1 if good else 2 for r, (bad, good) in seen.items()}
+
+
+def posteriors(rows, rounds=25, prior=0.8, right=(0.35, 0.99), smooth=10):
+    """EM over votes, row by row: p(good) of each row of {rule: vote}."""
+    share, acc = prior, {r: list(right) for r in (rows[0] if rows else {})}
+
+    def p_good(v):
+        odds = math.log(share / (1 - share))
+        for r, x in v.items():
+            if x == 1:
+                odds += math.log(acc[r][1] / (1 - acc[r][0]))
+            elif x == 0:
+                odds += math.log((1 - acc[r][1]) / acc[r][0])
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(rounds):
+        p = [p_good(v) for v in rows]
+        old, share = share, (sum(p) + smooth * prior) / (len(rows) + smooth)
+        for r in acc:
+            for c in (0, 1):
+                w = p if c else [1 - x for x in p]
+                hit = sum(x for x, v in zip(w, rows, strict=True) if v[r] == c)
+                miss = sum(x for x, v in zip(w, rows, strict=True) if v[r] == 1 - c)
+                acc[r][c] = (hit + smooth * right[c]) / (hit + miss + smooth)
+        if abs(share - old) < 1e-5:
+            break
+    return [p_good(v) for v in rows]
+
+
+def kept_by_rules(docs):
+    p = posteriors([votes(t) for _, t in docs])
+    out = []
+    for (_, t), x in zip(docs, p, strict=True):
+        n, *_, repeat = base_counts(t)
+        out.append(n >= 20 and 100 * repeat <= 30 * n and x >= 0.5)
+    return out
