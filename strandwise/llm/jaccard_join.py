@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_flag, repeated_only
+from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_flag
 from .components import components
 from .store import discard, materialize
 
@@ -244,6 +244,20 @@ def distinct_sets(wide: DataFrame) -> DataFrame:
     return tried.where("not again").drop("again").unionByName(grouped)
 
 
+def shared_posts(posts: DataFrame) -> DataFrame:
+    """The postings (token, node, n, at) whose token has two nodes or more, with their number (met) and the smallest (hub).
+
+    Shingles of level 0 are rare: one shuffle brings the few nodes of each together, and a window counts them. The others may be in any
+    share of all documents: they are counted with partial sums, and meet their counts in a join that AQE splits at a hot shingle.
+    """
+    level = F.shiftrightunsigned("token", 62)
+    same = Window.partitionBy("token")
+    rare = posts.where(level == 0).withColumn("hub", F.min("node").over(same)).withColumn("met", F.count("*").over(same)).where("met > 1")
+    frequent = posts.where(level != 0)
+    lists = materialize(frequent.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1"), "lists")
+    return rare.unionByName(frequent.join(lists.hint("merge"), "token"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, tie) for each row of docs; tie is xxhash64 of the text.
 
@@ -265,14 +279,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = distinct_sets(wide)
     nodes = materialize(sets.drop("prefix"), "nodes")
     posts = sets.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    m = bitmap_bits(sets.agg(F.sum(F.size("prefix"))).first()[0] or 0)
-    bitmap = materialize(repeated_bits_of(posts.select(F.pmod("token", F.lit(m)).alias("bit")), m), "bloom")
-    posts = materialize(repeated_only(posts, "token", bitmap, m), "posts")
+    shared = materialize(shared_posts(posts), "shared")
     discard(wide)
-    lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
-    lists = materialize(lists, "lists")
-    shared = materialize(posts.join(lists.hint("merge"), "token"), "shared")
-    discard(posts, lists)
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = crossing_links(shared, nodes, docs, level, tested_links(stars, nodes, docs, level))
     member = components(links)
