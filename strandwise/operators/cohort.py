@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +66,14 @@ def ld_pairs(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """df computed once: in spark.checkpoint.dir if it is set, else with the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed once, in the folder that spark.checkpoint.dir names; in one of our own where it is unset and the master is local."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or f"file://{tempfile.gettempdir()}/strandwise-checkpoints")
+    return df.checkpoint()
 
 
 def block_ends(pairs: DataFrame, threshold: float) -> DataFrame:

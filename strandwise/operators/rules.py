@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .spectrum import KEY
 
+#: The classes, from scores of 6, 3, -2 and above -6 on, and below.
 CLASSES = ("pathogenic", "likely_pathogenic", "uncertain", "likely_benign", "benign")
 
 
@@ -53,20 +55,34 @@ def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:
     return spectrum.join(ran, "sample_id", "left").join(ok, ["sample_id", *KEY], "left").where("ran is null or ok").drop("ran", "ok")
 
 
-def condition(actual: Column, op: Column, value: Column) -> Column:
-    """Whether a rule's condition holds: numbers compare as numbers, other text only by eq and ne; else false."""
-    a, b = F.expr("try_cast(actual AS double)"), F.expr("try_cast(value AS double)")
-    held = F.when(op == "eq", F.coalesce(a == b, actual == value)).when(op == "ne", F.coalesce(a != b, actual != value))
-    held = held.when(op == "gt", a > b).when(op == "gte", a >= b).when(op == "lt", a < b).when(op == "lte", a <= b)
+def condition(actual: Column, op: Column, value: Column, numeric: bool) -> Column:
+    """Whether a rule's condition on a field holds: numbers compare as numbers, text as text and only by eq and ne; else false."""
+    if numeric:
+        a, b = actual.cast("double"), value.try_cast("double")
+        held = F.when(op == "gt", a > b).when(op == "gte", a >= b).when(op == "lt", a < b).when(op == "lte", a <= b)
+    else:
+        a, b, held = actual.cast("string"), value, F
+    held = held.when(op == "eq", a == b).when(op == "ne", a != b)
     return F.coalesce(held, F.lit(False))
 
 
 def score_variants(variants: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
-    """The sum of the weights of the rules (field, op, value, weight) that each row meets. Rules are a few rows, bounded by who writes them."""
-    actual = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
-    met = variants.withColumn("__all", actual).crossJoin(F.broadcast(rules)).withColumn("actual", F.element_at("__all", F.col("field")))
-    weight = F.when(condition(F.col("actual"), F.col("op"), F.col("value")), F.col("weight")).otherwise(0)
-    return met.groupBy(*variants.columns).agg(F.sum(weight).cast("bigint").alias("score"))
+    """Each row with score, the sum of the weights of the rules (field, op, value, weight) that it meets; 0 without rules.
+
+    Rules are a few rows, bounded by who writes them: they go along as one array that is folded over in each row, so that equal rows
+    stay apart and nothing shuffles.
+    """
+    table = rules.agg(F.collect_list(F.struct("field", "op", "value", F.col("weight").cast("bigint").alias("weight"))).alias("__rules"))
+    numeric = {f: isinstance(variants.schema[f].dataType, NumericType) for f in fields}
+
+    def weight(rule: Column) -> Column:
+        met = F.lit(False)
+        for f in fields:
+            met = met | ((rule["field"] == f) & condition(F.col(f), rule["op"], rule["value"], numeric[f]))
+        return F.when(met, rule["weight"]).otherwise(F.lit(0).cast("bigint"))
+
+    score = F.aggregate("__rules", F.lit(0).cast("bigint"), lambda total, rule: total + weight(rule))
+    return variants.crossJoin(F.broadcast(table)).withColumn("score", score).drop("__rules")  # the table is one row
 
 
 def classify(score: Column) -> Column:

@@ -53,8 +53,9 @@ def frequency_range(spark, d):
     return spectrum.frequency_range(population_frequency(spark, d), 0.002, 0.01)
 
 
-@query("""SELECT r.range AS bucket, r.range * 100 AS start_pos, least(r.range * 100 + 99, 1949) AS end_pos, count(ref_pos) AS n
-FROM range(20) r LEFT JOIN variant ON ref_pos // 100 = r.range AND ref_pos < 1950 GROUP BY r.range""", ("variant",))
+@query("""WITH t AS (SELECT max(ref_pos) + 1 AS length FROM variant), r AS (SELECT length, unnest(range((length - 1) // 100 + 1)) AS k FROM t)
+SELECT k AS bucket, k * 100 AS start_pos, least(k * 100 + 99, length - 1) AS end_pos, count(ref_pos) AS n
+FROM r LEFT JOIN variant ON ref_pos // 100 = k GROUP BY k, length""", ("variant",))
 def variant_density_buckets(spark, d):
     return spectrum.density_buckets(view(spark, d, "variant"), 100)
 
@@ -127,7 +128,7 @@ EVIDENCE = f"""WITH evidence AS (SELECT sample_id, {FIVE}, count(DISTINCT alignm
 FROM link JOIN variant USING (alignment_id) JOIN alignment USING (alignment_id) GROUP BY sample_id, {FIVE})"""
 QC = EVIDENCE + """, qc AS (SELECT *, CASE WHEN failed_rules = '' THEN 'PASS' ELSE 'FAIL' END AS qc_status FROM (SELECT *,
 concat_ws(',', CASE WHEN best_score IS NULL OR best_score < 30 THEN 'alignment_score' END, CASE WHEN depth < 1 THEN 'coverage_depth' END,
-CASE WHEN least(ref_pos + 1, 2000 - ref_pos + 1) <= 50 THEN 'edge_position' END) AS failed_rules FROM evidence))"""
+CASE WHEN least(ref_pos + 1, (SELECT max(ref_pos) + 1 FROM variant) - ref_pos + 1) <= 50 THEN 'edge_position' END) AS failed_rules FROM evidence))"""
 WITH_ALIGNMENT = (*BASE, "alignment")
 
 
@@ -164,7 +165,7 @@ def qc_report_buckets(spark, d):
 
 
 @query(QC + f""", spectrum AS (SELECT sample_id, {FIVE}, count(DISTINCT alignment_id) AS n_alignments FROM link JOIN variant USING (alignment_id) GROUP BY sample_id, {FIVE})
-SELECT s.* FROM spectrum s WHERE sample_id % 3 <> 0 OR EXISTS (SELECT 1 FROM qc q WHERE q.qc_status = 'PASS' AND q.sample_id = s.sample_id AND
+SELECT s.* FROM spectrum s WHERE sample_id NOT IN (SELECT sample_id FROM qc) OR EXISTS (SELECT 1 FROM qc q WHERE q.qc_status = 'PASS' AND q.sample_id = s.sample_id AND
 {' AND '.join(f'q.{k} = s.{k}' for k in spectrum.KEY)})""", WITH_ALIGNMENT)
 def qc_pass_filter(spark, d):
     return rules.passed_only(spec(spark, d).drop("first_variant"), qc_results(spark, d))
@@ -201,9 +202,7 @@ def jaccard_matrix(spark, d):
     return cohort.jaccard_matrix(spec(spark, d, "cohort_link"))
 
 
-#: The SQL's subset; the query takes the whole spectrum.
-SMALL = "ref_pos % 97 = 0 AND sample_id < 400"
-EDGES = f"""WITH k AS (SELECT DISTINCT sample_id, {FIVE} FROM link JOIN variant USING (alignment_id) WHERE {SMALL}), size AS (SELECT sample_id, count(*) AS n FROM k GROUP BY 1),
+EDGES = f"""WITH k AS (SELECT DISTINCT sample_id, {FIVE} FROM link JOIN variant USING (alignment_id)), size AS (SELECT sample_id, count(*) AS n FROM k GROUP BY 1),
 o AS (SELECT x.sample_id AS source, y.sample_id AS target, count(*) AS shared FROM k x JOIN k y USING ({FIVE}) WHERE x.sample_id <> y.sample_id GROUP BY 1, 2),
 edges AS (SELECT source, target FROM o JOIN size s ON s.sample_id = source JOIN size t ON t.sample_id = target JOIN sample p ON p.sample_id = source JOIN sample q ON q.sample_id = target
 WHERE shared = s.n AND s.n < t.n AND p.collection_date < q.collection_date)"""
@@ -223,13 +222,11 @@ def transmission_reduced(spark, d):
     return cohort.reduced(edges(spark, d))
 
 
-#: The SQL's subset; the query takes every SNP locus, and pairs those of one reference.
-LOCI = "SELECT p_partkey AS ref_pos FROM part WHERE p_size <= 2"
-
-
-@query(COHORT + f""", n AS (SELECT count(DISTINCT sample_id) AS n FROM cohort), c AS (SELECT DISTINCT sample_id, ref_pos FROM spectrum WHERE variant_type = 'SNP' AND ref_pos IN ({LOCI})),
-o AS (SELECT ref_pos, count(*) AS c FROM c GROUP BY 1), aa AS (SELECT x.ref_pos AS i, y.ref_pos AS j, count(*) AS aa FROM c x JOIN c y USING (sample_id) WHERE x.ref_pos < y.ref_pos GROUP BY 1, 2),
-p AS (SELECT x.ref_pos AS i, y.ref_pos AS j, x.c / n.n AS pi, y.c / n.n AS pj, coalesce(aa, 0) / n.n AS pij FROM o x JOIN o y ON x.ref_pos < y.ref_pos CROSS JOIN n LEFT JOIN aa ON aa.i = x.ref_pos AND aa.j = y.ref_pos),
+@query(COHORT + """, n AS (SELECT count(DISTINCT sample_id) AS n FROM cohort), c AS (SELECT DISTINCT reference_id, sample_id, ref_pos FROM spectrum WHERE variant_type = 'SNP'),
+o AS (SELECT reference_id AS r, ref_pos, count(*) AS c FROM c GROUP BY 1, 2),
+aa AS (SELECT reference_id AS r, x.ref_pos AS i, y.ref_pos AS j, count(*) AS aa FROM c x JOIN c y USING (reference_id, sample_id) WHERE x.ref_pos < y.ref_pos GROUP BY 1, 2, 3),
+p AS (SELECT x.ref_pos AS i, y.ref_pos AS j, x.c / n.n AS pi, y.c / n.n AS pj, coalesce(aa, 0) / n.n AS pij FROM o x JOIN o y ON x.r = y.r AND x.ref_pos < y.ref_pos
+CROSS JOIN n LEFT JOIN aa ON aa.r = x.r AND aa.i = x.ref_pos AND aa.j = y.ref_pos),
 q AS (SELECT *, pij - pi * pj AS d, pi * (1 - pi) * pj * (1 - pj) AS v, CASE WHEN pij - pi * pj >= 0 THEN least(pi * (1 - pj), (1 - pi) * pj) ELSE least(pi * pj, (1 - pi) * (1 - pj)) END AS m FROM p)
 SELECT i, j, round(d, 6) + 0.0 AS d, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE round(abs(d / m), 6) END AS d_prime, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round(d * d / v, 6) END AS r2 FROM q""", WITH_COHORT)
 def ld_matrix(spark, d):
@@ -282,7 +279,7 @@ def strongest_signature(spark, d):
 
 
 @query("""WITH e AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS ref_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-FROM e a, e b WHERE b.vec_id < 30)
+FROM e a, e b)
 SELECT id, rank, ref_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, ref_id) AS rank FROM p) WHERE rank <= 3""")
 def signature_match(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -291,7 +288,7 @@ def signature_match(spark, d):
 
 
 @query("""SELECT sequence_id, length(bases) AS n, CASE WHEN length(bases) = 0 THEN 0.0::DOUBLE ELSE round((length(bases) - length(translate(bases, 'GC', ''))) * 100 / length(bases), 2) END AS gc,
-substr(reverse(translate(bases, 'ACGT', 'TGCA')), 1, 40) AS reverse_start FROM sequence""", ("sequence",))
+sha256(reverse(translate(bases, 'ACGT', 'TGCA'))) AS reverse_sha256 FROM sequence""", ("sequence",))
 def sequence_features(spark, d):
     s = view(spark, d, "sequence")
     return s.select("sequence_id", F.length("bases").alias("n"), signatures.gc_percent(F.col("bases")).alias("gc"), F.sha2(signatures.reverse_complement(F.col("bases")), 256).alias("reverse_sha256"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandwise.operators import cohort, signatures
+from strandwise.operators import cohort, rules, signatures
 from strandwise.plans import genomics
 from strandwise.sources.text import read_annotations, read_fasta
 
@@ -65,5 +65,22 @@ def test_reduced_edges(spark):
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.fa").write_text("junk\n>r1 first\nacg\n\nTT\n>r2\nggg\n")
     (tmp_path / "a.gff").write_text("# no\nr1 1 5 exon G1\nr1 7 9 intron\n")
-    assert sorted(map(tuple, read_fasta(spark, str(tmp_path / "a.fa")).where("bases <> ''").collect())) == [("r1", "ACGTT"), ("r2", "GGG")]
+    assert sorted(map(tuple, read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("r1", "ACGTT"), ("r2", "GGG")]
     assert [tuple(r) for r in read_annotations(spark, str(tmp_path / "a.gff")).collect()] == [("r1", 1, 5, "exon", "G1")]
+
+
+def test_fasta_headers_start_a_line(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("junk\nACGT\n>r1 a>b\nacg\n\nTT\n>r2\n")
+    (tmp_path / "b.fa").write_bytes(b">x y\r\nac\r\n>z\r\nGG")
+    got = sorted(map(tuple, read_fasta(spark, str(tmp_path)).collect()))
+    assert got == [("r1", "ACGTT"), ("r2", ""), ("x", "AC"), ("z", "GG")]
+
+
+def test_score_of_equal_rows_and_without_rules(spark):
+    rows = spark.createDataFrame([("1", 7), ("1", 7), (None, None)], "kind string, pos int")
+    some = spark.createDataFrame(
+        [("kind", "eq", "1.0", 100), ("kind", "eq", "1", 2), ("kind", "gt", "0", 100), ("pos", "eq", "7.0", 3), ("pos", "gte", "x", 100)],
+        "field string, op string, value string, weight int",
+    )
+    assert sorted(r.score for r in rules.score_variants(rows, some, ["kind", "pos"]).collect()) == [0, 5, 5]
+    assert [r.score for r in rules.score_variants(rows, some.limit(0), ["kind", "pos"]).collect()] == [0, 0, 0]
