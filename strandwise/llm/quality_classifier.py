@@ -113,13 +113,16 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; the label's rows that are held out are never read.
 
-    Null and empty texts have zero features, and a score. Rows without a label, or with a null one, teach nothing. Without
-    labels of both kinds every score is the labels' mean, 0.5 without any.
+    Null and empty texts have zero features, and a score. Rows without a label, or with a null one, teach nothing; of several labels of a
+    doc_id the greater counts, of several texts the one with the least features. Without labels of both kinds every score is the
+    labels' mean, 0.5 without any. Repeated rows get equal scores, a score of exactly one half predicts 1, whole
+    texts count however long, and other columns of docs and labels are not read. An empty table gives an empty table.
     """
     features = materialize(pooled(docs, word_vectors(docs)), "features")
-    taught = labels.where(~held_out(3, 1) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
+    taught = labels.where(~held_out(3, 1) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
-    sample = features.join(F.broadcast(taught), "doc_id").select("features", "y").toPandas()  # SAMPLE rows at most of labels
+    sample = features.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features"))
+    sample = sample.select("features", "y").toPandas()  # SAMPLE rows at most, however often a doc_id repeats
     sample = sample.iloc[np.lexsort([sample["y"], sample["features"].map(lambda v: float(np.sum(v)))])] if len(sample) else sample
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), 2 * DIM + 2)
     model = network.fit(x, sample["y"].to_numpy(float))

@@ -170,12 +170,15 @@ def features(docs: DataFrame, terms: list[str], *keep: str, model: dict | None =
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; the label's rows that are held out are never read.
 
-    Null and empty texts have no hits, and a score. Rows without a label, or with a null one, teach nothing. Without labels
-    of both kinds every score is the labels' mean, 0.5 without any.
+    Null and empty texts have no hits, and a score. Rows without a label, or with a null one, teach nothing; of several labels of a
+    doc_id the greater counts, of several texts the least. Without labels of both kinds every score is the labels' mean, 0.5
+    without any. Repeated rows get equal scores, a score of exactly one half predicts 1, whole texts count however
+    long, and other columns of docs and labels are not read. An empty table gives an empty table.
     """
-    taught = labels.where(~held_out(5, 0) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
+    taught = labels.where(~held_out(5, 0) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)  # SAMPLE rows at most are broadcast
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id"), "sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "sample")  # as many rows at most, however often a doc_id repeats
     terms = lexicon(sample)
     seen = features(sample, terms, "doc_id", "y").toPandas()
     x = np.array(seen["features"].tolist(), float).reshape(len(seen), 5)

@@ -171,6 +171,19 @@ def test_scores(docs, labels, rows, module, label, mod, rest):
     assert {r.doc_id: r.score for r in module.scores(docs, held).collect()} == {i: r.score for i, r in got.items()}
 
 
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality_classifier, "quality")])
+def test_repeated_rows_teach_once(spark, docs, labels, module, label):
+    """Repeated documents and labels change neither the sample nor the scores of the others."""
+    one = docs.where("doc_id = 7").select(docs.columns)
+    once = {r.doc_id: r.score for r in toxicity.scores(docs, labels).collect()} if module is toxicity else None
+    more = docs.unionByName(one).unionByName(one).unionByName(one)
+    got = module.scores(more, labels.unionByName(labels)).collect()
+    assert len(got) == more.count()
+    assert len({r.score for r in got if r.doc_id == 7}) == 1
+    if once:  # word vectors of quality_classifier count all rows, a lexicon only the sample's
+        assert {r.doc_id: r.score for r in got} == once
+
+
 def test_jaccard(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == jaccard(pairs(rows))
