@@ -25,8 +25,9 @@ from .store import materialize
 
 #: Labelled rows that the lexicon and the network are fitted to, at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
-#: Terms of the lexicon at most; the share of toxic documents that must have one; log odds that it needs.
-TERMS, SHARE, ODDS = 600, 0.005, 3.0
+#: The share of toxic documents that must have a term, and the log odds that it needs. The share bounds the lexicon: the
+#: terms of all toxic documents of the sample are at most their different words, so 1 / SHARE times those of a mean document.
+SHARE, ODDS = 0.005, 3.0
 #: Letters from which a term may be met with an edit.
 FUZZY = 5
 #: Words on either side of a hit that are its context.
@@ -127,13 +128,13 @@ def lexicon(docs: DataFrame) -> list[str]:
             w = pair % max(1, len(words))
             yield A.batch(schema, words, np.bincount(w, y == 1, len(words)).astype(int), np.bincount(w, y != 1, len(words)).astype(int))
 
-    counts = docs.select("text", "y").mapInArrow(run, "word string, toxic bigint, clean bigint").where("length(word) <= 40")
+    counts = docs.select("text", "y").mapInArrow(run, "word string, toxic bigint, clean bigint")
     n1, n0 = docs.agg(F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0)), F.count("*")).first()
     n0 -= n1
     words = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     good = words.where((F.col("toxic") >= max(3, SHARE * n1)) & (odds >= ODDS))
-    return sorted(r["word"] for r in good.orderBy(F.col("toxic").desc(), "word").limit(TERMS).collect())
+    return sorted(r["word"] for r in good.collect())
 
 
 def features(docs: DataFrame, terms: list[str], *keep: str, model: dict | None = None) -> DataFrame:
