@@ -55,6 +55,13 @@ def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:
     return spectrum.join(ran, "sample_id", "left").join(ok, ["sample_id", *KEY], "left").where("ran is null or ok").drop("ran", "ok")
 
 
+def with_status(spectrum: DataFrame, results: DataFrame, status: str | None = None) -> DataFrame:
+    """The spectrum with each variant's qc_status and failed_rules, null without a result; with a status, its variants only."""
+    keys = ["sample_id", *KEY]
+    out = spectrum.join(results.select(*keys, "qc_status", "failed_rules"), keys, "left")
+    return out.where(F.col("qc_status") == status) if status else out
+
+
 def condition(actual: Column, op: Column, value: Column, numeric: bool) -> Column:
     """Whether a rule's condition on a field holds: numbers compare as numbers, text as text and only by eq and ne; else false."""
     if numeric:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bases
 from ..operators import cohort, rules, signatures, spectrum
 from ..sources.projection import duckdb_views, view
 
@@ -312,3 +313,38 @@ def cigar_runs(spark, d):
     o = spark.read.parquet(f"{d}/lineitem.parquet")
     op = F.when(F.col("l_returnflag") == "R", "M").when(F.col("l_returnflag") == "A", "I").otherwise("D")
     return signatures.cigar_runs(o.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), op.alias("op")))
+
+
+@query(f"""WITH p AS (SELECT sequence_id, array_to_string(list_transform(regexp_extract_all(bases, '...'), lambda c:
+substr('{bases.AMINO}', 16 * instr('TCAG', c[1]) + 4 * instr('TCAG', c[2]) + instr('TCAG', c[3]) - 20, 1)), '') AS peptide FROM sequence)
+SELECT sequence_id, length(peptide) AS n_codons, length(peptide) - length(replace(peptide, '*', '')) AS n_stops, sha256(peptide) AS peptide_sha256 FROM p""", ("sequence",))
+def codon_translation(spark, d):
+    p = view(spark, d, "sequence").select("sequence_id", bases.translate(F.col("bases")).alias("peptide"))
+    stops = F.length("peptide") - F.length(F.replace("peptide", F.lit("*"), F.lit("")))
+    return p.select("sequence_id", F.length("peptide").alias("n_codons"), stops.alias("n_stops"), F.sha2("peptide", 256).alias("peptide_sha256"))
+
+
+@query("""SELECT sample_id, round(year(collection_date) + (month(collection_date) - 1) / 12.0 + (day(collection_date) - 1) / 365.25, 9) AS collected
+FROM sample""", ("sample",))
+def collection_years(spark, d):
+    return view(spark, d, "sample").select("sample_id", F.round(bases.decimal_year(F.col("collection_date")), 9).alias("collected"))
+
+
+@query("""SELECT reference_id, CASE WHEN ref_base = alt_base THEN 'same' WHEN ref_base || alt_base IN ('AG', 'GA', 'CT', 'TC') THEN 'transition'
+ELSE 'transversion' END AS site_class, count(*) AS n FROM variant WHERE variant_type = 'SNP' GROUP BY 1, 2""", ("variant",))
+def site_classes(spark, d):
+    snp = view(spark, d, "variant").where("variant_type = 'SNP'")
+    return snp.groupBy("reference_id", bases.site_class(F.col("ref_base"), F.col("alt_base")).alias("site_class")).agg(F.count("*").alias("n"))
+
+
+@query(QC + f""", spectrum AS (SELECT sample_id, {FIVE}, count(DISTINCT alignment_id) AS n_alignments FROM link JOIN variant USING (alignment_id) GROUP BY sample_id, {FIVE})
+SELECT s.*, q.qc_status, q.failed_rules FROM spectrum s LEFT JOIN qc q ON q.sample_id = s.sample_id AND
+{' AND '.join(f'q.{k} = s.{k}' for k in spectrum.KEY)}""", WITH_ALIGNMENT)
+def spectrum_with_qc(spark, d):
+    return rules.with_status(spec(spark, d).drop("first_variant"), qc_results(spark, d))
+
+
+@query(QC + """SELECT sample_id, ref_pos, variant_type, failed_rules FROM qc WHERE qc_status = 'FAIL'""", WITH_ALIGNMENT)
+def spectrum_failed(spark, d):
+    rows = rules.with_status(spec(spark, d), qc_results(spark, d), "FAIL")
+    return rows.select("sample_id", "ref_pos", "variant_type", "failed_rules")

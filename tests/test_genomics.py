@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandwise.functions import bases
 from strandwise.operators import cohort, rules, signatures
 from strandwise.plans import genomics
 from strandwise.sources.text import read_annotations, read_fasta
@@ -84,3 +85,24 @@ def test_score_of_equal_rows_and_without_rules(spark):
     )
     assert sorted(r.score for r in rules.score_variants(rows, some, ["kind", "pos"]).collect()) == [0, 5, 5]
     assert [r.score for r in rules.score_variants(rows, some.limit(0), ["kind", "pos"]).collect()] == [0, 0, 0]
+
+
+def test_codons_dates_and_sites(spark):
+    codons = spark.createDataFrame([("atg",), ("TAA",), ("TTT",), ("GGG",), ("ANG",), ("AT",), ("CAGT",)], "c string")
+    assert [r[0] for r in codons.select(bases.translate_codon(F.col("c"))).collect()] == ["M", "*", "F", "G", "X", "X", "X"]
+    year = spark.sql("SELECT DATE'2023-07-16' AS d").select(bases.decimal_year(F.col("d"))).first()[0]
+    assert abs(year - (2023 + 6 / 12 + 15 / 365.25)) < 1e-9
+    changes = {"AG", "GA", "CT", "TC"}
+
+    def by_hand(x, y):
+        a, b = bases.CODES.get(x), bases.CODES.get(y)
+        if not a or not b:
+            return None
+        if a == b and len(a) == 1:
+            return "same"
+        kinds = {"transition" if p + q in changes else "transversion" for p in a for q in b if p != q}
+        return "transversion" if "transversion" in kinds else "transition"
+
+    pairs = [(x, y) for x in [*bases.CODES, "-", "Z"] for y in [*bases.CODES, "-", "Z"]]
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", bases.site_class(F.col("x"), F.col("y")).alias("k")).collect()
+    assert all(r.k == by_hand(r.x, r.y) for r in got)
