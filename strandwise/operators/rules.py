@@ -19,8 +19,9 @@ def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> Da
 
 
 def qc(evidence: DataFrame, min_score: float, min_depth: int, margin: int, length: DataFrame) -> DataFrame:
-    """The rules that each variant fails, and its status; length is one row with that column. The distance to the end is counted from 1."""
-    edge = F.least(F.col("ref_pos") + 1, F.col("length") - F.col("ref_pos") + 1)
+    """The rules that each variant fails, and its status; length is one row with that column. The distance to the start is
+    the position itself, the distance to the end is counted from 1."""
+    edge = F.least(F.col("ref_pos"), F.col("length") - F.col("ref_pos") + 1)
     bad = {
         "alignment_score": F.coalesce(F.col("best_score") < min_score, F.lit(True)),
         "coverage_depth": F.col("depth") < min_depth,
@@ -41,11 +42,15 @@ def qc_rule_failures(results: DataFrame) -> DataFrame:
     return rule.groupBy("rule_type").agg(F.count("*").alias("failures"))
 
 
-def qc_buckets(results: DataFrame, width: int = 500) -> DataFrame:
-    """Passes and fails by bucket, labelled from 1, with the density of fails."""
-    b = F.expr(f"(ref_pos - 1) div {width}").alias("bucket")
+def qc_buckets(results: DataFrame, length: DataFrame, width: int = 500) -> DataFrame:
+    """Passes and fails by bucket, labelled from 1, with the density of fails; length is one row with that column.
+
+    Position 0 stands before the first bucket and is counted in the last one, as are positions beyond it."""
+    last = F.expr(f"(length + {width} - 1) div {width} - 1")
+    b = F.when(F.col("ref_pos") == 0, last).otherwise(F.least(F.expr(f"(ref_pos - 1) div {width}"), last)).alias("bucket")
     fail = F.count_if(F.col("qc_status") == "FAIL")
-    return results.groupBy(b).agg(F.count_if(F.col("qc_status") == "PASS").alias("passed"), fail.alias("failed"), (fail / F.lit(width)).alias("fail_density"))
+    placed = results.crossJoin(F.broadcast(length))
+    return placed.groupBy(b).agg(F.count_if(F.col("qc_status") == "PASS").alias("passed"), fail.alias("failed"), (fail / F.lit(width)).alias("fail_density"))
 
 
 def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ EVIDENCE = f"""WITH evidence AS (SELECT sample_id, {FIVE}, count(DISTINCT alignm
 FROM link JOIN variant USING (alignment_id) JOIN alignment USING (alignment_id) GROUP BY sample_id, {FIVE})"""
 QC = EVIDENCE + """, qc AS (SELECT *, CASE WHEN failed_rules = '' THEN 'PASS' ELSE 'FAIL' END AS qc_status FROM (SELECT *,
 concat_ws(',', CASE WHEN best_score IS NULL OR best_score < 30 THEN 'alignment_score' END, CASE WHEN depth < 1 THEN 'coverage_depth' END,
-CASE WHEN least(ref_pos + 1, (SELECT max(ref_pos) + 1 FROM variant) - ref_pos + 1) <= 50 THEN 'edge_position' END) AS failed_rules FROM evidence))"""
+CASE WHEN least(ref_pos, (SELECT max(ref_pos) + 1 FROM variant) - ref_pos + 1) <= 50 THEN 'edge_position' END) AS failed_rules FROM evidence))"""
 WITH_ALIGNMENT = (*BASE, "alignment")
 
 
@@ -159,10 +159,11 @@ def qc_rule_failures(spark, d):
     return rules.qc_rule_failures(qc_results(spark, d))
 
 
-@query(QC + """SELECT (ref_pos - 1) // 500 AS bucket, count(*) FILTER (qc_status = 'PASS') AS passed, count(*) FILTER (qc_status = 'FAIL') AS failed,
-count(*) FILTER (qc_status = 'FAIL') / 500 AS fail_density FROM qc GROUP BY 1""", WITH_ALIGNMENT)
+@query(QC + """, t AS (SELECT (max(ref_pos) + 500) // 500 - 1 AS last FROM variant)
+SELECT CASE WHEN ref_pos = 0 THEN last ELSE least((ref_pos - 1) // 500, last) END AS bucket, count(*) FILTER (qc_status = 'PASS') AS passed, count(*) FILTER (qc_status = 'FAIL') AS failed,
+count(*) FILTER (qc_status = 'FAIL') / 500 AS fail_density FROM qc, t GROUP BY 1""", WITH_ALIGNMENT)
 def qc_report_buckets(spark, d):
-    return rules.qc_buckets(qc_results(spark, d))
+    return rules.qc_buckets(qc_results(spark, d), spectrum.table_length(view(spark, d, "variant")))
 
 
 @query(QC + f""", spectrum AS (SELECT sample_id, {FIVE}, count(DISTINCT alignment_id) AS n_alignments FROM link JOIN variant USING (alignment_id) GROUP BY sample_id, {FIVE})

@@ -106,3 +106,14 @@ def test_codons_dates_and_sites(spark):
     pairs = [(x, y) for x in [*bases.CODES, "-", "Z"] for y in [*bases.CODES, "-", "Z"]]
     got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", bases.site_class(F.col("x"), F.col("y")).alias("k")).collect()
     assert all(r.k == by_hand(r.x, r.y) for r in got)
+
+
+def test_quality_control_at_the_ends(spark):
+    """The start's distance is the position, the end's is counted from 1; position 0 falls into the last bucket."""
+    row = lambda p: (1, 1, p, "SNP", "A", "C", 1, 50.0)
+    schema = "sample_id int, reference_id int, ref_pos int, variant_type string, ref_base string, alt_base string, depth int, best_score double"
+    table = spark.createDataFrame([row(p) for p in (0, 50, 51, 500, 501, 1150, 1151, 1199)], schema)
+    length = spark.createDataFrame([(1200,)], "length int")
+    out = rules.qc(table, 30, 1, 50, length)
+    assert {r.ref_pos for r in out.where("qc_status = 'FAIL'").collect()} == {0, 50, 1151, 1199}
+    assert sorted((r.bucket, r.passed, r.failed) for r in rules.qc_buckets(out, length).collect()) == [(0, 2, 1), (1, 1, 0), (2, 1, 3)]

@@ -129,7 +129,7 @@ def test_density_and_quality_control_take_the_length_from_the_table(spark, small
     assert max(pos) == 29_999
     assert got == [(b, b * 100, b * 100 + 99, sum(p // 100 == b for p in pos)) for b in range(300)]
     for r in genomics.QUERIES["qc_run"](spark, small).collect():
-        assert ("edge_position" in r.failed_rules) == (min(r.ref_pos + 1, 30_000 - r.ref_pos + 1) <= 50)
+        assert ("edge_position" in r.failed_rules) == (min(r.ref_pos, 30_000 - r.ref_pos + 1) <= 50)
     bare = view(spark, small, "variant").where("false")
     assert spectrum.density_buckets(bare, 100).count() == 0
 
