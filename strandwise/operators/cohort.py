@@ -111,6 +111,20 @@ def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
     return out.select(*by, F.col("pos").alias("start_pos"), "end_pos", n.alias("n")).where("n >= 2")
 
 
+def site_differences(snp: DataFrame) -> DataFrame:
+    """(a, b, ref_pos, kind), a < b, of the sites where two samples differ: those of two carriers of other bases, and those of one carrier.
+
+    A sample has the least of its alternative bases, else the reference's, as in k2p.
+    """
+    own = snp.groupBy("sample_id", "ref_pos").agg(F.min("alt_base").alias("x"))
+    ref = snp.groupBy("ref_pos").agg(F.min("ref_base").alias("ref"))
+    samples = snp.select(F.col("sample_id").alias("other")).distinct()
+    met = own.join(ref, "ref_pos").join(samples, F.col("sample_id") != F.col("other"))  # each site's carriers with the cohort (200 samples)
+    met = met.join(own.toDF("other", "ref_pos", "y"), ["other", "ref_pos"], "left").withColumn("y", F.coalesce("y", "ref")).where("x <> y")
+    kind = F.when(F.concat("x", "y").isin("AG", "GA", "CT", "TC"), "transition").otherwise("transversion")
+    return met.select(F.least("sample_id", "other").alias("a"), F.greatest("sample_id", "other").alias("b"), "ref_pos", kind.alias("kind")).distinct()
+
+
 def k2p(spectrum: DataFrame) -> DataFrame:
     """Kimura distances of all pairs of samples over their SNP sites: alternative bases, the reference's where a sample has none."""
     snp = spectrum.where("variant_type = 'SNP'").groupBy("sample_id", "ref_pos").agg(F.min("alt_base").alias("alt"))

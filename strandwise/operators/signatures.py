@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,43 @@ def linear_trend(points: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     return g.select(*keys, "n", z("slope"), z("intercept"), z("r2"))
 
 
+def two_tailed(r2: Column, df: Column) -> Column:
+    """The chance of a correlation whose square is at least r2 with df degrees of freedom: Student's integral, a finite sum for whole df."""
+    odd = df % 2 == 1
+    more = F.greatest(F.when(odd, (df - 3) / 2).otherwise(df / 2 - 1), F.lit(0)).cast("int")
+    steps = F.filter(F.sequence(F.lit(0), more), lambda k: k > 0)
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(a: Column, k: Column) -> Column:
+        term = a["term"] * ratio(k) * (1 - r2)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    total = F.aggregate(steps, first, add)["total"]
+    s = F.sqrt(r2)
+    within = F.when(odd, (F.asin(s) + F.when(df > 1, s * F.sqrt(1 - r2) * total).otherwise(0.0)) * (2 / math.pi)).otherwise(s * total)
+    return F.greatest(1 - within, F.lit(0.0))
+
+
+def exposure_trends(points: DataFrame, keys: list[str], x: str, y: str, threshold: float = 0.05) -> DataFrame:
+    """linear_trend of keys with three points or more, with p_value of the slope and trend: rising, falling or stable.
+
+    One x for all gives slope 0, r2 0 and p 1; one y for all r2 1 and p 1. Rows without x or y are passed over.
+    """
+    g = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.avg(y).alias("mean"),
+        F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("xx"), F.regr_syy(y, x).alias("yy"))
+    flat, level = F.col("xx") == 0, F.col("yy") == 0
+    r2 = F.when(flat, 0.0).when(level, 1.0).otherwise(F.least("r2", F.lit(1.0)))
+    slope, intercept = F.when(flat, 0.0).otherwise(F.col("slope")), F.when(flat, F.col("mean")).otherwise(F.col("intercept"))
+    g = g.where("n >= 3").select(*keys, "n", slope.alias("slope"), intercept.alias("intercept"), r2.alias("r2"), (flat | level).alias("still"))
+    # its own step: in the select that rounds r2, a lambda would take the rounded one
+    g = g.withColumn("p_value", F.when(F.col("still"), 1.0).otherwise(two_tailed(F.col("r2"), F.col("n") - 2)))
+    trend = F.when((F.col("p_value") >= threshold) | (F.abs("slope") < 1e-15), "stable").when(F.col("slope") > 0, "rising").otherwise("falling")
+    g = g.withColumn("trend", trend)
+    return g.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2", "p_value")], "trend")
+
+
 def exposure_change(exposures: DataFrame, start: str, end: str) -> DataFrame:
     """Mean exposure up to start and from end on, and the change; in per cent unless the first is zero."""
     a, b = F.avg(F.when(F.col("taken") <= F.lit(start).cast("timestamp"), F.col("exposure"))), F.avg(F.when(F.col("taken") >= F.lit(end).cast("timestamp"), F.col("exposure")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import cohort, rules, signatures, spectrum
+from ..operators import alignment, cohort, factors, rules, signatures, spectrum, trees
 from ..sources.projection import duckdb_views, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,3 +349,96 @@ def spectrum_with_qc(spark, d):
 def spectrum_failed(spark, d):
     rows = rules.with_status(spec(spark, d), qc_results(spark, d), "FAIL")
     return rows.select("sample_id", "ref_pos", "variant_type", "failed_rules")
+
+
+EFFECT = FIRST[: FIRST.index("\nSELECT")] + """, f AS (SELECT v.*, a.start_pos, coalesce(a.feature_type, 'intergenic') AS feature_type, r.bases, ref_pos - (ref_pos - a.start_pos) % 3 AS s
+FROM variant v LEFT JOIN hit h USING (ref_pos) LEFT JOIN annotation a ON a.annotation_id = h.annotation_id LEFT JOIN reference r USING (reference_id)),
+c AS (SELECT *, CASE WHEN start_pos IS NOT NULL AND feature_type = 'exon' AND variant_type = 'SNP' AND s + 3 <= length(bases) THEN substr(bases, s + 1, 3) END AS codon_ref FROM f),
+d AS (SELECT *, substr(codon_ref, 1, ref_pos - s) || alt_base || substr(codon_ref, ref_pos - s + 2) AS codon_alt FROM c),
+e AS (SELECT *, {ref} AS aa_ref, {alt} AS aa_alt FROM d),
+g AS (SELECT *, CASE WHEN start_pos IS NULL THEN NULL WHEN feature_type <> 'exon' THEN feature_type || '_variant' WHEN variant_type = 'INS' THEN
+CASE WHEN length(alt_base) % 3 <> 0 THEN 'frameshift_variant' ELSE 'inframe_insertion' END WHEN variant_type = 'DEL' THEN
+CASE WHEN length(ref_base) % 3 <> 0 THEN 'frameshift_variant' ELSE 'inframe_deletion' END WHEN aa_ref = aa_alt THEN 'synonymous_variant'
+WHEN aa_ref <> aa_alt AND aa_alt = '*' THEN 'stop_gained' WHEN aa_ref <> aa_alt AND aa_ref = '*' THEN 'stop_lost' ELSE 'missense_variant' END AS consequence FROM e)
+SELECT variant_id, feature_type, consequence, codon_ref, codon_alt, aa_ref, aa_alt, CASE WHEN consequence IN ('frameshift_variant', 'stop_gained', 'stop_lost') THEN 'HIGH'
+WHEN consequence IN ('missense_variant', 'inframe_insertion', 'inframe_deletion') THEN 'MODERATE' WHEN consequence IN ('synonymous_variant', 'intron_variant', 'UTR_variant') THEN 'LOW' ELSE 'MODIFIER' END AS impact FROM g"""
+for side in ("ref", "alt"):
+    amino = "substr('{a}', 16 * instr('TCAG', c[1]) + 4 * instr('TCAG', c[2]) + instr('TCAG', c[3]) - 20, 1)".replace("{a}", bases.AMINO).replace("c[", f"codon_{side}[")
+    EFFECT = EFFECT.replace("{" + side + "}", amino)
+
+
+def effects(spark, d):
+    return alignment.effects(spectrum.annotate_first(view(spark, d, "variant"), view(spark, d, "annotation")), view(spark, d, "reference"))
+
+
+@query(EFFECT, ("variant", "annotation", "reference"))
+def variant_effects(spark, d):
+    return effects(spark, d).select("variant_id", "feature_type", "consequence", "codon_ref", "codon_alt", "aa_ref", "aa_alt", "impact")
+
+
+@query(EFFECT.replace("SELECT variant_id, feature_type, consequence, codon_ref, codon_alt, aa_ref, aa_alt, CASE", "SELECT impact, count(*) AS n FROM (SELECT CASE") + ") GROUP BY impact",
+       ("variant", "annotation", "reference"))
+def impact_counts(spark, d):
+    return spectrum.counts_by(effects(spark, d), "impact")
+
+
+def aligned(spark, d):
+    return alignment.align(view(spark, d, "probe"), view(spark, d, "reference"))
+
+
+@query()
+def local_alignments(spark, d):
+    return alignment.kept(aligned(spark, d))
+
+
+@query()
+def called_variants(spark, d):
+    return alignment.called_variants(alignment.kept(aligned(spark, d)))
+
+
+def cohort_tree(spark, d, method):
+    return trees.build_trees(k2p_distance(spark, d).withColumn("tree_id", F.lit(method)), method)
+
+
+@query()
+def cohort_newick(spark, d):
+    return trees.newick(cohort_tree(spark, d, "nj").unionByName(cohort_tree(spark, d, "upgma")))
+
+
+@query()
+def tree_comparison(spark, d):
+    return trees.compare_trees(cohort_tree(spark, d, "nj"), cohort_tree(spark, d, "upgma"))
+
+
+@query()
+def bootstrap_support(spark, d):
+    snp = spec(spark, d, "cohort_link").where("variant_type = 'SNP'")
+    drawn = trees.bootstrap_distances(cohort.site_differences(snp), k2p_distance(spark, d), snp, 20)
+    return trees.support(cohort_tree(spark, d, "nj"), trees.build_trees(drawn), 20)
+
+
+@query()
+def molecular_clock(spark, d):
+    dates = view(spark, d, "cohort").select(F.col("sample_id").cast("string").alias("name"), "collection_date")
+    return trees.molecular_clock(cohort_tree(spark, d, "nj"), dates)
+
+
+@query()
+def extracted_signatures(spark, d):
+    return factors.extract_signatures(context_spectrum(spark, d), 3)
+
+
+@query()
+def optimal_factors(spark, d):
+    return factors.optimal_k(context_spectrum(spark, d))
+
+
+@query("""WITH g AS (SELECT signature, count(*) AS n, regr_slope(exposure, x) AS slope, regr_intercept(exposure, x) AS intercept, regr_r2(exposure, x) AS r2
+FROM (SELECT *, (epoch(taken)::BIGINT // 86400 - 19000)::DOUBLE AS x FROM exposure) GROUP BY signature),
+t AS (SELECT *, CASE WHEN n % 2 = 1 THEN 2 / pi() * (asin(sqrt(r2)) + CASE WHEN n > 3 THEN sqrt(r2 * (1 - r2)) * list_sum(list_transform(range((n - 3) // 2), lambda k: exp(k * ln(4 * (1 - r2)) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)))) ELSE 0 END)
+ELSE sqrt(r2) * list_sum(list_transform(range((n - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) + k * ln((1 - r2) / 4)))) END AS within FROM g WHERE n >= 3)
+SELECT signature, n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2, round(1 - within, 4) AS p_value,
+CASE WHEN 1 - within >= 0.05 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend FROM t""", ("exposure",))
+def exposure_trends(spark, d):
+    e = view(spark, d, "exposure").withColumn("x", (F.expr("unix_seconds(cast(taken as timestamp)) div 86400") - 19000).cast("double"))
+    return signatures.exposure_trends(e, ["signature"], "x", "exposure")

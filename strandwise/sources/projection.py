@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark")
 
 #: name -> (driver tables it reads, query)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -27,6 +27,9 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON
 SELECT p_partkey AS annotation_id, 50 * p_partkey AS start_pos, 50 * p_partkey + 39 AS end_pos,
   CASE p_partkey % 4 WHEN 0 THEN 'exon' WHEN 1 THEN 'intron' WHEN 2 THEN 'UTR' ELSE 'exon' END AS feature_type, p_brand AS gene_name
 FROM part"""),
+    "reference": (("lineitem",), """
+SELECT l_partkey % 5 AS reference_id, repeat('ACGT', CAST(floor((max(l_partkey) + 1) / 4) AS int)) AS bases FROM lineitem GROUP BY l_partkey % 5"""),
+    "probe": (("benchmark",), "SELECT item_id AS query_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS query FROM benchmark"),
     "exposure": (("events",), "SELECT user_id AS sample_id, event_type AS signature, value AS exposure, ts AS taken FROM events"),
     "sequence": (("documents",), "SELECT doc_id AS sequence_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS bases FROM documents"),
 }
