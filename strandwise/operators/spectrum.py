@@ -75,20 +75,20 @@ def same_site_other_allele(spectrum: DataFrame, a: int, b: int) -> DataFrame:
 
 
 def annotate_first(variants: DataFrame, annotations: DataFrame, width: int = 50) -> DataFrame:
-    """The first annotation over each variant's position, or intergenic. Intervals are dealt into bins of width, so the
-    range join is an equi-join whose sides hold a row for each bin."""
+    """The first annotation of its reference over each variant's position, or intergenic. Intervals are dealt into bins of
+    width, so the range join is an equi-join whose sides hold a row for each bin."""
     binned = annotations.withColumn("bin", F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"end_pos div {width}"))))
-    sites = variants.select("ref_pos").distinct().withColumn("bin", F.expr(f"ref_pos div {width}"))
-    hits = sites.join(binned, "bin").where("ref_pos between start_pos and end_pos")
-    first = hits.groupBy("ref_pos").agg(F.min("annotation_id").alias("annotation_id"))
-    named = first.join(annotations, "annotation_id").select("ref_pos", "annotation_id", "start_pos", "feature_type", "gene_name")
-    return variants.join(named, "ref_pos", "left").withColumn("feature_type", F.coalesce("feature_type", F.lit("intergenic")))
+    sites = variants.select("reference_id", "ref_pos").distinct().withColumn("bin", F.expr(f"ref_pos div {width}"))
+    hits = sites.join(binned, ["reference_id", "bin"]).where("ref_pos between start_pos and end_pos")
+    first = hits.groupBy("reference_id", "ref_pos").agg(F.min("annotation_id").alias("annotation_id"))
+    named = first.join(annotations.drop("reference_id"), "annotation_id").select("reference_id", "ref_pos", "annotation_id", "start_pos", "feature_type", "gene_name")
+    return variants.join(named, ["reference_id", "ref_pos"], "left").withColumn("feature_type", F.coalesce("feature_type", F.lit("intergenic")))
 
 
 def hotspots(frequency: DataFrame, spectrum: DataFrame, annotations: DataFrame, least: float, width: int = 50) -> DataFrame:
     """Annotations with at least `least` distinct positions per 100 bases, their carriers and the most frequent variant's."""
     binned = annotations.withColumn("bin", F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"end_pos div {width}"))))
-    at = lambda df: df.withColumn("bin", F.expr(f"ref_pos div {width}")).join(binned, "bin").where("ref_pos between start_pos and end_pos")
+    at = lambda df: df.withColumn("bin", F.expr(f"ref_pos div {width}")).join(binned, ["reference_id", "bin"]).where("ref_pos between start_pos and end_pos")
     per = at(frequency).groupBy("annotation_id", "start_pos", "end_pos").agg(F.count_distinct("ref_pos").alias("positions"), F.max("frequency").alias("top_frequency"))
     per = per.withColumn("density", F.col("positions") * 100 / (F.col("end_pos") - F.col("start_pos") + 1)).where(F.col("density") >= least)
     carriers = at(spectrum).groupBy("annotation_id").agg(F.count_distinct("sample_id").alias("carriers"))

@@ -94,9 +94,10 @@ def same_site_other_allele(spark, d):
     return spectrum.same_site_other_allele(spec(spark, d, "cohort_link"), 1, 2)
 
 
-FIRST = """WITH hit AS (SELECT ref_pos, min(annotation_id) AS annotation_id FROM (SELECT DISTINCT ref_pos FROM variant) v JOIN annotation ON ref_pos BETWEEN start_pos AND end_pos GROUP BY ref_pos)
+FIRST = """WITH hit AS (SELECT v.reference_id, ref_pos, min(annotation_id) AS annotation_id FROM (SELECT DISTINCT reference_id, ref_pos FROM variant) v
+JOIN annotation a ON a.reference_id = v.reference_id AND ref_pos BETWEEN start_pos AND end_pos GROUP BY v.reference_id, ref_pos)
 SELECT v.variant_id, v.ref_pos, v.variant_type, h.annotation_id, coalesce(a.feature_type, 'intergenic') AS feature_type, a.gene_name
-FROM variant v LEFT JOIN hit h USING (ref_pos) LEFT JOIN annotation a ON a.annotation_id = h.annotation_id"""
+FROM variant v LEFT JOIN hit h USING (reference_id, ref_pos) LEFT JOIN annotation a ON a.annotation_id = h.annotation_id"""
 
 
 @query(FIRST, ("variant", "annotation"))
@@ -106,8 +107,8 @@ def annotate_first_match(spark, d):
 
 
 @query(FREQ + """, p AS (SELECT annotation_id, count(DISTINCT ref_pos) AS positions, max(frequency) AS top_frequency, count(DISTINCT ref_pos) * 100 / (max(end_pos) - max(start_pos) + 1) AS density
-FROM frequency JOIN annotation ON ref_pos BETWEEN start_pos AND end_pos GROUP BY annotation_id),
-c AS (SELECT annotation_id, count(DISTINCT sample_id) AS carriers FROM spectrum JOIN annotation ON ref_pos BETWEEN start_pos AND end_pos GROUP BY annotation_id)
+FROM frequency f JOIN annotation a ON a.reference_id = f.reference_id AND ref_pos BETWEEN start_pos AND end_pos GROUP BY annotation_id),
+c AS (SELECT annotation_id, count(DISTINCT sample_id) AS carriers FROM spectrum s JOIN annotation a ON a.reference_id = s.reference_id AND ref_pos BETWEEN start_pos AND end_pos GROUP BY annotation_id)
 SELECT annotation_id, positions, carriers, top_frequency, round(density, 4) AS density FROM p JOIN c USING (annotation_id) WHERE density >= 2.5""", (*BASE, "sample", "annotation"))
 def hotspots(spark, d):
     s = spec(spark, d)
@@ -352,7 +353,7 @@ def spectrum_failed(spark, d):
 
 
 EFFECT = FIRST[: FIRST.index("\nSELECT")] + """, f AS (SELECT v.*, a.start_pos, coalesce(a.feature_type, 'intergenic') AS feature_type, r.bases, ref_pos - (ref_pos - a.start_pos) % 3 AS s
-FROM variant v LEFT JOIN hit h USING (ref_pos) LEFT JOIN annotation a ON a.annotation_id = h.annotation_id LEFT JOIN reference r USING (reference_id)),
+FROM variant v LEFT JOIN hit h USING (reference_id, ref_pos) LEFT JOIN annotation a ON a.annotation_id = h.annotation_id LEFT JOIN reference r USING (reference_id)),
 c AS (SELECT *, CASE WHEN start_pos IS NOT NULL AND feature_type = 'exon' AND variant_type = 'SNP' AND s + 3 <= length(bases) THEN substr(bases, s + 1, 3) END AS codon_ref FROM f),
 d AS (SELECT *, substr(codon_ref, 1, ref_pos - s) || alt_base || substr(codon_ref, ref_pos - s + 2) AS codon_alt FROM c),
 e AS (SELECT *, {ref} AS aa_ref, {alt} AS aa_alt FROM d),

@@ -24,7 +24,7 @@ FROM lineitem"""),
 SELECT CAST(n_nationkey AS bigint) AS sample_id, n_name AS name, min(o_orderdate) AS collection_date
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_name"""),
     "annotation": (("part",), """
-SELECT p_partkey AS annotation_id, 50 * p_partkey AS start_pos, 50 * p_partkey + 39 AS end_pos,
+SELECT p_partkey AS annotation_id, p_partkey % 5 AS reference_id, 50 * p_partkey AS start_pos, 50 * p_partkey + 39 AS end_pos,
   CASE p_partkey % 4 WHEN 0 THEN 'exon' WHEN 1 THEN 'intron' WHEN 2 THEN 'UTR' ELSE 'exon' END AS feature_type, p_brand AS gene_name
 FROM part"""),
     "reference": (("lineitem",), """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandwise.functions import bases
-from strandwise.operators import cohort, rules, signatures
+from strandwise.operators import cohort, rules, signatures, spectrum
 from strandwise.plans import genomics
 from strandwise.sources.text import read_annotations, read_fasta
 
@@ -117,3 +117,10 @@ def test_quality_control_at_the_ends(spark):
     out = rules.qc(table, 30, 1, 50, length)
     assert {r.ref_pos for r in out.where("qc_status = 'FAIL'").collect()} == {0, 50, 1151, 1199}
     assert sorted((r.bucket, r.passed, r.failed) for r in rules.qc_buckets(out, length).collect()) == [(0, 2, 1), (1, 1, 0), (2, 1, 3)]
+
+
+def test_annotations_of_another_reference_are_no_hit(spark):
+    v = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 3, 10)], "variant_id int, reference_id int, ref_pos bigint")
+    a = spark.createDataFrame([(7, 2, 0, 20, "exon", "g"), (5, 1, 5, 15, "UTR", "h"), (6, 1, 0, 20, "exon", "g")], "annotation_id int, reference_id int, start_pos bigint, end_pos bigint, feature_type string, gene_name string")
+    got = {r.variant_id: (r.annotation_id, r.feature_type) for r in spectrum.annotate_first(v, a).collect()}
+    assert got == {1: (5, "UTR"), 2: (7, "exon"), 3: (None, "intergenic")}
