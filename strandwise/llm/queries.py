@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline, each over whole tables."""
+"""The queries op1 to op13, each over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, jaccard_join, language_id, piece_matching, poisson_mix, quality_classifier, quality_rules, substring_dedup, token_records, toxicity
+from . import (
+    bloom_dedup,
+    conversation_repair,
+    jaccard_join,
+    language_id,
+    merkle_manifest,
+    piece_matching,
+    poisson_mix,
+    quality_classifier,
+    quality_rules,
+    simhash_join,
+    substring_dedup,
+    token_records,
+    toxicity,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +74,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_components(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.merkle_manifest(documents(spark, sf_dir), altered=merkle_manifest.tampered_leaf()).drop("source", "path")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -71,4 +97,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_piece_matching": op9_piece_matching,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_simhash_join": op12_simhash_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

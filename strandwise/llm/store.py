@@ -54,6 +54,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def leaving(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the tables stored meanwhile, but for those that the block puts into the list it is given."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+    with recording(paths):
+        yield kept
+    stay = {df.stored_at for df in kept}
+    for path in paths:
+        if path not in stay:
+            remove(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() gave; what was computed from them and isn't stored can't be read any more."""
     for df in tables:
