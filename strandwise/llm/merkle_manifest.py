@@ -79,7 +79,7 @@ def levels(nodes: DataFrame) -> DataFrame:
             return table.append_column("path", pa.array([[]] * len(table), out.field("path").type)).append_column("top", table.column("h")).cast(out)
         con = _engine()
         con.register("bucket", table)
-        got = con.execute(level_query(k)).to_arrow_table()
+        got = con.sql(level_query(k)).to_arrow_table()
         con.unregister("bucket")
         return got.select(out.names).cast(out)
 
