@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark")
@@ -30,19 +32,39 @@ FROM part"""),
     "reference": (("lineitem",), """
 SELECT l_partkey % 5 AS reference_id, repeat('ACGT', CAST(floor((max(l_partkey) + 1) / 4) AS int)) AS bases FROM lineitem GROUP BY l_partkey % 5"""),
     "probe": (("benchmark",), "SELECT item_id AS query_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS query FROM benchmark"),
+    "genome": (("orders",), """
+SELECT o_custkey AS genome_id, string_agg(piece, '' ORDER BY o_orderkey) AS bases FROM (
+  SELECT o_custkey, o_orderkey, {piece} AS piece FROM orders) AS p GROUP BY o_custkey"""),
+    "strain": (("orders",), """
+SELECT o_custkey AS genome_id, 1 AS strain, string_agg(piece, '' ORDER BY place) AS bases FROM (
+  SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place,
+    replace(CASE WHEN o_orderpriority = '1-URGENT' THEN reverse(translate({piece}, 'ACGT', 'TGCA')) ELSE {piece} END, 'GATC', 'GTTC') AS piece FROM orders) AS p GROUP BY o_custkey
+UNION ALL
+SELECT o_custkey AS genome_id, 2 AS strain, string_agg(piece, '' ORDER BY o_orderkey) AS bases FROM (
+  SELECT o_custkey, o_orderkey, replace(CASE WHEN o_orderpriority = '2-HIGH' THEN reverse(translate({piece}, 'ACGT', 'TGCA')) ELSE {piece} END, 'CCGG', 'CCG') AS piece
+  FROM orders WHERE o_orderstatus <> 'P') AS p GROUP BY o_custkey"""),
+    "synteny_block": (("lineitem",), """
+SELECT l_orderkey AS pair, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS block, 100 * l_linenumber AS a_start,
+  100 * l_linenumber + 60 + l_partkey % 90 AS a_end, l_suppkey * 37 % 1000 AS b_start, l_suppkey * 37 % 1000 + 60 + l_partkey % 90 AS b_end,
+  1 + l_partkey % 7 AS anchor_count, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS direction FROM lineitem"""),
     "exposure": (("events",), "SELECT user_id AS sample_id, event_type AS signature, value AS exposure, ts AS taken FROM events"),
     "sequence": (("documents",), "SELECT doc_id AS sequence_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS bases FROM documents"),
 }
 
 
+#: A stretch of 128 bases for each order: the digits of checksums of its key.
+PIECE = "translate(concat(md5(concat(o_orderkey, 'a')), md5(concat(o_orderkey, 'b')), md5(concat(o_orderkey, 'c')), md5(concat(o_orderkey, 'd'))), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, text = VIEWS[name]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for t in tables:  # named arguments stand for the tables
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} {t} ")
+    text = re.sub(r"string_agg\((\w+), '' ORDER BY (\w+)\)", r"listagg(\1, '') WITHIN GROUP (ORDER BY \2)", text.replace("{piece}", PIECE))
     return spark.sql(text.replace("{g}", "").replace("{" + name + "}", name), **frames)
 
 
 def duckdb_views(*names: str) -> str:
     """WITH clauses that define the views in DuckDB."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1].replace('{g}', ", 'g'")})" for n in names)
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1].replace('{g}', ", 'g'").replace('{piece}', PIECE)})" for n in names)
