@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignment import local_alignment
+from .alignment import MATCH, local_alignment
 from .synteny import WORD, SeedIndex, reverse_complement
 
 #: Bases beside a target, lengths, GC per cent and melting temperatures of primers, the temperature to be near to.
@@ -127,10 +127,15 @@ def sites_of(primer: str, index: SeedIndex) -> list[tuple[int, int, int, int, in
     for lo, hi in index.windows(primer, shared, ERRORS):
         text = index.text[lo:hi]
         while True:
-            score, _, _, start, end, query, ref = local_alignment(primer, text)
-            gaps = query.count("-") + ref.count("-")
-            other = sum(x != y for x, y in zip(query, ref, strict=True)) - gaps
-            if not score or len(query) < len(primer) - ERRORS or gaps + other > ERRORS:
+            if (start := text.find(primer)) >= 0:
+                end, other, gaps, score = start + len(primer) - 1, 0, 0, MATCH * len(primer)
+            elif SeedIndex(text).windows(primer, shared, ERRORS):
+                score, _, _, start, end, query, ref = local_alignment(primer, text)
+                gaps = query.count("-") + ref.count("-")
+                other = sum(x != y for x, y in zip(query, ref, strict=True)) - gaps
+                if not score or len(query) < len(primer) - ERRORS or gaps + other > ERRORS:
+                    break
+            else:
                 break
             out.append((lo + start, lo + end, other, gaps, score))
             a, b = max(0, start - 2), min(len(text), end + 3)
