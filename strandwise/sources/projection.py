@@ -43,6 +43,12 @@ UNION ALL
 SELECT o_custkey AS genome_id, 2 AS strain, string_agg(piece, '' ORDER BY o_orderkey) AS bases FROM (
   SELECT o_custkey, o_orderkey, replace(CASE WHEN o_orderpriority = '2-HIGH' THEN reverse(translate({piece}, 'ACGT', 'TGCA')) ELSE {piece} END, 'CCGG', 'CCG') AS piece
   FROM orders WHERE o_orderstatus <> 'P') AS p GROUP BY o_custkey"""),
+    "strand_annotation": (("part",), """
+SELECT p_partkey AS annotation_id, 50 * p_partkey AS start_pos, 50 * p_partkey + 39 AS end_pos, CASE WHEN p_brand < 'Brand#2' THEN '-' WHEN p_brand < 'Brand#4' THEN '+' END AS strand,
+  CASE p_partkey % 4 WHEN 0 THEN 'exon' WHEN 1 THEN 'intron' WHEN 2 THEN 'UTR' ELSE 'exon' END AS feature_type, p_brand AS gene_name FROM part"""),
+    "protein_domain": (("supplier",), """
+SELECT s_suppkey AS domain_id, concat('Brand#', s_nationkey) AS gene_name, s_name AS domain_name, s_suppkey * 7 % 60 AS start_codon, s_suppkey * 7 % 60 + 15 AS end_codon,
+  CASE s_suppkey % 5 WHEN 0 THEN 'catalytic' WHEN 1 THEN 'binding' WHEN 2 THEN 'structural' WHEN 3 THEN 'regulatory' ELSE 'linker' END AS domain_type FROM supplier"""),
     "synteny_block": (("lineitem",), """
 SELECT l_orderkey AS pair, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS block, 100 * l_linenumber AS a_start,
   100 * l_linenumber + 60 + l_partkey % 90 AS a_end, l_suppkey * 37 % 1000 AS b_start, l_suppkey * 37 % 1000 + 60 + l_partkey % 90 AS b_end,
