@@ -20,6 +20,11 @@ STOP, BOTH, QUERY, REFERENCE = 0, 1, 2, 3
 ALIGNED = "score int, query_start int, query_end int, ref_start int, ref_end int, aligned_query string, aligned_ref string"
 
 
+def letters(text: str) -> np.ndarray:
+    """The code point of each letter."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _local(query: np.ndarray, ref: np.ndarray) -> tuple:
     """The first best local alignment in row order, rows being the query's bases: the fields of ALIGNED.
 
@@ -47,7 +52,7 @@ def _local(query: np.ndarray, ref: np.ndarray) -> tuple:
         i, j = i - from_query, j - from_ref
         q.append(query[i] if from_query else ord("-"))
         r.append(ref[j] if from_ref else ord("-"))
-    return best, int(i), end[0] - 1, int(j), end[1] - 1, bytes(q[::-1]).decode("latin-1"), bytes(r[::-1]).decode("latin-1")
+    return best, int(i), end[0] - 1, int(j), end[1] - 1, "".join(map(chr, q[::-1])), "".join(map(chr, r[::-1]))
 
 
 def _seeded(query: str, ref: str, width: int) -> list[int]:
@@ -67,7 +72,7 @@ def _seeded(query: str, ref: str, width: int) -> list[int]:
 
 def local_alignment(query: str, ref: str) -> tuple:
     """The fields of ALIGNED for one pair; large pairs only in regions around seeds, and whole if these show nothing."""
-    q, r = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (query, ref))
+    q, r = letters(query), letters(ref)
     if len(q) * len(r) > CELLS:
         width = min(20, max(11, len(q) // 20))
         begins = (len(q) < width and [0]) or _seeded(query, ref, width) or _seeded(query, ref, max(7, width // 2))
@@ -128,9 +133,10 @@ def called_variants(aligned: DataFrame) -> DataFrame:
     many as its bases.
     """
     ids = [c for c in ("query_id", "reference_id") if c in aligned.columns]
-    rows = aligned.where("score > 0").withColumn("__row", F.monotonically_increasing_id())
+    own = [*ids, "ref_start", "aligned_query", "aligned_ref"]
+    rows = aligned.where("score > 0").groupBy(*own).agg(F.count("*").alias("__n")).withColumn("__row", F.xxhash64(*own))
     side = lambda c: F.split(F.col(c), "")
-    cols = rows.select(*ids, "__row", "ref_start", F.posexplode(F.arrays_zip(side("aligned_query").alias("q"), side("aligned_ref").alias("r"))).alias("place", "c"))
+    cols = rows.select(*ids, "__row", "__n", "ref_start", F.posexplode(F.arrays_zip(side("aligned_query").alias("q"), side("aligned_ref").alias("r"))).alias("place", "c"))
     op = F.when(F.col("c.q") == "-", "DEL").when(F.col("c.r") == "-", "INS").when(F.col("c.q") != F.col("c.r"), "SNP").otherwise("")
     order = Window.partitionBy("__row").orderBy("place")
     cols = cols.withColumn("variant_type", op)
@@ -138,7 +144,8 @@ def called_variants(aligned: DataFrame) -> DataFrame:
     new = (F.lag("variant_type").over(order) == F.col("variant_type")) & F.col("variant_type").isin("INS", "DEL")
     cols = cols.withColumn("run", F.sum(F.when(new, 0).otherwise(1)).over(order)).where("variant_type <> ''")
     text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(f"c.{c}").alias("b")))), lambda x: x["b"]), "")
-    out = cols.groupBy(*ids, "__row", "run", "variant_type").agg(F.min("pos").alias("ref_pos"), F.max("pos").alias("ref_pos_end"), text("r").alias("r"), text("q").alias("q"))
+    out = cols.groupBy(*ids, "__row", "run", "variant_type").agg(F.min("pos").alias("ref_pos"), F.max("pos").alias("ref_pos_end"), F.first("__n").alias("__n"), text("r").alias("r"), text("q").alias("q"))
+    out = out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))  # equal alignments show the same each
     ref, alt = (F.when(F.col("variant_type") == t, "").otherwise(F.col(c)) for t, c in (("INS", "r"), ("DEL", "q")))
     return out.select(*ids, "variant_type", "ref_pos", ref.alias("ref_base"), alt.alias("alt_base"), "ref_pos_end")
 

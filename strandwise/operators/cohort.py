@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spectrum import KEY
+from .trees import kimura
 
 
 def overlaps(spectrum: DataFrame) -> DataFrame:
@@ -111,30 +112,41 @@ def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
     return out.select(*by, F.col("pos").alias("start_pos"), "end_pos", n.alias("n")).where("n >= 2")
 
 
+def _site(rows: DataFrame) -> list[str]:
+    """What names a site: its position, on its reference where rows say which."""
+    return [c for c in ("reference_id", "ref_pos") if c in rows.columns]
+
+
+def sample_pairs(samples: DataFrame) -> DataFrame:
+    """(a, b), a < b, of a cohort's samples: 200 at most, so that they fit one row."""
+    all_ = samples.agg(F.sort_array(F.collect_set("sample_id")).alias("s")).where("size(s) > 1")
+    return all_.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
+
+
 def site_differences(snp: DataFrame) -> DataFrame:
     """(a, b, ref_pos, kind), a < b, of the sites where two samples differ: those of two carriers of other bases, and those of one carrier.
 
-    A sample has the least of its alternative bases, else the reference's, as in k2p.
+    A sample has the least of its alternative bases, else the reference's. Where snp has a reference_id, a position of another reference is
+    another site, and the result has it too.
     """
-    own = snp.groupBy("sample_id", "ref_pos").agg(F.min("alt_base").alias("x"))
-    ref = snp.groupBy("ref_pos").agg(F.min("ref_base").alias("ref"))
-    samples = snp.select(F.col("sample_id").alias("other")).distinct()
-    met = own.join(ref, "ref_pos").join(samples, F.col("sample_id") != F.col("other"))  # each site's carriers with the cohort (200 samples)
-    met = met.join(own.toDF("other", "ref_pos", "y"), ["other", "ref_pos"], "left").withColumn("y", F.coalesce("y", "ref")).where("x <> y")
+    site = _site(snp)
+    own = snp.groupBy("sample_id", *site).agg(F.min("alt_base").alias("x"))
+    ref = snp.groupBy(*site).agg(F.min("ref_base").alias("ref"))
+    samples = snp.agg(F.collect_set("sample_id").alias("all"))  # one row: the cohort (200 samples)
+    met = own.join(ref, site).crossJoin(F.broadcast(samples)).withColumn("other", F.explode("all")).drop("all").where("sample_id <> other")
+    met = met.join(own.withColumnsRenamed({"sample_id": "other", "x": "y"}), ["other", *site], "left").withColumn("y", F.coalesce("y", "ref")).where("x <> y")
     kind = F.when(F.concat("x", "y").isin("AG", "GA", "CT", "TC"), "transition").otherwise("transversion")
-    return met.select(F.least("sample_id", "other").alias("a"), F.greatest("sample_id", "other").alias("b"), "ref_pos", kind.alias("kind")).distinct()
+    return met.select(F.least("sample_id", "other").alias("a"), F.greatest("sample_id", "other").alias("b"), *site, kind.alias("kind")).distinct()
 
 
 def k2p(spectrum: DataFrame) -> DataFrame:
-    """Kimura distances of all pairs of samples over their SNP sites: alternative bases, the reference's where a sample has none."""
-    snp = spectrum.where("variant_type = 'SNP'").groupBy("sample_id", "ref_pos").agg(F.min("alt_base").alias("alt"))
-    ref = spectrum.where("variant_type = 'SNP'").groupBy("ref_pos").agg(F.min("ref_base").alias("ref"))
-    full = snp.select("sample_id").distinct().crossJoin(ref).join(snp, ["sample_id", "ref_pos"], "left").select("sample_id", "ref_pos", F.coalesce("alt", "ref").alias("b"))
-    x, y = full.toDF("a", "ref_pos", "x"), full.toDF("b", "ref_pos", "y")
-    kind = F.concat("x", "y")
-    pairs = x.join(y, "ref_pos").where("a < b").groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.count_if(kind.isin("AG", "GA", "CT", "TC")).alias("ti"), F.count_if((F.col("x") != F.col("y")) & ~kind.isin("AG", "GA", "CT", "TC")).alias("tv"))
-    p, q = F.col("ti") / F.col("n"), F.col("tv") / F.col("n")
-    s, t = 1 - 2 * p - q, 1 - 2 * q
-    d = F.when((s > 0) & (t > 0), -0.5 * F.log(s * F.sqrt(t))).when(q > 0, (p + q) * (1 + 0.5 * (p + q)) + p * p / (2 * q * q)).when(p < 1, -F.log(1 - p)).otherwise(F.lit(float("inf")))
-    return pairs.select("a", "b", "ti", "tv", F.round(d, 6).alias("distance"))
+    """Kimura distances of all pairs of samples over their SNP sites: alternative bases, the reference's where a sample has none.
+
+    Only sites where a pair differs are counted per pair; the others are what is left of the number of sites.
+    """
+    snp = spectrum.where("variant_type = 'SNP'")
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = site_differences(snp).groupBy("a", "b").agg(of("transition").alias("ti"), of("transversion").alias("tv"))
+    n = snp.select(*_site(snp)).distinct().agg(F.count("*").alias("n"))
+    pairs = sample_pairs(snp).join(counts, ["a", "b"], "left").na.fill(0, ["ti", "tv"]).crossJoin(F.broadcast(n))  # one row
+    return pairs.select("a", "b", "ti", "tv", F.round(kimura(F.col("n"), F.col("ti"), F.col("tv")), 6).alias("distance"))

@@ -68,12 +68,11 @@ def with_status(spectrum: DataFrame, results: DataFrame, status: str | None = No
 
 
 def condition(actual: Column, op: Column, value: Column, numeric: bool) -> Column:
-    """Whether a rule's condition on a field holds: numbers compare as numbers, text as text and only by eq and ne; else false."""
-    if numeric:
-        a, b = actual.cast("double"), value.try_cast("double")
-        held = F.when(op == "gt", a > b).when(op == "gte", a >= b).when(op == "lt", a < b).when(op == "lte", a <= b)
-    else:
-        a, b, held = actual.cast("string"), value, F
+    """Whether a rule's condition on a field holds: by eq and ne numbers compare as numbers and text as text; by the others, what
+    is a number on both sides; else false."""
+    x, y = actual.cast("string").try_cast("double"), value.try_cast("double")
+    a, b = (x, y) if numeric else (actual.cast("string"), value)
+    held = F.when(op == "gt", x > y).when(op == "gte", x >= y).when(op == "lt", x < y).when(op == "lte", x <= y)
     held = held.when(op == "eq", a == b).when(op == "ne", a != b)
     return F.coalesce(held, F.lit(False))
 

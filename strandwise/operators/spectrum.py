@@ -26,10 +26,10 @@ def frequency_range(frequency: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def minor_allele_frequency(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
-    """MAF of each SNP position over all samples, any allele counting."""
+    """MAF of each SNP position of each reference over all samples, any allele counting."""
     n = samples.agg(F.count_distinct("sample_id").alias("n"))
-    f = spectrum.where("variant_type = 'SNP'").groupBy("ref_pos").agg(F.count_distinct("sample_id").alias("c")).crossJoin(F.broadcast(n))
-    return f.select("ref_pos", F.least(F.col("c") / F.col("n"), 1 - F.col("c") / F.col("n")).alias("maf"))
+    f = spectrum.where("variant_type = 'SNP'").groupBy("reference_id", "ref_pos").agg(F.count_distinct("sample_id").alias("c")).crossJoin(F.broadcast(n))
+    return f.select("reference_id", "ref_pos", F.least(F.col("c") / F.col("n"), 1 - F.col("c") / F.col("n")).alias("maf"))
 
 
 def maf_filter(maf: DataFrame, start: int, end: int, least: float) -> DataFrame:

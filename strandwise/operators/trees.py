@@ -159,16 +159,17 @@ def bootstrap_distances(differences: DataFrame, pairs: DataFrame, sites: DataFra
     """(tree_id, a, b, distance) of each replicate, tree_id being its number: as many sites as there are, drawn with replacement.
 
     differences: (a, b, ref_pos, kind), transition or transversion, of the sites where a pair differs; pairs: all (a, b);
-    sites: (ref_pos). A draw is a hash of seed, replicate and place, so that a repeated task draws the same. Weights of sites
+    sites: (ref_pos); both with reference_id where there are several references. A draw is a hash of seed, replicate and place, so that a repeated task draws the same. Weights of sites
     meet the differences in one join, and only sums by pair go on.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("ref_pos")  # the sites of one cohort, one number each
-    numbered = sites.select("ref_pos").distinct().withColumn("at", F.row_number().over(order) - 1)
+    site = [c for c in ("reference_id", "ref_pos") if c in sites.columns]
+    order = Window.partitionBy(F.lit(0)).orderBy(*site)  # the sites of one cohort, one number each
+    numbered = sites.select(*site).distinct().withColumn("at", F.row_number().over(order) - 1)
     n = numbered.agg(F.count("*").alias("n"))
     rounds = numbered.sparkSession.range(replicates).select(F.col("id").cast("int").alias("tree_id"))
     drawn = rounds.crossJoin(F.broadcast(n)).where("n > 0").select("tree_id", "n", F.explode(F.expr("sequence(1, n)")).alias("k"))
     drawn = drawn.select("tree_id", F.pmod(F.xxhash64(F.lit(seed), "tree_id", "k"), F.col("n")).alias("at")).groupBy("tree_id", "at").agg(F.count("*").alias("w"))
-    weighed = differences.join(numbered.join(drawn, "at"), "ref_pos")
+    weighed = differences.join(numbered.join(drawn, "at"), site)
     w = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("w")).otherwise(0))
     sums = weighed.groupBy("tree_id", "a", "b").agg(w("transition").alias("ti"), w("transversion").alias("tv"))
     all_ = pairs.select("a", "b").crossJoin(rounds).crossJoin(F.broadcast(n)).join(sums, ["tree_id", "a", "b"], "left")  # replicates x the pairs asked for

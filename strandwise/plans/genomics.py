@@ -66,8 +66,8 @@ def type_counts(spark, d):
     return spectrum.counts_by(view(spark, d, "variant"), "variant_type")
 
 
-MAF = SPEC + """, maf AS (SELECT ref_pos, least(f, 1 - f) AS maf FROM (SELECT ref_pos, count(DISTINCT sample_id) / (SELECT count(DISTINCT sample_id) FROM sample) AS f
-FROM spectrum WHERE variant_type = 'SNP' GROUP BY ref_pos))"""
+MAF = SPEC + """, maf AS (SELECT reference_id, ref_pos, least(f, 1 - f) AS maf FROM (SELECT reference_id, ref_pos, count(DISTINCT sample_id) / (SELECT count(DISTINCT sample_id) FROM sample) AS f
+FROM spectrum WHERE variant_type = 'SNP' GROUP BY reference_id, ref_pos))"""
 
 
 @query(MAF + "SELECT * FROM maf WHERE ref_pos BETWEEN 100 AND 900 AND maf >= 0.004", (*BASE, "sample"))
@@ -245,10 +245,12 @@ def haplotype_blocks(spark, d):
     return cohort.haplotype_blocks(linkage(spark, d), 0.05)
 
 
-@query(COHORT + """, snp AS (SELECT sample_id, ref_pos, min(alt_base) AS alt FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1, 2), r AS (SELECT ref_pos, min(ref_base) AS ref FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1),
-f AS (SELECT s.sample_id, r.ref_pos, coalesce(alt, ref) AS b FROM (SELECT DISTINCT sample_id FROM snp) s CROSS JOIN r LEFT JOIN snp ON snp.sample_id = s.sample_id AND snp.ref_pos = r.ref_pos),
-c AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) AS n, count(*) FILTER (x.b || y.b IN ('AG', 'GA', 'CT', 'TC')) AS ti, count(*) FILTER (x.b <> y.b AND x.b || y.b NOT IN ('AG', 'GA', 'CT', 'TC')) AS tv
-FROM f x JOIN f y USING (ref_pos) WHERE x.sample_id < y.sample_id GROUP BY 1, 2)
+@query(COHORT + """, snp AS (SELECT sample_id, reference_id, ref_pos, min(alt_base) AS alt FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1, 2, 3),
+r AS (SELECT reference_id, ref_pos, min(ref_base) AS ref FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1, 2),
+f AS (SELECT s.sample_id, r.reference_id, r.ref_pos, coalesce(alt, ref) AS b FROM (SELECT DISTINCT sample_id FROM snp) s CROSS JOIN r
+  LEFT JOIN snp ON snp.sample_id = s.sample_id AND snp.ref_pos = r.ref_pos AND snp.reference_id = r.reference_id),
+c AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) AS n, count(*) FILTER (x.b || y.b IN ('AG', 'GA', 'CT', 'TC')) AS ti,
+  count(*) FILTER (x.b <> y.b AND x.b || y.b NOT IN ('AG', 'GA', 'CT', 'TC')) AS tv FROM f x JOIN f y USING (reference_id, ref_pos) WHERE x.sample_id < y.sample_id GROUP BY 1, 2)
 SELECT a, b, ti, tv, round(-0.5 * ln((1 - 2 * ti / n - tv / n) * sqrt(1 - 2 * tv / n)), 6) AS distance FROM c""", ("cohort_link", "variant"))
 def k2p_distance(spark, d):
     return cohort.k2p(spec(spark, d, "cohort_link"))

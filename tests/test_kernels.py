@@ -217,3 +217,51 @@ def test_trends_against_integration(spark):
     rows = [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("flat", 1.0, 4.0), ("level", 1.0, 2.0), ("level", 2.0, 2.0), ("level", 3.0, 2.0), ("two", 1.0, 2.0), ("two", 2.0, 3.0)]
     got = {r.signature: (r.n, r.slope, r.r2, r.p_value, r.trend) for r in signatures.exposure_trends(spark.createDataFrame(rows, "signature string, x double, y double"), ["signature"], "x", "y").collect()}
     assert got == {"flat": (3, 0.0, 0.0, 1.0, "stable"), "level": (3, 0.0, 1.0, 1.0, "stable")}
+
+
+def test_letters_beyond_latin_1_are_apart():
+    assert alignment.local_alignment("ДЖ", "ЩЫ") == (0, 0, 0, 0, 0, "", "")
+    assert alignment.local_alignment("ДЖ", "xДЖ")[0] == 4
+
+
+def test_equal_alignments_each_show_their_variants(spark):
+    row = (1, 7, 10, 0, "ACGT-A", "ATG-CA")
+    df = spark.createDataFrame([row, row, (2, 7, 10, 0, "A", "A")], "query_id int, reference_id int, score int, ref_start int, aligned_query string, aligned_ref string")
+    got = sorted(map(tuple, alignment.called_variants(df).collect()))
+    assert len(got) == 6 and got[::2] == got[1::2]
+    assert {(r[2], r[3], r[4], r[5]) for r in got} == {("SNP", 1, "T", "C"), ("INS", 3, "", "T"), ("DEL", 3, "C", "")}
+
+
+def test_positions_of_two_references_are_two_sites(spark):
+    """Sample 1 and 2 differ at position 5 of reference 0, sample 1 and 3 at position 5 of reference 1."""
+    kind = "sample_id long, reference_id long, ref_pos long, variant_type string, ref_base string, alt_base string"
+    rows = [(1, 0, 5, "SNP", "A", "G"), (2, 1, 5, "SNP", "C", "G"), (3, 0, 5, "SNP", "A", "G"), (3, 0, 9, "SNP", "T", "C"), (4, 1, 7, "DEL", "A", "")]
+    df = spark.createDataFrame(rows, kind)
+    from strandwise.operators import spectrum
+
+    samples = spark.createDataFrame([(i,) for i in range(1, 5)], "sample_id long")
+    maf = {(r.reference_id, r.ref_pos): r.maf for r in spectrum.minor_allele_frequency(df, samples).collect()}
+    assert maf == {(0, 5): 0.5, (1, 5): 0.25, (0, 9): 0.25}
+    seqs = {1: "GCT", 2: "AGT", 3: "GCC"}  # reference 0 at 5, reference 1 at 5, reference 0 at 9
+    got = {(r.a, r.b): (r.ti, r.tv, r.distance) for r in cohort.k2p(df).collect()}
+    for (a, b), (ti, tv, d) in got.items():
+        both = [x + y for x, y in zip(seqs[a], seqs[b], strict=True)]
+        assert ti == sum(x in ("AG", "GA", "CT", "TC") for x in both) and ti + tv == sum(x[0] != x[1] for x in both)
+        p, q = ti / 3, tv / 3
+        s, t = 1 - 2 * p - q, 1 - 2 * q
+        want = -0.5 * math.log(s * math.sqrt(t)) if s > 0 and t > 0 else (p + q) * (1 + 0.5 * (p + q)) + p * p / (2 * q * q) if q > 0 else -math.log(1 - p)
+        assert d == pytest.approx(want, abs=1e-6)
+    assert set(got) == {(1, 2), (1, 3), (2, 3)}
+    pairs = df.sparkSession.createDataFrame(list(got), "a long, b long")
+    drawn = trees.bootstrap_distances(cohort.site_differences(df.where("variant_type = 'SNP'")), pairs, df.where("variant_type = 'SNP'"), 4)
+    assert drawn.count() == 12
+
+
+def test_text_that_is_a_number_compares_as_one(spark):
+    from strandwise.operators import rules
+
+    row = spark.range(1)
+    held = lambda actual, op, value, numeric=False: row.select(rules.condition(F.lit(actual), F.lit(op), F.lit(value), numeric)).first()[0]
+    assert held("5", "gt", "3") and not held("5", "lt", "3") and held("10", "gte", "9") and held("2", "lte", "2.0")
+    assert not held("A", "gt", "B") and not held("5", "gt", "x") and held("5", "ne", "5.0") and not held(None, "ne", "a")
+    assert held(5, "eq", "5.0", True) and held(5, "gt", "3", True) and not held(5, "ne", "x", True)
