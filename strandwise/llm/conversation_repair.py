@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -183,22 +184,27 @@ def _entries(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 EDITS = pa.schema([("conv", pa.string()), ("i", pa.int64()), ("letters", pa.string()), ("given", pa.int32()), ("state", pa.int32()), ("tail", pa.int32())])
 
 
-def _edits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Each row's letters and given role, the state before it, and the inserts after a conversation's last row."""
-    ends, entry, n = (table.column(c)[0].as_py() for c in ("ends", "entry", "n"))
-    place, rows = _segment(table)
-    edits, state = trace(rows, layers(rows, ends or END), entry or 0)
-    states, s = [], entry or 0
-    for (letters, given), (initial, _) in zip(edits, rows, strict=True):
-        states.append(s)
-        for _ in range(len(letters) - 1):
-            s = GIVEN[s][1]
-        s = s if letters[-1] == "D" else GIVEN[s][1] if given is not None else NEXT[s][initial]
-    tail = np.full(len(rows), 0)
-    if place[-1] == n - 1:
-        tail[-1] = END[state] // INSERT
-    return pa.table([pa.array([key[0].as_py()] * len(rows)), place, [x for x, _ in edits], pa.array([g for _, g in edits], pa.int32()), pa.array(states, pa.int32()),
-                     pa.array(tail, pa.int32())], schema=EDITS)
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's letters and given role, the state before it, and the inserts after a conversation's last row; rows come segment by segment."""
+    names = ("conv", "seg", "i", "n", "initial", "fault", "ends", "entry")
+    flat = (r for rb in batches for r in zip(*(A.column(rb, c).to_pylist() for c in names), strict=True))
+    done: list[tuple] = []
+    for (conv, _), group in groupby(flat, key=lambda r: r[:2]):
+        group = list(group)  # at most a segment
+        *_, ends, entry = group[0]
+        rows = [r[4:6] for r in group]
+        made, state = trace(rows, layers(rows, ends or END), entry or 0)
+        s = entry or 0
+        for (_, _, i, n, initial, *_), (letters, given) in zip(group, made, strict=True):
+            done.append((conv, i, letters, given, s, END[state] // INSERT if i == n - 1 else 0))
+            for _ in range(len(letters) - 1):
+                s = GIVEN[s][1]
+            s = s if letters[-1] == "D" else GIVEN[s][1] if given is not None else NEXT[s][initial]
+        if len(done) >= SEGMENT:
+            yield A.batch(EDITS, *map(list, zip(*done, strict=True)))
+            done = []
+    if done:
+        yield A.batch(EDITS, *map(list, zip(*done, strict=True)))
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -210,12 +216,14 @@ def edits(codes: DataFrame, segment: int = SEGMENT) -> DataFrame:
     codes = codes.withColumn("seg", F.expr(f"i div {segment}"))
     long = codes.where(F.col("n") > segment)
     costs = materialize(long.groupBy("conv", "seg").applyInArrow(_costs, _ddl(MATRIX)), "segments")
-    bounds = costs.drop("costs").withColumns({"ends": F.lit(None).cast("array<bigint>"), "entry": F.lit(None).cast("bigint")})
-    if not costs.isEmpty():  # a conversation's 16 numbers for each segment meet in one task, its turns don't
+    if costs.isEmpty():
+        codes = codes.withColumns({"ends": F.lit(None).cast("array<bigint>"), "entry": F.lit(None).cast("bigint")})
+    else:  # a conversation's 16 numbers for each segment meet in one task, its turns don't
         ends = costs.groupBy("conv").applyInArrow(_ends, _ddl(ENDS))
         exits = long.join(ends, ["conv", "seg"]).groupBy("conv", "seg").applyInArrow(_exits, _ddl(EXITS))
         bounds = materialize(exits.groupBy("conv").applyInArrow(_entries, _ddl(BOUNDS)), "bounds")
-    return codes.join(bounds, ["conv", "seg"], "left").groupBy("conv", "seg").applyInArrow(_edits, _ddl(EDITS))
+        codes = codes.join(bounds, ["conv", "seg"], "left")
+    return codes.repartition("conv", "seg").sortWithinPartitions("conv", "seg", "i").mapInArrow(_edits, _ddl(EDITS))
 
 
 def damaged(turns: DataFrame) -> DataFrame:
