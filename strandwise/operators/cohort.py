@@ -66,7 +66,7 @@ def ld_pairs(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
     return d.select("reference_id", "i", "j", (F.round("d", 6) + 0.0).alias("d"), F.when(most == 0, 0.0).otherwise(F.round(F.abs(F.col("d") / most), 6)).alias("d_prime"), F.when(var == 0, 0.0).otherwise(F.round(F.col("d") * F.col("d") / var, 6)).alias("r2"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df computed once, in the folder that spark.checkpoint.dir names; in one of our own where it is unset and the master is local."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -82,7 +82,7 @@ def block_ends(pairs: DataFrame, threshold: float) -> DataFrame:
     by = [c for c in pairs.columns if c == "reference_id"]
     # one pass: pairs are all those of a reference's loci, so that only its last locus is no i
     bad = pairs.groupBy(*by, F.col("i").alias("pos")).agg(F.min(F.when(F.col("r2") < threshold, F.col("j"))).alias("bad"), F.max("j").alias("far"))
-    bad = _stored(bad)
+    bad = stored(bad)
     last = bad.groupBy(*by).agg(F.max("far").alias("pos")).where("pos is not null").select(*by, "pos", F.lit(None).cast("bigint").alias("bad"))
     loci = bad.drop("far").union(last)
     # loci of one reference: a row for each, so a window over them
@@ -97,12 +97,12 @@ def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
     Each locus leads to the first locus after a block from it. Those reached from a reference's first locus start
     blocks; they are found by doubling the step, in as many joins as the logarithm of the number of blocks."""
     by = [c for c in pairs.columns if c == "reference_id"]
-    ends = _stored(block_ends(pairs, threshold))
+    ends = stored(block_ends(pairs, threshold))
     step = ends.where("stop is not null").select(*by, "pos", "stop")
     reached = ends.where("rank = 1").select(*by, "pos")
     while not step.isEmpty():
-        reached = _stored(reached.union(reached.join(step, [*by, "pos"]).select(*by, F.col("stop").alias("pos"))))
-        step = _stored(step.join(step.select(*by, F.col("pos").alias("stop"), F.col("stop").alias("then")), [*by, "stop"]).select(*by, "pos", F.col("then").alias("stop")))
+        reached = stored(reached.union(reached.join(step, [*by, "pos"]).select(*by, F.col("stop").alias("pos"))))
+        step = stored(step.join(step.select(*by, F.col("pos").alias("stop"), F.col("stop").alias("then")), [*by, "stop"]).select(*by, "pos", F.col("then").alias("stop")))
     w = Window.partitionBy(*by).orderBy("pos")
     starts = ends.join(reached, [*by, "pos"]).withColumn("next", F.lead("rank").over(w))
     last = ends.groupBy(*by).agg(F.max("rank").alias("last"))

@@ -52,6 +52,32 @@ def melting_points(bases: str, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return start, np.round((gc[start + length] - gc[start]) / length * 100, 2), np.round(tm, 2)
 
 
+def window_temperatures(sequences: DataFrame, width: int, step: int = 1 << 16) -> DataFrame:
+    """(sequence_id, place, primer, tm): every window of width bases, from 1, with its temperature; a shorter sequence is one window.
+
+    Each sequence (sequence_id, bases) goes in pieces of step windows. A window is a difference of two running sums; of what has
+    other letters than bases tm is null, and 0 below two bases.
+    """
+    rows = sequences.where("bases is not null").select("sequence_id", "bases", F.explode(F.expr(f"sequence(0, greatest(length(bases) - {width}, 0), {step})")).alias("at"))
+    rows = rows.select("sequence_id", "at", F.col("bases").substr(F.col("at") + 1, F.lit(step + width - 1)).alias("bases"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sequence_id", "at")  # a short text makes many windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for k, (at, bases) in enumerate(zip(rb["at"].to_pylist(), rb["bases"].to_pylist(), strict=True)):
+                size = min(width, len(bases))
+                n = len(bases) - size + 1
+                tm = np.zeros(n) if size < 2 else np.full(n, np.nan)
+                if size > 1:
+                    start, _, found = melting_points(bases, size)
+                    tm[start] = found
+                ids = rb["sequence_id"].take(pa.array(np.full(n, k)))
+                texts = pa.array([bases[i : i + size] for i in range(n)], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at + 1 + np.arange(n), pa.int32()), texts, pa.array(tm, pa.float64(), from_pandas=True)], ["sequence_id", "place", "primer", "tm"])
+
+    return rows.mapInArrow(run, f"sequence_id {sequences.schema['sequence_id'].dataType.simpleString()}, place int, primer string, tm double")
+
+
 def best_windows(region: str) -> list[tuple[int, int, float, float]]:
     """(start, length, gc, tm) of the SIDE windows nearest to the best temperature: then shorter ones, then earlier ones.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,14 +128,36 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3) -> DataFrame:
-    """The k references (ref_id, ref_vector) with the largest cosine to each vector, of all of them. Norms are computed once a row."""
-    v = vectors.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
-    r = references.withColumn("ref_norm", F.sqrt(dot(F.col("ref_vector"), F.col("ref_vector")))).repartition(8)
-    n = F.col("norm") * F.col("ref_norm")
-    sim = v.crossJoin(r).select("id", "ref_id", F.round(F.when(n == 0, 0.0).otherwise(dot(F.col("vector"), F.col("ref_vector")) / n), 6).alias("similarity"))
+def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
+    """The k references (ref_id, ref_vector) with the largest cosine, 6 digits, to each vector (id, vector), of all of them.
+
+    Both sides are dealt into blocks of about `block` rows by the hash of their ids; each block of vectors meets each block of references as
+    two matrices, and gives k of each vector. What all blocks give of a vector is then ranked once more. All have one length.
+    """
+    blocks = lambda df, i, v: df.groupBy(F.pmod(F.xxhash64(i), F.lit(max(1, df.count() // block))).alias("b")).agg(F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).cast("array<double>").alias("v"))).alias("rows"))
+    left, right = blocks(vectors, "id", "vector"), blocks(references, "ref_id", "ref_vector")
+    met = left.select(F.col("b").alias("p"), F.col("rows").alias("x")).crossJoin(right.select(F.col("b").alias("q"), F.col("rows").alias("y")))  # blocks, not rows
+    met = met.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p", "q")
+
+    def matrix(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        values = rows.field("v")
+        return rows.field("i"), np.asarray(values.flatten(), np.float64).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for n in range(rb.num_rows):
+                (ids, x), (refs, y) = (matrix(rb[c][n].values) for c in "xy")
+                size = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
+                cosine = np.round(np.divide(x @ y.T, size, out=np.zeros_like(size), where=size != 0), 6)
+                order = np.argsort(np.asarray(refs), kind="stable")
+                best = order[np.argsort(-cosine[:, order], axis=1, kind="stable")[:, :k]]
+                own = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), refs.take(pa.array(best.ravel())), pa.array(cosine[own, best.ravel()])], ["id", "ref_id", "similarity"])
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((vectors, "id"), (references, "ref_id"))]
+    found = met.mapInArrow(run, f"{', '.join(kinds)}, similarity double")
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "ref_id")
-    return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "similarity")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "similarity")
 
 
 def cigar_runs(columns: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import alignment, cohort, factors, rules, signatures, spectrum, trees
+from ..operators import alignment, cohort, factors, primers, rules, signatures, spectrum, trees
 from ..sources.projection import duckdb_views, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,9 +305,17 @@ def exposure_change(spark, d):
     return signatures.exposure_change(view(spark, d, "exposure"), "2024-01-10", "2024-01-20")
 
 
-@query()
+@query(f"""WITH step(pair, dh, ds) AS (VALUES {", ".join(f"('{k}', {h}, {s})" for k, (h, s) in primers.STEPS.items())}), tip(base, th, ts) AS (VALUES {", ".join(f"('{k}', {h}, {s})" for k, (h, s) in primers.ENDS.items())}),
+s AS (SELECT sequence_id, bases, length(bases) AS n, least(length(bases), 24) AS size FROM sequence),
+letter AS (SELECT sequence_id, bases, n, size, i, substr(bases, i::INT, 1) AS base, substr(bases, i::INT, 2) AS pair FROM s, unnest(range(1, n + 1)) AS r(i)),
+summed AS (SELECT sequence_id, bases, n, size, i, base, sum(coalesce(dh, 0)) OVER w AS h, sum(coalesce(ds, 0)) OVER w AS s FROM letter LEFT JOIN step USING (pair)
+  WINDOW w AS (PARTITION BY sequence_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 22 FOLLOWING))
+SELECT sequence_id, 1 AS place, bases AS primer, 0.0::DOUBLE AS tm FROM s WHERE n < 2
+UNION ALL SELECT sequence_id, i, substr(bases, i::INT, size::INT), round((h + a.th + z.th) * 100.0::DOUBLE / ((s + a.ts + z.ts) / 10.0::DOUBLE + {primers.GAS}::DOUBLE * ln({primers.CONCENTRATION:.10f}::DOUBLE / 4)) - 273.15::DOUBLE, 2)
+FROM summed JOIN tip a USING (base) JOIN tip z ON z.base = substr(bases, (i + size - 1)::INT, 1) WHERE i <= n - size + 1 AND n >= 2""", ("sequence",))
 def melting_temperature(spark, d):
-    return signatures.primers(view(spark, d, "sequence"), 24).withColumn("tm", signatures.melting_temperature(F.col("primer")))
+    return primers.window_temperatures(view(spark, d, "sequence"), 24)
+
 
 
 @query("""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS place, CASE l_returnflag WHEN 'R' THEN 'M' WHEN 'A' THEN 'I' ELSE 'D' END AS op FROM lineitem),

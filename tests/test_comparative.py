@@ -262,3 +262,35 @@ def test_nonspecific_pairs_and_spread(spark):
     assert got == sorted(want) and len(want) > 20
     more = pairs.withColumn("target_id", pairs["rank"]).withColumn("rank", pairs["rank"] * 0 + 1)
     assert tuple(primers.tm_consistency(more, ["reference_id"]).first()) == (7, 2, 0.0, 1.0, round(math.sqrt(0.5), 4))
+
+
+def test_temperatures_of_windows(spark):
+    from strandwise.operators import signatures
+
+    rng = random.Random(17)
+    rows = [(k, bases(rng, n)) for k, n in enumerate([0, 1, 2, 9, 24, 25, 80])] + [(20, "ACGTN" * 6), (21, None)]
+    df = spark.createDataFrame(rows, "sequence_id int, bases string")
+    got = {(r.sequence_id, r.place): (r.primer, r.tm) for r in primers.window_temperatures(df, 24, 7).collect()}
+    want = {}
+    for k, text in rows:
+        for i in range(max(1, len(text) - 23) if text is not None else 0):
+            p = text[i : i + 24]
+            want[k, i + 1] = (p, 0.0 if len(p) < 2 else None if "N" in p else plain_tm(p))
+    assert got == want
+    known = spark.createDataFrame([(p,) for k, (p, tm) in want.items() if tm is not None], "p string")
+    assert all(r.tm == pytest.approx(plain_tm(r.p) if len(r.p) > 1 else 0.0, abs=0.011) for r in known.select("p", signatures.melting_temperature(known["p"]).alias("tm")).collect())
+
+
+def test_best_matches_in_blocks(spark):
+    from strandwise.operators import signatures
+
+    rng = random.Random(5)
+    rows = [(k, [float(rng.randrange(-2, 3)) for _ in range(4)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    got = sorted(map(tuple, signatures.best_matches(df, df.withColumnsRenamed({"id": "ref_id", "vector": "ref_vector"}), 3, 16).collect()))
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    want = []
+    for i, v in rows:
+        sim = [(-round(sum(x * y for x, y in zip(v, u, strict=True)) / (size(v) * size(u)), 6) if size(v) * size(u) else 0.0, j) for j, u in rows]
+        want += [(i, r + 1, j, pytest.approx(-s, abs=1e-9)) for r, (s, j) in enumerate(sorted(sim)[:3])]
+    assert got == want
