@@ -73,6 +73,7 @@ class Automaton:
             table.append(row)
         self.table = np.array(table, np.int32)
         self.edits = np.array(self.edits, np.int8)
+        self.dead = numbers.get((-1, frozenset()), -1)  # where all words end that are two letters longer than any term
 
     def match(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
         """For each word code[first[i]:first[i + 1]]: 0 for a term, 1 within an edit of one, else 2."""
@@ -81,16 +82,12 @@ class Automaton:
         kind = np.where(self.letters[at] == code, at + 1, 0) if len(self.letters) else np.zeros(len(code), np.int64)
         n = np.diff(first)
         state = np.zeros(len(n), np.int32)
-        dead = -1
         live = np.arange(len(n))
         j = 0
-        while len(live := live[n[live] > j]):
+        while len(live := live[(n[live] > j) & (state[live] != self.dead)]):
             state[live] = self.table[state[live], kind[first[live] + j]]
             j += 1
-            if j > 64:  # no term is so long
-                state[live] = dead
-                break
-        return np.where(state == dead, 2, self.edits[state])
+        return self.edits[state].astype(np.int64)
 
 
 def _words(rb: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

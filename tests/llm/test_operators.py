@@ -162,6 +162,14 @@ def test_levenshtein_automaton():
     assert a.match(code, np.cumsum([0, *map(len, words)])).tolist() == [min(near(w, t) for t in terms) for w in words]
 
 
+def test_terms_of_any_length_match():
+    long = "x" * 70
+    a = toxicity.Automaton([long, "scum", "y" * 100 + "z"])
+    words = [long, long[:-1], long + "x", long + "xx", "x" * 64, "y" * 100 + "z", "y" * 99 + "z", "y" * 500, "x" * 30 + "q" + "x" * 39]
+    code = np.array([ord(c) for w in words for c in w])
+    assert a.match(code, np.cumsum([0, *map(len, words)])).tolist() == [0, 1, 1, 2, 2, 0, 1, 2, 1]
+
+
 @pytest.mark.parametrize(("module", "label", "mod", "rest"), [(toxicity, "toxic", 5, 0), (quality_classifier, "quality", 3, 1)])
 def test_scores(docs, labels, rows, module, label, mod, rest):
     got = {r.doc_id: r for r in module.scores(docs, labels).collect()}
