@@ -327,3 +327,14 @@ def test_pipeline_stages_keep_columns(spark):
             assert docs.columns == some.columns
             assert {(r.kept, r.n_words) for r in docs.collect()} == ({("x", 7)} if rows else set())
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0) == rows
+
+
+def test_results_of_a_stage_live_side_by_side(spark):
+    """Two results of one stage, of one folder or two, both count; a later stage of another folder leaves them alone."""
+    some = materialize(spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in TABLE[:20]], "doc_id long, text string, source string"), "docs")
+    quality, exact = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
+    one, two = quality(spark, some, "here"), quality(spark, some.limit(9), "here")
+    three = exact(spark, some, "there")
+    assert one.count() >= two.count() > 0 and three.count() == 20
+    stored = materialize(one, "stored")
+    assert exact(spark, stored, "here").count() == stored.count()
