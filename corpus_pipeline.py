@@ -17,21 +17,32 @@ TEMPER = 0.5
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Inner tables of the stages that ran before.
-_left: list[str] = []
+#: Inner tables that stages called by hand have left, by folder: (stage, path).
+_by_folder: dict[str, list[tuple[str, str]]] = {}
 
 
 def _stage(function: Stage) -> Stage:
-    """A stage whose inner tables are deleted as a later stage begins, unless that stage's docs still read them."""
+    """A stage whose inner tables are deleted as another stage of its run begins, unless that stage's docs still read them.
+
+    run() keeps a list of its own, so that runs don't touch each other's tables. Stages called by hand share a list for each folder; two
+    results of one stage never delete each other's.
+    """
 
     @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        for path in [p for p in _left if not any(p.rsplit("/", 1)[1] in f for f in read)]:
-            remove(spark, path)
-            _left.remove(path)
-        with recording(_left):
-            return function(spark, docs, sf_dir)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, left: list[tuple[str, str]] | None = None) -> DataFrame:
+        left = _by_folder.setdefault(sf_dir, []) if left is None else left
+        others = [x for x in left if x[0] != function.__name__]
+        read = docs.inputFiles() if others else []
+        for name, path in others:
+            if not any(path.rsplit("/", 1)[1] in f for f in read):
+                remove(spark, path)
+                left.remove((name, path))
+        paths: list[str] = []
+        try:
+            with recording(paths):
+                return function(spark, docs, sf_dir)
+        finally:
+            left += [(function.__name__, path) for path in paths]
 
     return run_stage
 
@@ -109,11 +120,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     output is stored once; it is deleted, with the stage's inner tables, when the stage after it has been stored.
     """
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            before, docs = path, materialize(docs, name.replace(" ", "-"))
-            path = docs.stored_at
-            if before:
-                remove(spark, before)
+    left: list[tuple[str, str]] = []
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir, left=left)
+            if k < len(STAGES) - 1:
+                before, docs = path, materialize(docs, name.replace(" ", "-"))
+                path = docs.stored_at
+                if before:
+                    remove(spark, before)
+    except BaseException:  # nothing of a run that fails is left
+        for gone in [*(x for _, x in left), *([path] if path else [])]:
+            remove(spark, gone)
+        raise
     return docs
