@@ -133,9 +133,13 @@ def with_sides(pairs: DataFrame, nodes: DataFrame, columns: dict[str, str]) -> D
     return pairs
 
 
+#: What a pair carries of each side from its parity test to the count of its overlap.
+SIDES = {"n_shingles": "n", "h1": "h1", "h2": "h2", "first_id": "id"}
+
+
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that sizes and parity bitmaps let link, with na, nb and least, the differences that the bitmaps show."""
-    both = with_sides(pairs, nodes, {"n_shingles": "n", "parity": "bits"})
+    """The pairs that sizes and parity bitmaps let link, with SIDES of both and least, the differences that the bitmaps show."""
+    both = with_sides(pairs, nodes, {**SIDES, "parity": "bits"})
     both = both.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
     both = both.withColumn("least", fewest_differences(F.col("bitsa"), F.col("bitsb"))).drop("bitsa", "bitsb")
     return both.where(_few(F.col("least")))
@@ -208,24 +212,25 @@ def _fragments(level: Broadcast):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment, summed per pair.
+def verified(pairs: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
+    """Those of the stored near_pairs that link: partial overlaps by fragment, summed per pair; their components (ca, cb) stay with them.
 
     The texts of the pairs' documents are read again and their sets cut into fragments; pairs meet them fragment by
     fragment, each side in turn. All joins are plain sort-merge joins, which AQE splits at a hub.
     """
-    pairs = materialize(with_sides(pairs.select("a", "b"), nodes, {"n_shingles": "n", "h1": "h1", "h2": "h2", "first_id": "id"}), "pairs")
-    ids = pairs.select(F.col("ida").alias("__id")).union(pairs.select(F.col("idb").alias("__id"))).distinct()
+    keys = ["a", "b", "ca", "cb", "na", "nb"]
+    pairs = pairs.select(*keys, *[f"{c}{k}" for c in ("h1", "h2", "id") for k in "ab"])
+    ids = pairs.select(F.explode(F.array("ida", "idb")).alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_fragments(level), "h1 bigint, h2 bigint, fragment int, tokens array<bigint>"), "sets")
     left = pairs.join(sets.withColumnsRenamed({"h1": "h1a", "h2": "h2a", "tokens": "ta"}), ["h1a", "h2a"])
     both = left.join(sets.withColumnsRenamed({"h1": "h1b", "h2": "h2b", "tokens": "tb"}), ["h1b", "h2b", "fragment"])
-    part = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
-    part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))  # equal rows have equal sets
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    part = both.select(*keys, "fragment", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
+    part = part.groupBy(*keys, "fragment").agg(F.max("overlap").alias("overlap"))  # equal rows have equal sets
+    total = part.groupBy(*keys).agg(F.sum("overlap").alias("overlap"))
     enough = F.col("overlap") * (DEN + NUM) >= (F.col("na") + F.col("nb")) * NUM
-    links = materialize(total.where(enough).select("a", "b"), "links")
-    discard(pairs, sets)
+    links = materialize(total.where(enough).select("a", "b", "ca", "cb"), "links")
+    discard(sets)
     return links
 
 
@@ -282,10 +287,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = materialize(shared_posts(posts), "shared")
     discard(wide)
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = crossing_links(shared, nodes, docs, level, tested_links(stars, nodes, docs, level))
-    member = components(links)
+    links = tested_links(stars.withColumns({"ca": F.col("a"), "cb": F.col("b")}), nodes, docs, level)
+    member = materialize(components(links), "member")
+    crossed = crossing_links(shared, nodes, docs, level, member)
     discard(shared)
     named = nodes.select("node", "h1", "h2", "first_id").join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if crossed is not None:
+        named = moved(named, components(crossed))
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     named = materialize(named.select("h1", "h2", "component").join(least.hint("merge"), "component").select("h1", "h2", "component_id"), "placed")
@@ -295,13 +303,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def tested_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link: by sketch, then by parity bitmap, then by fragments."""
+    """Those of the distinct pairs (a, b, ca, cb) that link: by sketch, then by parity bitmap, then by fragments."""
     pairs = materialize(pairs, "stars")
     sketch = {"n_shingles": "n"} | {f"s{k}": f"s{k}" for k in range(SKETCH)}
-    alike = materialize(with_sides(pairs, nodes, sketch).where(_similar()).select("a", "b"), "alike")
-    near = materialize(near_pairs(alike, nodes).select("a", "b"), "near")
-    links = verified(near, nodes, docs, level)
-    discard(pairs, alike, near)
+    alike = with_sides(pairs, nodes, sketch).where(_similar()).select("a", "b", "ca", "cb")
+    near = materialize(near_pairs(alike, nodes), "near")
+    links = verified(near, docs, level)
+    discard(pairs, near)
     return links
 
 
@@ -310,9 +318,14 @@ def _enough() -> Column:
     return (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (DEN + NUM)) >= (F.col("na") + F.col("nb")) * NUM
 
 
-def spanning(shared: DataFrame, member: DataFrame) -> DataFrame:
-    """The postings of shingles whose nodes are of two or more components, with each node's component."""
-    placed = shared.drop("component").join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def moved(rows: DataFrame, joined: DataFrame, component: str = "component") -> DataFrame:
+    """rows with their component replaced by what it has become part of; joined is (node, component) of components."""
+    to = joined.select(F.col("node").alias(component), F.col("component").alias("__to"))
+    return rows.join(to.hint("merge"), component, "left").withColumn(component, F.coalesce("__to", component)).drop("__to")
+
+
+def spanning(placed: DataFrame) -> DataFrame:
+    """The postings of shingles whose nodes are of two or more components."""
     placed = materialize(placed, "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     out = materialize(placed.join(split.hint("merge"), "token", "left_semi"), "spanning")
@@ -320,60 +333,77 @@ def spanning(shared: DataFrame, member: DataFrame) -> DataFrame:
     return out
 
 
-def crossing_links(shared: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast, links: DataFrame) -> DataFrame:
-    """links and more, such that no link between two components is left out.
+def crossing_links(shared: DataFrame, nodes: DataFrame, docs: DataFrame, level: Broadcast, member: DataFrame) -> DataFrame | None:
+    """Links (a, b) between components, such that with them none between two components is left out; None if there is nothing to meet.
 
     First rounds of other hubs: they join what is close to several of a group, in as many pairs as rows.
     Then pairs meet at the shingles whose nodes are of two or more components, not at each but at those without another
     shared one close before. A posting carries its component, its place, a sketch of fixed size and the EARLIER tokens
     before it, no more. The likeliest pair of each component is counted first: most other pairs
     are then within one. What is left is all counted.
+    Between rounds only the new links' components are joined, not all links again: a and b of the result name components,
+    each by its smallest node.
     """
     shared = shared.where("met > 2").select("token", "node", "n", "at", "hub")
-    member = components(links)
+    shared = shared.join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found: DataFrame | None = None
+
+    def grown(links: DataFrame) -> DataFrame:
+        new = links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        return new if found is None else found.unionByName(new)
+
+    side = {"node": "", "component": "c", "n": "n", "at": "i"}
     for salt in range(HUB_ROUNDS):
-        shared = spanning(shared, member)
-        row = F.struct(*[F.col(c).alias(f"{to}b") for c, to in {"node": "", "component": "c", "n": "n", "at": "i"}.items()])
+        shared = spanning(shared)
+        if shared.isEmpty():
+            return found
+        row = F.struct(*[F.col(c).alias(f"{to}b") for c, to in side.items()])
         hubs = shared.groupBy("token").agg(F.min_by(row, F.xxhash64("node", "token", F.lit(salt))).alias("with")).select("token", "with.*")
-        rows = shared.select("token", *[F.col(c).alias(f"{to}a") for c, to in {"node": "", "component": "c", "n": "n", "at": "i"}.items()])
+        rows = shared.select("token", *[F.col(c).alias(f"{to}a") for c, to in side.items()])
         size = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
         stars = rows.join(hubs.hint("merge"), "token").where((F.col("ca") != F.col("cb")) & size & _enough())
-        stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(tested_links(stars, nodes, docs, level))
-        member = components(links)
-    shared = spanning(shared, member)
+        ends = (F.struct(F.col(k).alias("x"), F.col(f"c{k}").alias("c")) for k in "ab")
+        stars = stars.select(F.array_sort(F.array(*ends)).alias("e")).select(
+            F.expr("e[0].x").alias("a"), F.expr("e[1].x").alias("b"), F.expr("e[0].c").alias("ca"), F.expr("e[1].c").alias("cb")
+        )
+        links = tested_links(stars.distinct(), nodes, docs, level)
+        if not links.isEmpty():
+            found = grown(links)
+            shared = moved(shared, components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    shared = spanning(shared)
+    if shared.isEmpty():
+        return found
     sketch = [f"s{k}" for k in range(SKETCH)]
     open_ = shared.join(nodes.select("node", *sketch).hint("merge"), "node")
     order = Window.partitionBy("node").orderBy("at")  # the prefix of one document
     open_ = open_.withColumn("earlier", F.array_compact(F.array(*[F.lag("token", k).over(order) for k in range(1, EARLIER + 1)])))
     open_ = materialize(open_, "open")
     x, y = (
-        open_.select("token", "hub", *[F.col(c).alias(f"{to}{k}") for c, to in {"node": "", "component": "c", "n": "n", "at": "i", "earlier": "e", **{s: s for s in sketch}}.items()])
+        open_.select("token", "hub", *[F.col(c).alias(f"{to}{k}") for c, to in {**side, "earlier": "e", **{s: s for s in sketch}}.items()])
         for k in "ab"
     )
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     first = ~F.arrays_overlap("ea", "eb")  # where a is the hub of an earlier shared token, the pair has been a star's
     meet = (x.token == y.token) & apart & _enough() & _similar() & first
-    rest = x.where("a <> hub").join(y.drop("hub").hint("merge"), meet).select("a", "b", "ca", "cb").distinct()
-    rest = materialize(rest, "met")
+    met = x.where("a <> hub").join(y.drop("hub").hint("merge"), meet).select("a", "b", "ca", "cb").distinct()
+    met = materialize(met, "met")
     discard(open_)
-    rest, met = materialize(near_pairs(rest, nodes).select("a", "b", "ca", "cb", "least"), "rest"), rest
+    rest = materialize(near_pairs(met, nodes), "rest")
     discard(met)
     for k in range(LIKELIEST_ROUNDS + 1):
         if rest.isEmpty():
             break
-        tried = rest.select("a", "b")
+        tried = rest
         if k < LIKELIEST_ROUNDS:
-            ends = rest.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("least", "a", "b").alias("pair"))
-            tried = materialize(ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "tried")
-        links = links.unionByName(verified(tried, nodes, docs, level))
+            ends = rest.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("least", "a", "b").alias("rank"), F.struct(*rest.columns).alias("pair"))
+            tried = materialize(ends.groupBy("c").agg(F.min_by("pair", "rank").alias("pair")).select("pair.*").distinct(), "tried")
+        links = verified(tried, docs, level)
+        found = grown(links)
         if k < LIKELIEST_ROUNDS:
-            member = components(links)
-            rest = rest.select("a", "b", "least").join(tried, ["a", "b"], "left_anti")
-            for e in "ab":
-                rest = rest.join(member.withColumnsRenamed({"node": e, "component": f"c{e}"}), e, "left").withColumn(f"c{e}", F.coalesce(f"c{e}", e))
-            rest = materialize(rest.where("ca <> cb"), "rest")
-    return links
+            joined = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            rest = materialize(moved(moved(rest, joined, "ca"), joined, "cb").where("ca <> cb"), "rest")
+    return found
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

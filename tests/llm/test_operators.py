@@ -197,6 +197,30 @@ def test_jaccard(docs, rows):
     assert got == jaccard(pairs(rows))
 
 
+def test_jaccard_rounds(spark):
+    """Near copies of three texts, a chain of sixty whose ends are far apart, and a line that all have: what rounds after the first must join."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 40_000, n)]
+    line = word(12)
+    made = []
+    for _ in range(3):
+        base = word(90)
+        for k in range(50):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), k % 4):
+                copy[at] = f"x{k}"
+            made.append(copy + line)
+    chain = word(60 + 80)
+    made += [chain[k : k + 80] + line for k in range(60)]
+    made += [word(int(n)) + line for n in rng.integers(3, 120, 90)]
+    order = rng.permutation(len(made)).tolist()
+    texts = [(k, " ".join(made[at])) for k, at in enumerate(order)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(7)).collect()
+    want = jaccard(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({want[order.index(at)][1] for at in range(150, 210)}) == 1
+
+
 def test_parity_bitmaps_bound_the_difference(spark):
     rng = np.random.default_rng(7)
     made = []
