@@ -49,23 +49,6 @@ def reduced(edges: DataFrame) -> DataFrame:
     return edges.join(two, ["source", "target"], "left_anti")
 
 
-def ld_pairs(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
-    """D, D' and r² of each pair of SNP loci of one reference over all samples; a sample carries a locus with any SNP there."""
-    n = samples.agg(F.count_distinct("sample_id").alias("n"))
-    carrier = spectrum.where("variant_type = 'SNP'").select("reference_id", "sample_id", "ref_pos").distinct()
-    one = carrier.groupBy("reference_id", "ref_pos").agg(F.count("*").alias("c"))
-    # pairs without a common carrier have no row here; they come from the join of the loci
-    aa = carrier.toDF("reference_id", "sample_id", "i").join(carrier.toDF("reference_id", "sample_id", "j"), ["reference_id", "sample_id"])
-    aa = aa.where("i < j").groupBy("reference_id", "i", "j").agg(F.count("*").alias("aa"))
-    pairs = one.toDF("reference_id", "i", "ci").join(one.toDF("reference_id", "j", "cj"), "reference_id").where("i < j")
-    pairs = pairs.join(aa, ["reference_id", "i", "j"], "left").crossJoin(F.broadcast(n))
-    p = pairs.select("reference_id", "i", "j", (F.col("ci") / F.col("n")).alias("pi"), (F.col("cj") / F.col("n")).alias("pj"), (F.coalesce("aa", F.lit(0)) / F.col("n")).alias("pij"))
-    d = p.withColumn("d", F.col("pij") - F.col("pi") * F.col("pj"))
-    most = F.when(F.col("d") >= 0, F.least(F.col("pi") * (1 - F.col("pj")), (1 - F.col("pi")) * F.col("pj"))).otherwise(F.least(F.col("pi") * F.col("pj"), (1 - F.col("pi")) * (1 - F.col("pj"))))
-    var = F.col("pi") * (1 - F.col("pi")) * F.col("pj") * (1 - F.col("pj"))
-    return d.select("reference_id", "i", "j", (F.round("d", 6) + 0.0).alias("d"), F.when(most == 0, 0.0).otherwise(F.round(F.abs(F.col("d") / most), 6)).alias("d_prime"), F.when(var == 0, 0.0).otherwise(F.round(F.col("d") * F.col("d") / var, 6)).alias("r2"))
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df computed once, in the folder that spark.checkpoint.dir names; in one of our own where it is unset and the master is local."""
     context = df.sparkSession.sparkContext
@@ -92,12 +75,16 @@ def block_ends(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def haplotype_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(start_pos, end_pos, n), after reference_id if pairs have it: the greedy blocks of two or more loci of each reference.
+    """(start_pos, end_pos, n), after reference_id if pairs have it: the greedy blocks of two or more loci, from a table of all pairs."""
+    return greedy_blocks(stored(block_ends(pairs, threshold)))
+
+
+def greedy_blocks(ends: DataFrame) -> DataFrame:
+    """The blocks (start_pos, end_pos, n) of stored loci (pos, stop, rank), of each reference if they have a reference_id.
 
     Each locus leads to the first locus after a block from it. Those reached from a reference's first locus start
     blocks; they are found by doubling the step, in as many joins as the logarithm of the number of blocks."""
-    by = [c for c in pairs.columns if c == "reference_id"]
-    ends = stored(block_ends(pairs, threshold))
+    by = [c for c in ends.columns if c == "reference_id"]
     step = ends.where("stop is not null").select(*by, "pos", "stop")
     reached = ends.where("rank = 1").select(*by, "pos")
     while not step.isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 from .spectrum import KEY
 
 #: The classes, from scores of 6, 3, -2 and above -6 on, and below.
-CLASSES = ("pathogenic", "likely_pathogenic", "uncertain", "likely_benign", "benign")
+CLASSES = ("pathogenic", "likely_pathogenic", "uncertain_significance", "likely_benign", "benign")
 
 
 def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import alignment, cohort, factors, primers, rules, signatures, spectrum, trees
+from ..operators import alignment, cohort, factors, linkage, primers, rules, signatures, spectrum, trees
 from ..sources.projection import duckdb_views, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,8 +188,8 @@ def score_variants(spark, d):
     return scored(spark, d)
 
 
-@query(SCORED + """, c AS (SELECT CASE WHEN score >= 6 THEN 'pathogenic' WHEN score >= 3 THEN 'likely_pathogenic' WHEN score >= -2 THEN 'uncertain' WHEN score > -6 THEN 'likely_benign' ELSE 'benign' END AS c FROM scored)
-SELECT n.c AS classification, count(c.c) AS n FROM (VALUES ('pathogenic'), ('likely_pathogenic'), ('uncertain'), ('likely_benign'), ('benign')) n(c) LEFT JOIN c ON c.c = n.c GROUP BY n.c""", (*BASE, "sample"))
+@query(SCORED + """, c AS (SELECT CASE WHEN score >= 6 THEN 'pathogenic' WHEN score >= 3 THEN 'likely_pathogenic' WHEN score >= -2 THEN 'uncertain_significance' WHEN score > -6 THEN 'likely_benign' ELSE 'benign' END AS c FROM scored)
+SELECT n.c AS classification, count(c.c) AS n FROM (VALUES ('pathogenic'), ('likely_pathogenic'), ('uncertain_significance'), ('likely_benign'), ('benign')) n(c) LEFT JOIN c ON c.c = n.c GROUP BY n.c""", (*BASE, "sample"))
 def class_distribution(spark, d):
     return rules.class_distribution(scored(spark, d))
 
@@ -233,16 +233,16 @@ CROSS JOIN n LEFT JOIN aa ON aa.r = x.r AND aa.i = x.ref_pos AND aa.j = y.ref_po
 q AS (SELECT *, pij - pi * pj AS d, pi * (1 - pi) * pj * (1 - pj) AS v, CASE WHEN pij - pi * pj >= 0 THEN least(pi * (1 - pj), (1 - pi) * pj) ELSE least(pi * pj, (1 - pi) * (1 - pj)) END AS m FROM p)
 SELECT i, j, round(d, 6) + 0.0 AS d, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE round(abs(d / m), 6) END AS d_prime, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round(d * d / v, 6) END AS r2 FROM q""", WITH_COHORT)
 def ld_matrix(spark, d):
-    return linkage(spark, d).drop("reference_id")
+    return linkage.ld_pairs(cohort_loci(spark, d)).drop("reference_id")
 
 
-def linkage(spark, d):
-    return cohort.ld_pairs(spec(spark, d, "cohort_link"), view(spark, d, "cohort"))
+def cohort_loci(spark, d):
+    return linkage.loci(spec(spark, d, "cohort_link"), view(spark, d, "cohort"))
 
 
 @query()
 def haplotype_blocks(spark, d):
-    return cohort.haplotype_blocks(linkage(spark, d), 0.05)
+    return linkage.haplotype_blocks(cohort_loci(spark, d), 0.05)
 
 
 @query(COHORT + """, snp AS (SELECT sample_id, reference_id, ref_pos, min(alt_base) AS alt FROM spectrum WHERE variant_type = 'SNP' GROUP BY 1, 2, 3),

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandwise.operators import cohort, spectrum
+from strandwise.operators import cohort, linkage, spectrum
 from strandwise.plans import genomics
 from strandwise.sources.projection import view
 
@@ -120,7 +120,33 @@ def test_linkage_takes_every_locus_of_a_reference(spark, small):
     assert set(got) == {k[1:] for k in want}
     assert all(got[k[1:]] == pytest.approx(v, abs=2e-6) for k, v in want.items())
     blocks = sorted(map(tuple, genomics.QUERIES["haplotype_blocks"](spark, small).collect()))
-    assert blocks == brute_blocks([(*k, v[2]) for k, v in want.items()], 0.05)
+    assert [b[:4] for b in blocks] == brute_blocks([(*k, v[2]) for k, v in want.items()], 0.05)
+    for ref, first, last, n, mean in blocks:
+        inside = [v[2] for (r, i, j), v in want.items() if r == ref and first <= i and j <= last]
+        assert len(inside) == n * (n - 1) // 2 and mean == pytest.approx(sum(inside) / len(inside), abs=2e-6)
+
+
+def test_linkage_across_tiles(spark, monkeypatch):
+    """Tiles of 4 loci: blocks that end within one, reach over several and to the end, over more samples than a word has bits."""
+    monkeypatch.setattr(linkage, "TILE", 4)
+    rng = random.Random(8)
+    rows, n = [], 70
+    for ref in range(3):
+        for pos in range(60):
+            group = set(range(pos // 23 * 9, pos // 23 * 9 + 45)) if pos % 23 else set(rng.sample(range(n), 30))
+            rows += [(s, ref, pos * 7, "SNP") for s in group ^ {rng.randrange(n)}]
+    spectrum_ = spark.createDataFrame(rows, "sample_id long, reference_id int, ref_pos long, variant_type string")
+    samples = spark.range(n).withColumnRenamed("id", "sample_id")
+    of = linkage.loci(spectrum_, samples)
+    pairs = [(r.reference_id, r.i, r.j, r.r2) for r in linkage.ld_pairs(of).collect()]
+    assert len(pairs) == 3 * 60 * 59 // 2
+    got = sorted(map(tuple, linkage.haplotype_blocks(of, 0.7).collect()))
+    assert [b[:4] for b in got] == brute_blocks(pairs, 0.7) and max(b[3] for b in got) > 12
+    carried = linkage.loci(spectrum_, samples, start=7, end=70, least_maf=0.3)
+    assert {r.pos for r in carried.collect()} <= set(range(7, 71)) and all(0.3 <= r.carriers / n <= 0.7 for r in carried.collect())
+    with pytest.raises(ValueError):
+        linkage.loci(spectrum_, samples.limit(4))
+    assert linkage.haplotype_blocks(linkage.loci(spectrum_.limit(0), samples), 0.7).count() == 0
 
 
 def test_density_and_quality_control_take_the_length_from_the_table(spark, small):
