@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -11,6 +11,19 @@ from .spectrum import KEY
 #: The classes, from scores of 6, 3, -2 and above -6 on, and below.
 CLASSES = ("pathogenic", "likely_pathogenic", "uncertain_significance", "likely_benign", "benign")
 
+#: The rules of scoring that hold where none are given, as (name, field, op, value, weight).
+DEFAULT_RULES = [
+    ("nonsense_mutation", "consequence", "eq", "stop_gained", 8.0),
+    ("missense_mutation", "consequence", "eq", "missense_variant", 4.0),
+    ("synonymous_mutation", "consequence", "eq", "synonymous_variant", -3.0),
+    ("intron_variant", "feature_type", "eq", "intron", -2.0),
+    ("intergenic_variant", "feature_type", "eq", "intergenic", -4.0),
+    ("high_population_frequency", "population_frequency", "gt", "0.05", -6.0),
+]
+RULE = "name string, field string, op string, value string, weight double"
+#: Fields that a rule can name.
+FIELDS = ("impact", "feature_type", "variant_type", "consequence", "population_frequency")
+
 
 def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:
     """Coverage depth and best score of each sample's five-tuples, in one pass."""
@@ -53,6 +66,36 @@ def qc_buckets(results: DataFrame, length: DataFrame, width: int = 500) -> DataF
     return placed.groupBy(b).agg(F.count_if(F.col("qc_status") == "PASS").alias("passed"), fail.alias("failed"), (fail / F.lit(width)).alias("fail_density"))
 
 
+def report_totals(results: DataFrame) -> DataFrame:
+    """Samples, variants, passes, fails and the share of passes (4 digits) of each reference's results."""
+    per = results.groupBy("reference_id", "sample_id").agg(F.count("*").alias("n"), F.count_if(F.col("qc_status") == "PASS").alias("ok"))
+    all_, ok = F.sum("n"), F.sum("ok")
+    sums = per.groupBy("reference_id").agg(F.count("*").alias("total_samples"), all_.alias("total_variants"), ok.alias("total_pass"), (all_ - ok).alias("total_fail"))
+    return sums.withColumn("overall_pass_rate", F.round(F.col("total_pass") / F.col("total_variants"), 4))
+
+
+def hot_buckets(results: DataFrame, lengths: DataFrame, width: int = 500, top: int = 10) -> DataFrame:
+    """The top buckets of each reference by fails, ties by place: (reference_id, rank, bucket_start, bucket_end, fail_count, fail_density).
+
+    Positions are dealt as in qc_buckets; lengths is (reference_id, length). Buckets without a fail have no rank.
+    """
+    placed = results.where("qc_status = 'FAIL'").join(lengths, "reference_id").withColumn("last", F.expr(f"(length + {width} - 1) div {width} - 1"))
+    b = F.when(F.col("ref_pos") == 0, F.col("last")).otherwise(F.least(F.expr(f"(ref_pos - 1) div {width}"), F.col("last")))
+    counts = placed.groupBy("reference_id", "length", b.alias("bucket")).agg(F.count("*").alias("fail_count"))
+    order = Window.partitionBy("reference_id").orderBy(F.desc("fail_count"), "bucket")  # a row for each bucket of a reference
+    first = counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    start, end = F.col("bucket") * width + 1, F.least((F.col("bucket") + 1) * width, F.col("length"))
+    return first.select("reference_id", "rank", start.alias("bucket_start"), end.alias("bucket_end"), "fail_count", F.round(F.col("fail_count") / width, 6).alias("fail_density"))
+
+
+def rule_shares(results: DataFrame) -> DataFrame:
+    """How often each rule fails on each reference, and its percentage of that reference's failures (2 digits)."""
+    rule = results.where("failed_rules <> ''").select("reference_id", F.explode(F.array_distinct(F.split("failed_rules", ","))).alias("rule_type"))
+    counts = rule.groupBy("reference_id", "rule_type").agg(F.count("*").alias("fail_count"))
+    share = F.col("fail_count") / F.sum("fail_count").over(Window.partitionBy("reference_id")) * 100  # a row for each rule
+    return counts.withColumn("fail_percentage", F.round(share, 2))
+
+
 def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:
     """Variants that passed; a sample without results keeps all of its own."""
     ran = results.select("sample_id").distinct().withColumn("ran", F.lit(True))
@@ -101,6 +144,39 @@ def classify(score: Column) -> Column:
     return c.when(score > -6, CLASSES[3]).otherwise(CLASSES[4])
 
 
+def detailed(variants: DataFrame, rules: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Each row with matched_rules (names, in order), variant_score (the sum of their weights) and variant_classification.
+
+    A null field meets no rule, and a rule on another field is passed over. Rules are a few rows, as in score_variants.
+    """
+    table = rules.agg(F.sort_array(F.collect_list(F.struct("name", "field", "op", "value", F.col("weight").cast("double").alias("weight")))).alias("__rules"))
+    numeric = {f: isinstance(variants.schema[f].dataType, NumericType) for f in fields}
+
+    def met(rule: Column) -> Column:
+        held = F.lit(False)
+        for f in fields:
+            held = held | ((rule["field"] == f) & condition(F.col(f), rule["op"], rule["value"], numeric[f]))
+        return held
+
+    out = variants.crossJoin(F.broadcast(table)).withColumn("__met", F.filter("__rules", met)).drop("__rules")  # the table is one row
+    score = F.aggregate("__met", F.lit(0.0), lambda total, rule: total + rule["weight"])
+    out = out.withColumn("matched_rules", F.col("__met.name")).withColumn("variant_score", score).drop("__met")
+    return out.withColumn("variant_classification", classify(F.col("variant_score")))
+
+
+def sample_scores(details: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, total_score, classification, total_variants) of each sample; one without variants scores 0."""
+    sums = details.groupBy("sample_id").agg(F.sum("variant_score").alias("total_score"), F.count("*").alias("total_variants"))
+    out = samples.select("sample_id").distinct().join(sums, "sample_id", "left").na.fill(0, ["total_score", "total_variants"])
+    return out.select("sample_id", "total_score", classify(F.col("total_score")).alias("classification"), "total_variants")
+
+
+def detail_filter(details: DataFrame, classification: str | None = None, gene: str | None = None) -> DataFrame:
+    """The details of one class, of one gene, or both; a null or empty condition is none."""
+    details = details.where(F.col("variant_classification") == classification) if classification else details
+    return details.where(F.col("gene_name") == gene) if gene else details
+
+
 def class_distribution(scored: DataFrame) -> DataFrame:
     """Rows of each class, zero for those without."""
     names = scored.sparkSession.createDataFrame([(c,) for c in CLASSES], "classification string")

@@ -25,6 +25,20 @@ def frequency_range(frequency: DataFrame, low: float, high: float) -> DataFrame:
     return frequency.where(F.col("frequency").between(low, high)).orderBy("ref_pos", *KEY)
 
 
+def filtered(rows: DataFrame, reference_id: int | None = None, impact: str | None = None, gene: str | None = None, variant_type: str | None = None) -> DataFrame:
+    """The rows of an annotated spectrum that meet all conditions given, by reference and position."""
+    for column, value in (("reference_id", reference_id), ("impact", impact), ("gene_name", gene), ("variant_type", variant_type)):
+        rows = rows.where(F.col(column) == value) if value is not None and value != "" else rows
+    return rows.orderBy("reference_id", "ref_pos", *KEY[2:], "sample_id")
+
+
+def by_site(spectrum: DataFrame) -> DataFrame:
+    """Each sample's sites: its variants there, their number and the one of least key; a site of two references is two."""
+    change = F.concat_ws(":", "variant_type", "ref_base", "alt_base")
+    per = spectrum.select("sample_id", "reference_id", "ref_pos", change.alias("change")).distinct()
+    return per.groupBy("sample_id", "reference_id", "ref_pos").agg(F.array_join(F.sort_array(F.collect_list("change")), ",").alias("changes"), F.count("*").alias("n"))
+
+
 def minor_allele_frequency(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
     """MAF of each SNP position of each reference over all samples, any allele counting."""
     n = samples.agg(F.count_distinct("sample_id").alias("n"))
