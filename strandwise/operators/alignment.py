@@ -126,6 +126,32 @@ def kept(aligned: DataFrame) -> DataFrame:
     return aligned.withColumn("__best", best).where((F.col("score") > 0) & (F.col("score") >= KEEP * F.col("__best"))).drop("__best")
 
 
+#: The most queries of a batch, and the most bases of a query.
+BATCH, LONGEST = 50, 1000
+
+
+def batch_results(items: DataFrame, references: DataFrame) -> DataFrame:
+    """A row for each item (batch_id, order_index, query) with status and error, and the best alignment of one that is completed.
+
+    A batch of over BATCH items, or with a query of over LONGEST bases, is rejected whole, before anything is aligned; a null query
+    fails by itself. Of equal scores the least reference_id is best; a query that aligns nowhere is completed with nulls. Items of one
+    batch and place are one item. Sizes come from one count for each batch, so that no batch is held by a task.
+    """
+    items = items.select("batch_id", "order_index", "query").dropDuplicates(["batch_id", "order_index"])
+    sizes = items.groupBy("batch_id").agg(F.count("*").alias("__n"), F.max(F.length("query")).alias("__longest"))
+    error = (
+        F.when(F.col("__n") > BATCH, f"over {BATCH} queries").when(F.col("__longest") > LONGEST, f"a query of over {LONGEST} bases")
+        .when(F.col("query").isNull(), "no query")
+    )
+    status = F.when((F.col("__n") > BATCH) | (F.col("__longest") > LONGEST), "rejected").when(F.col("query").isNull(), "failed").otherwise("completed")
+    checked = items.join(sizes, "batch_id").withColumn("status", status).withColumn("error", error).drop("__n", "__longest")
+    todo = checked.where("status = 'completed'").select(F.struct("batch_id", "order_index").alias("query_id"), "query")
+    best = F.min(F.struct((-F.col("score")).alias("__score"), "reference_id", "ref_start", "ref_end", "query_start", "query_end", "cigar")).alias("b")
+    top = align(todo, references).where("score > 0").groupBy("query_id").agg(best)
+    found = top.select("query_id.*", (-F.col("b.__score")).alias("score"), *[f"b.{c}" for c in ("reference_id", "ref_start", "ref_end", "query_start", "query_end", "cigar")])
+    return checked.drop("query").join(found, ["batch_id", "order_index"], "left")
+
+
 def called_variants(aligned: DataFrame) -> DataFrame:
     """(query_id, reference_id, variant_type, ref_pos, ref_base, alt_base, ref_pos_end): each other base, and each run of gaps as one.
 

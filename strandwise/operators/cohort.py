@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,63 @@ def k2p(spectrum: DataFrame) -> DataFrame:
     n = snp.select(*_site(snp)).distinct().agg(F.count("*").alias("n"))
     pairs = sample_pairs(snp).join(counts, ["a", "b"], "left").na.fill(0, ["ti", "tv"]).crossJoin(F.broadcast(n))  # one row
     return pairs.select("a", "b", "ti", "tv", F.round(kimura(F.col("n"), F.col("ti"), F.col("tv")), 6).alias("distance"))
+
+
+def edge_variants(spectrum: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, KEY): what each edge's target carries and its source does not."""
+    keys = spectrum.select("sample_id", *KEY).distinct()
+    own = edges.select("source", "target").join(keys.withColumnRenamed("sample_id", "target"), "target")
+    return own.join(keys.withColumnRenamed("sample_id", "source"), ["source", *KEY], "left_anti").select("source", "target", *KEY)
+
+
+def chain_nodes(samples: DataFrame, spectrum: DataFrame) -> DataFrame:
+    """Each sample with its date, the number of its variants, and date_unknown: such a sample stands in no edge."""
+    n = spectrum.select("sample_id", *KEY).distinct().groupBy("sample_id").agg(F.count("*").alias("variant_count"))
+    out = samples.select("sample_id", "collection_date").join(n, "sample_id", "left").na.fill(0, ["variant_count"])
+    return out.withColumn("date_unknown", F.col("collection_date").isNull())
+
+
+#: Sites of one block of k2p_cohorts; cohorts whose sizes a join may broadcast (two numbers each).
+BLOCK, COHORTS = 4096, 1_000_000
+
+
+def _pair_counts(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """The transitions and transversions of all pairs of a cohort's samples over one block of its sites."""
+    members = np.asarray(block["members"].iloc[0])
+    place = np.repeat(np.arange(len(rows)), rows["own"].map(len))
+    own = [o for of in rows["own"] for o in of]
+    letters, codes = np.unique(np.concatenate([rows["ref"].to_numpy(str), np.array([o["x"] for o in own], str)]), return_inverse=True)
+    x = np.repeat(codes[: len(rows), None], len(members), axis=1)
+    x[place, np.searchsorted(members, [o["sample_id"] for o in own])] = codes[len(rows) :]
+    has = {letter: (x == k).astype(np.float32) for k, letter in enumerate(letters.tolist())}
+    same, none = sum((h.T @ h for h in has.values()), np.zeros((len(members),) * 2)), np.zeros((len(rows), len(members)), np.float32)
+    half = sum(has.get(p, none).T @ has.get(q, none) for p, q in ("AG", "CT"))
+    ti = half + half.T
+    a, b = np.triu_indices(len(members), 1)
+    ti, tv = ti[a, b].astype(int), (len(rows) - same - ti)[a, b].astype(int)
+    some = np.flatnonzero(ti + tv)
+    return pd.DataFrame({"cohort_id": block["cohort"].iloc[0], "a": members[a[some]], "b": members[b[some]], "ti": ti[some], "tv": tv[some]})
+
+
+def k2p_cohorts(spectrum: DataFrame) -> DataFrame:
+    """(cohort_id, a, b, ti, tv, distance): k2p within each of many cohorts (cohort_id, a number), over the SNP sites of each.
+
+    A site's carriers are gathered (a cohort has 200 samples), and blocks of about BLOCK sites of a cohort give the counts of its pairs as
+    products of matrices, so that neither a cohort's sites nor the differences of its pairs meet in one task. Sites go into blocks by hash.
+    """
+    snp = spectrum.where("variant_type = 'SNP'")
+    own = snp.groupBy("cohort_id", "sample_id", "reference_id", "ref_pos").agg(F.coalesce(F.min("alt_base"), F.min("ref_base")).alias("x"), F.min("ref_base").alias("ref"))
+    sites = stored(own.groupBy("cohort_id", "reference_id", "ref_pos").agg(F.min("ref").alias("ref"), F.collect_list(F.struct("sample_id", "x")).alias("own")))
+    members = sites.select("cohort_id", F.explode("own.sample_id").alias("m")).groupBy("cohort_id").agg(F.sort_array(F.collect_set("m")).alias("members"))
+    cohorts = stored(sites.groupBy("cohort_id").agg(F.count("*").alias("n")).join(members, "cohort_id"))
+    sizes = cohorts.select("cohort_id", "n")
+    dealt = sites.join(F.broadcast(sizes) if cohorts.count() <= COHORTS else sizes, "cohort_id").withColumn("block", F.expr(f"pmod(xxhash64(reference_id, ref_pos), n div {BLOCK} + 1)"))
+    blocks = cohorts.select(F.col("cohort_id").alias("cohort"), "members", F.explode(F.expr(f"sequence(0, n div {BLOCK})")).alias("part"))
+    kind = lambda c: spectrum.schema[c].dataType.simpleString()
+    met = dealt.groupBy("cohort_id", "block").cogroup(blocks.groupBy("cohort", "part"))
+    counts = met.applyInPandas(_pair_counts, f"cohort_id {kind('cohort_id')}, a {kind('sample_id')}, b {kind('sample_id')}, ti bigint, tv bigint")
+    sums = counts.groupBy("cohort_id", "a", "b").agg(F.sum("ti").alias("ti"), F.sum("tv").alias("tv"))
+    pairs = cohorts.select("cohort_id", "n", "members", F.posexplode("members").alias("i", "a"))
+    pairs = pairs.select("cohort_id", "n", "a", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("b"))
+    out = pairs.join(sums, ["cohort_id", "a", "b"], "left").na.fill(0, ["ti", "tv"])
+    return out.select("cohort_id", "a", "b", "ti", "tv", (F.round(kimura(F.col("n"), F.col("ti"), F.col("tv")), 6) + F.lit(0.0)).alias("distance"))

@@ -71,12 +71,24 @@ def starts(spark, ks: range, n: int, base: int | None = None) -> DataFrame:
 
 def extract_signatures(counts: DataFrame, k: int, n: int = 10, base: int = 42) -> DataFrame:
     """(signature, mutation_type, p) of the best of n runs; each signature sums to 1."""
-    best = best_run(factor_runs(counts, starts(counts.sparkSession, range(k, k + 1), n, base)))
+    best = extraction(counts, k, n, base)
     cells = best.select(F.posexplode(F.arrays_zip("rows", "w")).alias("i", "c")).select(F.col("c.rows").alias("mutation_type"), F.posexplode("c.w").alias("signature", "p"))
     total = F.sum("p").over(Window.partitionBy("signature"))
     return cells.select("signature", "mutation_type", F.when(total == 0, F.col("p")).otherwise(F.col("p") / total).alias("p"))
 
 
+def extraction(counts: DataFrame, k: int, n: int = 10, base: int = 42) -> DataFrame:
+    """FACTORED of the best of n runs, one row: what extract_signatures takes its signatures from."""
+    return best_run(factor_runs(counts, starts(counts.sparkSession, range(k, k + 1), n, base)))
+
+
+def exposures(best: DataFrame) -> DataFrame:
+    """(sample_id, signature, exposure, error, steps) of an extraction: how much of a sample's counts each signature makes up."""
+    rows = best.select("columns", F.round("error", 6).alias("error"), "steps", F.posexplode("h").alias("signature", "e"))
+    cells = rows.select("signature", "error", "steps", F.explode(F.arrays_zip("columns", "e")).alias("c"))
+    return cells.select(F.col("c.columns").alias("sample_id"), "signature", F.col("c.e").alias("exposure"), "error", "steps")
+
+
 def consensus(done: DataFrame) -> DataFrame:
     """(k, a, b, together): the share of runs in which two samples have their largest exposure in the same factor."""
     h = done.select("k", "run", F.explode(F.arrays_zip(F.col("columns").alias("s"), F.expr("transform(sequence(0, size(columns) - 1), j -> transform(h, x -> x[j]))").alias("e"))).alias("c"))

@@ -147,6 +147,25 @@ def compare_trees(one: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
+def inconsistent_branches(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(found_in, split_a, split_b): the splits of the common leaves that only one of two trees has, 'a' being one, 'b' other.
+
+    split_a is the side that is stored of a split of one, and what it leaves of a split of other; split_b the other way. Sides are sorted.
+    None with fewer than three common leaves.
+    """
+    leaf = lambda t: t.where("parent is null").select(F.explode("leaves").alias("name"))
+    common = leaf(one).intersect(leaf(other)).agg(F.array_sort(F.collect_list("name")).alias("common")).where("size(common) >= 3")  # one row
+
+    def cut(t: DataFrame, mark: str) -> DataFrame:
+        s = splits(t).crossJoin(F.broadcast(common)).withColumn("in", F.array_sort(F.array_intersect("split", "common")))
+        out = F.array_sort(F.array_except("common", "in"))
+        return s.where((F.size("in") > 1) & (F.size(out) > 1)).select(out.alias("stored"), F.col("in").alias("rest")).distinct().withColumn(mark, F.lit(True))
+
+    met = cut(one, "a").join(cut(other, "b"), ["stored", "rest"], "full").where("a is null or b is null")
+    pick = lambda x, y: F.when(F.col("a").isNotNull(), F.col(x)).otherwise(F.col(y))
+    return met.select(F.when(F.col("a").isNotNull(), "a").otherwise("b").alias("found_in"), pick("stored", "rest").alias("split_a"), pick("rest", "stored").alias("split_b"))
+
+
 def kimura(n: Column, ti: Column, tv: Column) -> Column:
     """The two-parameter distance of n sites with ti transitions and tv transversions; not a number without sites."""
     p, q = ti / n, tv / n

@@ -53,6 +53,16 @@ SELECT s_suppkey AS domain_id, concat('Brand#', s_nationkey) AS gene_name, s_nam
 SELECT l_orderkey AS pair, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS block, 100 * l_linenumber AS a_start,
   100 * l_linenumber + 60 + l_partkey % 90 AS a_end, l_suppkey * 37 % 1000 AS b_start, l_suppkey * 37 % 1000 + 60 + l_partkey % 90 AS b_end,
   1 + l_partkey % 7 AS anchor_count, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS direction FROM lineitem"""),
+    "series": (("orders",), """
+SELECT o_custkey * 10000 + year(o_orderdate) AS sample_id, max(o_orderdate) AS collection_date FROM orders GROUP BY o_custkey * 10000 + year(o_orderdate)"""),
+    "series_link": (("orders",), """
+SELECT t.series_id AS sample_id, o_orderkey AS alignment_id FROM orders JOIN (
+  SELECT DISTINCT o_custkey AS owner, year(o_orderdate) AS upto, o_custkey * 10000 + year(o_orderdate) AS series_id FROM orders) t ON owner = o_custkey AND year(o_orderdate) <= upto"""),
+    "qc_rule_set": (("region",), "SELECT CAST(r_regionkey AS bigint) AS rule_set_id, r_regionkey = 1 AS is_active FROM region"),
+    "qc_rule": (("nation",), """
+SELECT CAST(n_regionkey AS bigint) AS rule_set_id, CAST(n_nationkey AS bigint) AS rule_id, n_nationkey AS rule_index,
+  CASE n_nationkey % 3 WHEN 0 THEN 'alignment_score' WHEN 1 THEN 'coverage_depth' ELSE 'edge_position' END AS rule_type,
+  n_nationkey + 14 AS min_alignment_score, 1 + n_nationkey % 2 AS min_coverage_depth, 10 * n_nationkey AS edge_margin FROM nation"""),
     "exposure": (("events",), "SELECT user_id AS sample_id, event_type AS signature, value AS exposure, ts AS taken FROM events"),
     "sequence": (("documents",), "SELECT doc_id AS sequence_id, regexp_replace(upper(text), '[^ACGT]', ''{g}) AS bases FROM documents"),
 }
