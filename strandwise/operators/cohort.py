@@ -29,18 +29,28 @@ def jaccard_matrix(spectrum: DataFrame) -> DataFrame:
     return overlaps(spectrum).select("a", "b", F.when(union == 0, 1.0).otherwise(F.col("shared") / union).alias("jaccard"))
 
 
+#: Words of 64 bits in a sample's sketch.
+SKETCH = 4
+
+
 def transmission_edges(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
     """(source, target): the source's variants are fewer, all in the target, and it was collected earlier.
 
     A target carries all of the source's variants, so it carries the source's rarest one: only carriers of that are
-    compared, and shared variants of these pairs are counted against the source's size."""
+    compared, and shared variants of these pairs are counted against the source's size. A sample's sketch has the bits that its
+    variants hash to: a target has all of its source's bits, so that few other pairs are counted."""
     keys = spectrum.select("sample_id", *KEY).distinct()
-    size = keys.groupBy("sample_id").agg(F.count("*").alias("size")).join(samples.select("sample_id", "collection_date"), "sample_id")
+    h = F.xxhash64(*KEY)
+    bit = lambda k: F.when(F.pmod(h, F.lit(SKETCH)) == k, F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({', '.join(KEY)}), 32) & 63 as int))"))
+    words = [F.coalesce(F.bit_or(bit(k)), F.lit(0).cast("bigint")) for k in range(SKETCH)]
+    size = keys.groupBy("sample_id").agg(F.count("*").alias("size"), F.array(*words).alias("sketch"))
+    size = size.join(samples.select("sample_id", "collection_date"), "sample_id").select("sample_id", "size", "collection_date", "sketch")
     carried = keys.groupBy(*KEY).agg(F.count("*").alias("carriers"))
     rarest = keys.join(carried, KEY).groupBy("sample_id").agg(F.min(F.struct("carriers", *KEY)).alias("k")).select(F.col("sample_id").alias("source"), *[f"k.{k}" for k in KEY])
-    source, target = (size.toDF(s, f"{s}_size", f"{s}_date") for s in ("source", "target"))
+    source, target = (size.toDF(s, *[f"{s}_{c}" for c in ("size", "date", "sketch")]) for s in ("source", "target"))
     near = rarest.join(keys.withColumnRenamed("sample_id", "target"), KEY).select("source", "target").join(source, "source").join(target, "target")
-    near = near.where("source_size < target_size and source_date < target_date").select("source", "target", "source_size")
+    held = F.forall(F.zip_with("source_sketch", "target_sketch", lambda a, b: a.bitwiseAND(F.bitwise_not(b)) == 0), lambda ok: ok)
+    near = near.where("source_size < target_size and source_date < target_date").where(held).select("source", "target", "source_size")
     shared = near.join(keys.withColumnRenamed("sample_id", "source"), "source").join(keys.withColumnRenamed("sample_id", "target"), ["target", *KEY])
     return shared.groupBy("source", "target", "source_size").agg(F.count("*").alias("shared")).where("shared = source_size").select("source", "target")
 
