@@ -174,23 +174,46 @@ def kimura(n: Column, ti: Column, tv: Column) -> Column:
     return F.when(n == 0, F.lit(float("nan"))).otherwise(d.otherwise(F.lit(float("inf"))))
 
 
+#: Positions of one stretch that numbers its sites, and draws that are made at a time.
+STRETCH = 1 << 16
+
+
+def drawn_sites(sites: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(site columns, drawn) of the sites that a replicate drew: the numbers of the replicates, as often as each drew it.
+
+    sites: (ref_pos), with reference_id where there are several references. As many sites as there are, drawn with replacement: a draw is a hash of seed,
+    replicate and place, so that a repeated task draws the same. Sites are numbered in order, by stretches of positions, not in one task.
+    """
+    site = [c for c in ("reference_id", "ref_pos") if c in sites.columns]
+    stretch = [*site[:-1], "__stretch"]
+    placed = sites.select(*site).distinct().withColumn("__stretch", F.floor(F.col("ref_pos") / STRETCH))
+    sizes = placed.groupBy(*stretch).agg(F.count("*").alias("__size"))
+    order = Window.partitionBy(F.lit(0)).orderBy(*stretch)  # a row for each stretch
+    begins = sizes.select(*stretch, (F.sum("__size").over(order) - F.col("__size")).alias("__begin"))
+    own = Window.partitionBy(*stretch).orderBy("ref_pos")
+    numbered = placed.withColumn("__own", F.row_number().over(own) - 1).join(begins, stretch).select(*site, (F.col("__begin") + F.col("__own")).alias("at"))
+    n = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).where("n > 0")
+    rounds = sites.sparkSession.range(replicates).select(F.col("id").cast("int").alias("tree_id"))
+    parts = rounds.crossJoin(F.broadcast(n)).select("tree_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {STRETCH})")).alias("part"))
+    parts = parts.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id", "part")
+    drawn = parts.select("tree_id", "n", F.explode(F.expr(f"sequence(part * {STRETCH} + 1, least((part + 1) * {STRETCH}, n))")).alias("k"))
+    drawn = drawn.select("tree_id", F.pmod(F.xxhash64(F.lit(seed), "tree_id", "k"), F.col("n")).alias("at")).groupBy("at").agg(F.collect_list("tree_id").alias("drawn"))
+    return numbered.join(drawn, "at").select(*site, "drawn")
+
+
 def bootstrap_distances(differences: DataFrame, pairs: DataFrame, sites: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """(tree_id, a, b, distance) of each replicate, tree_id being its number: as many sites as there are, drawn with replacement.
 
     differences: (a, b, ref_pos, kind), transition or transversion, of the sites where a pair differs; pairs: all (a, b);
-    sites: (ref_pos); both with reference_id where there are several references. A draw is a hash of seed, replicate and place, so that a repeated task draws the same. Weights of sites
-    meet the differences in one join, and only sums by pair go on.
+    sites: (ref_pos); both with reference_id where there are several references. A site brings the replicates that drew it to its
+    differences, and only sums by pair go on; for all pairs of a cohort, cohort.bootstrap_k2p gives the same without a table of differences.
     """
     site = [c for c in ("reference_id", "ref_pos") if c in sites.columns]
-    order = Window.partitionBy(F.lit(0)).orderBy(*site)  # the sites of one cohort, one number each
-    numbered = sites.select(*site).distinct().withColumn("at", F.row_number().over(order) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    rounds = numbered.sparkSession.range(replicates).select(F.col("id").cast("int").alias("tree_id"))
-    drawn = rounds.crossJoin(F.broadcast(n)).where("n > 0").select("tree_id", "n", F.explode(F.expr("sequence(1, n)")).alias("k"))
-    drawn = drawn.select("tree_id", F.pmod(F.xxhash64(F.lit(seed), "tree_id", "k"), F.col("n")).alias("at")).groupBy("tree_id", "at").agg(F.count("*").alias("w"))
-    weighed = differences.join(numbered.join(drawn, "at"), site)
-    w = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("w")).otherwise(0))
-    sums = weighed.groupBy("tree_id", "a", "b").agg(w("transition").alias("ti"), w("transversion").alias("tv"))
+    n = sites.select(*site).distinct().agg(F.count("*").alias("n"))
+    rounds = sites.sparkSession.range(replicates).select(F.col("id").cast("int").alias("tree_id"))
+    weighed = differences.join(drawn_sites(sites, replicates, seed), site).withColumn("tree_id", F.explode("drawn"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    sums = weighed.groupBy("tree_id", "a", "b").agg(of("transition").alias("ti"), of("transversion").alias("tv"))
     all_ = pairs.select("a", "b").crossJoin(rounds).crossJoin(F.broadcast(n)).join(sums, ["tree_id", "a", "b"], "left")  # replicates x the pairs asked for
     zero = lambda c: F.coalesce(c, F.lit(0))
     return all_.select("tree_id", "a", "b", kimura(F.col("n"), zero("ti"), zero("tv")).alias("distance"))

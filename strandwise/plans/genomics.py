@@ -407,31 +407,34 @@ def called_variants(spark, d):
     return alignment.called_variants(alignment.kept(aligned(spark, d)))
 
 
-def cohort_tree(spark, d, method):
-    return trees.build_trees(k2p_distance(spark, d).withColumn("tree_id", F.lit(method)), method)
+def cohort_trees(spark, d, *methods):
+    """The tree of each method over the cohort's distances, which are computed once."""
+    distances = cohort.stored(k2p_distance(spark, d))
+    return [cohort.stored(trees.build_trees(distances.withColumn("tree_id", F.lit(m)), m)) for m in methods]
 
 
 @query()
 def cohort_newick(spark, d):
-    return trees.newick(cohort_tree(spark, d, "nj").unionByName(cohort_tree(spark, d, "upgma")))
+    nj, upgma = cohort_trees(spark, d, "nj", "upgma")
+    return trees.newick(nj.unionByName(upgma))
 
 
 @query()
 def tree_comparison(spark, d):
-    return trees.compare_trees(cohort_tree(spark, d, "nj"), cohort_tree(spark, d, "upgma"))
+    return trees.compare_trees(*cohort_trees(spark, d, "nj", "upgma"))
 
 
 @query()
 def bootstrap_support(spark, d):
-    snp = spec(spark, d, "cohort_link").where("variant_type = 'SNP'")
-    drawn = trees.bootstrap_distances(cohort.site_differences(snp), k2p_distance(spark, d), snp, 20)
-    return trees.support(cohort_tree(spark, d, "nj"), trees.build_trees(drawn), 20)
+    snp = cohort.stored(spec(spark, d, "cohort_link").where("variant_type = 'SNP'").select("sample_id", *spectrum.KEY))
+    tree = trees.build_trees(cohort.k2p(snp).withColumn("tree_id", F.lit("nj")), "nj")
+    return trees.support(tree, trees.build_trees(cohort.bootstrap_k2p(snp, 20)), 20)
 
 
 @query()
 def molecular_clock(spark, d):
     dates = view(spark, d, "cohort").select(F.col("sample_id").cast("string").alias("name"), "collection_date")
-    return trees.molecular_clock(cohort_tree(spark, d, "nj"), dates)
+    return trees.molecular_clock(cohort_trees(spark, d, "nj")[0], dates)
 
 
 @query()

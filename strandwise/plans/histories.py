@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment, cohort, control, factors, rules, signatures, spectrum, trees
 from ..sources.projection import view
 from .genomics import (  # noqa: F401  its queries join those of genomics
-    BASE, EDGES, EVIDENCE, FIVE, QUERIES, SPEC, SQL, WITH_ALIGNMENT, cohort_tree, context_spectrum, coverage_and_score, query, spec,
+    BASE, EDGES, EVIDENCE, FIVE, QUERIES, SPEC, SQL, WITH_ALIGNMENT, cohort_trees, context_spectrum, coverage_and_score, query, spec,
 )
 
 CHAIN = EDGES.replace("FROM link", "FROM series_link").replace("JOIN sample ", "JOIN series ")
@@ -71,13 +71,14 @@ def exposure_change_median(spark, d):
 
 @query()
 def inconsistent_branches(spark, d):
-    return trees.inconsistent_branches(cohort_tree(spark, d, "nj"), cohort_tree(spark, d, "upgma"))
+    return trees.inconsistent_branches(*cohort_trees(spark, d, "nj", "upgma"))
 
 
 @query()
 def dated_tree(spark, d):
     """The nodes of both trees of the cohort, with a year where the tree's clock is good."""
-    both = cohort.stored(cohort_tree(spark, d, "nj").unionByName(cohort_tree(spark, d, "upgma")))
+    nj, upgma = cohort_trees(spark, d, "nj", "upgma")
+    both = nj.unionByName(upgma)
     dates = view(spark, d, "cohort").select(F.col("sample_id").cast("string").alias("name"), "collection_date")
     return trees.divergence_times(both, trees.molecular_clock(both, dates), dates).drop("leaves")
 

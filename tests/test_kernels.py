@@ -265,3 +265,24 @@ def test_text_that_is_a_number_compares_as_one(spark):
     assert held("5", "gt", "3") and not held("5", "lt", "3") and held("10", "gte", "9") and held("2", "lte", "2.0")
     assert not held("A", "gt", "B") and not held("5", "gt", "x") and held("5", "ne", "5.0") and not held(None, "ne", "a")
     assert held(5, "eq", "5.0", True) and held(5, "gt", "3", True) and not held(5, "ne", "x", True)
+
+
+def test_blocks_of_sites_give_the_same_replicates(spark, monkeypatch):
+    """Distances and bootstraps of a cohort by blocks of sites equal those of a table of differences, also over several stretches of positions."""
+    monkeypatch.setattr(cohort, "BLOCK", 7)
+    monkeypatch.setattr(trees, "STRETCH", 8)
+    rng = random.Random(5)
+    ref = {(r, p): rng.choice("ACGT") for r in range(2) for p in range(40)}
+    rows = [(s, r, p, "SNP", b, rng.choice([x for x in "ACGT" if x != b])) for s in range(5) for (r, p), b in ref.items() if rng.random() < 0.3]
+    df = spark.createDataFrame(rows, "sample_id long, reference_id long, ref_pos long, variant_type string, ref_base string, alt_base string")
+    pairs = cohort.k2p(df)
+    assert pairs.count() == 10
+    want = trees.bootstrap_distances(cohort.site_differences(df), pairs, df, 6, 2)
+    key = lambda t: {(r.tree_id, r.a, r.b): r.distance for r in t.collect()}
+    got = key(cohort.bootstrap_k2p(df, 6, 2))
+    assert len(got) == 60 and got == key(want)
+    sites = sorted({r[1:3] for r in rows})
+    draws = [r.drawn for r in trees.drawn_sites(df, 6, 2).collect()]
+    assert sum(map(len, draws)) == 6 * len(sites) and {t for d in draws for t in d} == set(range(6))
+    plan = cohort.bootstrap_k2p(df, 6, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transition" not in plan  # no row for a site of a pair
