@@ -179,3 +179,27 @@ def test_stored_rules(spark):
     }
     assert tuple(control.batch_totals(runs).first()) == (4, 3, 1, 0.25)
     assert tuple(control.batch_totals(runs.limit(0)).first()) == (0, 0, 0, 0.0)
+
+
+def test_coded_variants_of_edges_equal_sets(spark):
+    """Edges and their new variants by codes are those of sets of keys; a key with a null is no other sample's; candidate pairs ship codes, not keys."""
+    from strandwise.operators import cohort
+
+    kind = "sample_id long, reference_id long, ref_pos long, variant_type string, ref_base string, alt_base string"
+    rng = __import__("random").Random(4)
+    keys = [(0, p, "SNP", "A", b) for p in range(6) for b in "CG"]
+    have = {s: set(rng.sample(keys, rng.randint(1, 9))) for s in range(30)}
+    have[31] = {(0, 1, "SNP", "A", None)}
+    have[32] = {(0, 1, "SNP", "A", None), (0, 2, "SNP", "A", "C")}
+    rows = [(s, *k) for s, of in have.items() for k in of]
+    df = spark.createDataFrame(rows + rows, kind)
+    samples = spark.sql("select id sample_id, date_add(date'2020-01-01', cast(id as int)) collection_date from range(40)")
+    want = {(a, b) for a in have for b in have if a < b and have[a] < have[b] and a < 31}
+    edges = cohort.transmission_edges(df, samples)
+    assert {tuple(r) for r in edges.collect()} == want and want
+    own, known = cohort.coded(df, df)
+    assert own.columns == ["sample_id", "variant", "apart"] and own.count() == len(rows)
+    assert known.count() == len({k for of in have.values() for k in of})
+    pairs = spark.createDataFrame([*want, (31, 32)], "source long, target long")
+    got = {tuple(r) for r in cohort.edge_variants(df, pairs).collect()}
+    assert got == {(a, b, *k) for a, b in want for k in have[b] - have[a]} | {(31, 32, *k) for k in have[32]}
