@@ -17,6 +17,8 @@ from .synteny import WORD, SeedIndex, reverse_complement
 FLANK, LENGTHS, GC, TM, OPTIMAL = 200, (18, 25), (40.0, 60.0), (55.0, 65.0), 60.0
 #: Candidates of a side and pairs that are kept, errors of a site, bases between two sites that amplify.
 SIDE, PAIRS, ERRORS, REACH = 30, 10, 2, 3000
+#: Primers that meet a reference at a time.
+LIST = 64
 #: The gas constant in cal per mol and K, and the concentration of primers in mol per litre.
 GAS, CONCENTRATION = 1.987, 250e-9
 #: Nearest-neighbour enthalpies (0.1 kcal per mol) and entropies (0.1 cal per mol and K) of steps between bases.
@@ -83,15 +85,54 @@ def best_windows(region: str) -> list[tuple[int, int, float, float]]:
 
     A side's windows are 8 lengths of a flank: 1,500 at most. A primer and its reverse complement have the same GC and temperature.
     """
-    made = []
-    for length in range(LENGTHS[0], LENGTHS[1] + 1):
-        start, gc, tm = melting_points(region, length)
-        ok = (gc >= GC[0]) & (gc <= GC[1]) & (tm >= TM[0]) & (tm <= TM[1])
-        made.append(np.stack([start[ok], np.full(ok.sum(), length), gc[ok], tm[ok]], axis=1))
-    made = np.concatenate(made)
-    far = np.round(np.abs(made[:, 3] - OPTIMAL) * 100)
-    order = np.lexsort((made[:, 0], made[:, 1], far))[:SIDE]
-    return [(int(a), int(n), float(g), float(t)) for a, n, g, t in made[order]]
+    return best_windows_of([region])[0]
+
+
+def best_windows_of(regions: list[str], at_once: int = 256) -> list[list[tuple[int, int, float, float]]]:
+    """best_windows of each region, at_once of them as one matrix of their letters."""
+    out = []
+    for begin in range(0, len(regions), at_once):
+        some = regions[begin : begin + at_once]
+        wide = max(map(len, some))
+        text = np.frombuffer("".join(r.ljust(wide, "\0") for r in some).encode("latin-1", "replace"), np.uint8).reshape(len(some), wide)
+        zero = lambda x: np.concatenate([np.zeros((len(x), 1), np.int32), np.cumsum(x, axis=1, dtype=np.int32)], axis=1)
+        gc, other = zero(np.isin(text, list(b"GC"))), zero(~np.isin(text, list(b"ACGT")))
+        h, s = (zero(_STEP[text[:, :-1], text[:, 1:], k]) for k in (0, 1))
+        tips = [_END[text, k] for k in (0, 1)]
+        keys, shares, temperatures, base = [], [], [], wide + 1
+        for length in range(LENGTHS[0], min(LENGTHS[1], wide) + 1):
+            n = wide - length + 1
+            low, high = slice(0, n), slice(length, length + n)
+            dh, ds = (x[:, length - 1 : length - 1 + n] - x[:, low] + t[:, low] + t[:, length - 1 :] for x, t in zip((h, s), tips, strict=True))
+            tm = np.round(dh * 100.0 / (ds / 10.0 + GAS * math.log(CONCENTRATION / 4)) - 273.15, 2)
+            share = np.round((gc[:, high] - gc[:, low]) / length * 100, 2)
+            ok = (other[:, high] == other[:, low]) & (share >= GC[0]) & (share <= GC[1]) & (tm >= TM[0]) & (tm <= TM[1])
+            far = np.where(ok, np.round(np.abs(tm - OPTIMAL) * 100), 1 << 20).astype(np.int64)
+            keys.append((far * (LENGTHS[1] + 1) + length) * base + np.arange(n))  # what they go by, as one number
+            shares.append(share)
+            temperatures.append(tm)
+        if not keys:
+            out += [[] for _ in some]
+            continue
+        key, share, tm = (np.concatenate(x, axis=1) for x in (keys, shares, temperatures))
+        first = np.argpartition(key, min(SIDE, key.shape[1]) - 1, axis=1)[:, :SIDE]
+        first = np.take_along_axis(first, np.argsort(np.take_along_axis(key, first, axis=1), axis=1), axis=1)
+        key, share, tm = (np.take_along_axis(x, first, axis=1) for x in (key, share, tm))
+        count = (key < (1 << 20) * (LENGTHS[1] + 1) * base).sum(axis=1).tolist()
+        start, length = (key % base).tolist(), (key // base % (LENGTHS[1] + 1)).tolist()
+        out += [list(zip(start[k][:n], length[k][:n], share[k].tolist()[:n], tm[k].tolist()[:n], strict=True)) for k, n in enumerate(count)]
+    return out
+
+
+def _placed(targets: DataFrame, references: DataFrame) -> DataFrame:
+    """(target_id, reference_id, forward, reverse) with offset and region of the flank of either side; see candidates."""
+    at = targets.select("target_id", "reference_id", "target_start", "target_end").join(references.select("reference_id", "bases"), "reference_id")
+    at = at.where("target_start >= 0 and target_start < target_end and target_end < length(bases)")
+    left = F.greatest(F.lit(0), F.col("target_start") - FLANK)
+    cut = lambda start, size: F.col("bases").substr((start + 1).cast("int"), size.cast("int"))
+    return at.select("target_id", "reference_id",
+        F.struct(left.cast("bigint").alias("offset"), cut(left, F.col("target_start") - left).alias("region")).alias("forward"),
+        F.struct((F.col("target_end") + 1).cast("bigint").alias("offset"), cut(F.col("target_end") + 1, F.lit(FLANK)).alias("region")).alias("reverse"))
 
 
 def candidates(targets: DataFrame, references: DataFrame) -> DataFrame:
@@ -100,21 +141,17 @@ def candidates(targets: DataFrame, references: DataFrame) -> DataFrame:
     A target (target_id, reference_id, target_start, target_end; both ends in it) lies within its reference and has two bases or more; others
     give none. Reverse primers are the reverse complement of where they bind. Only the flanks leave the join with references (reference_id, bases).
     """
-    at = targets.select("target_id", "reference_id", "target_start", "target_end").join(references.select("reference_id", "bases"), "reference_id")
-    at = at.where("target_start >= 0 and target_start < target_end and target_end < length(bases)")
-    left = F.greatest(F.lit(0), F.col("target_start") - FLANK)
-    cut = lambda start, size: F.col("bases").substr((start + 1).cast("int"), size.cast("int"))
-    sides = at.select("target_id", "reference_id", F.inline(F.array(
-        F.struct(F.lit("forward").alias("side"), left.cast("bigint").alias("offset"), cut(left, F.col("target_start") - left).alias("region")),
-        F.struct(F.lit("reverse").alias("side"), (F.col("target_end") + 1).cast("bigint").alias("offset"), cut(F.col("target_end") + 1, F.lit(FLANK)).alias("region")))))
+    at = _placed(targets, references)
+    sides = at.select("target_id", "reference_id", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), f"{side}.offset", f"{side}.region") for side in ("forward", "reverse")])))
     sides = sides.repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target_id", "side")  # flanks only
     fields = {"rank": pa.int32(), "sequence": pa.string(), "length": pa.int32(), "gc": pa.float64(), "tm": pa.float64(), "bind_start": pa.int64(), "bind_end": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             row, made = [], []
-            for k, (side, offset, region) in enumerate(zip(*(rb[c].to_pylist() for c in ("side", "offset", "region")), strict=True)):
-                for rank, (a, n, gc, tm) in enumerate(best_windows(region)):
+            regions = rb["region"].to_pylist()
+            for k, (side, offset, region, best) in enumerate(zip(rb["side"].to_pylist(), rb["offset"].to_pylist(), regions, best_windows_of(regions), strict=True)):
+                for rank, (a, n, gc, tm) in enumerate(best):
                     text = region[a : a + n]
                     row.append(k)
                     made.append((rank, reverse_complement(text) if side == "reverse" else text, n, gc, tm, offset + a, offset + a + n - 1))
@@ -142,6 +179,43 @@ def ranked_pairs(primers: DataFrame) -> DataFrame:
                        (F.col("__away") / 100).alias("avg_tm_deviation"), (F.col("__apart") / 100).alias("tm_difference"))
 
 
+def best_pairs(targets: DataFrame, references: DataFrame) -> DataFrame:
+    """ranked_pairs of the candidates of each target: only its PAIRS best leave the task that has its flanks, in place of 60 candidates and 900 pairs."""
+    at = _placed(targets, references)
+    at = at.repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target_id", "reference_id")  # flanks only
+    primer = pa.struct([("rank", pa.int32()), ("sequence", pa.string()), ("length", pa.int32()), ("gc", pa.float64()), ("tm", pa.float64()), ("bind_start", pa.int64()), ("bind_end", pa.int64())])
+    kinds = {"rank": pa.int32(), "forward": primer, "reverse": primer, "amplicon_length": pa.int64(), "avg_tm_deviation": pa.float64(), "tm_difference": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            row, made = [], []
+            sides = {c: rb[c].to_pylist() for c in ("forward", "reverse")}
+            best = {c: best_windows_of([x["region"] for x in sides[c]]) for c in sides}
+            for k, (fs, rs) in enumerate(zip(best["forward"], best["reverse"], strict=True)):
+                if not fs or not rs:
+                    continue
+                f, r = (np.round(np.array([x[3] for x in of]) * 100).astype(np.int64) for of in (fs, rs))
+                away = (np.abs(f - int(OPTIMAL * 100))[:, None] + np.abs(r - int(OPTIMAL * 100))[None, :] + 1) // 2
+                apart = np.abs(f[:, None] - r[None, :])
+                places = np.argsort(((away << 20) + apart).ravel(), kind="stable")[:PAIRS]  # then by the ranks of both
+                for rank, (i, j) in enumerate(zip(*(x.tolist() for x in np.divmod(places, len(r))), strict=True), 1):
+                    pair = []
+                    for side, x, place in (("forward", fs[i], i), ("reverse", rs[j], j)):
+                        offset, text = sides[side][k]["offset"] + x[0], sides[side][k]["region"][x[0] : x[0] + x[1]]
+                        pair.append((place, reverse_complement(text) if side == "reverse" else text, x[1], x[2], x[3], offset, offset + x[1] - 1))
+                    row.append(k)
+                    made.append((rank, *pair, pair[1][6] - pair[0][5] + 1, int(away[i, j]) / 100, int(apart[i, j]) / 100))
+            if made:
+                columns = dict(zip(kinds, zip(*made, strict=True), strict=True))
+                arrays = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*columns[c], strict=True), primer, strict=True)], fields=list(primer)) if t == primer else pa.array(columns[c], t)
+                          for c, t in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*[rb[c].take(pa.array(row)) for c in ("target_id", "reference_id")], *arrays], ["target_id", "reference_id", *kinds])
+
+    ids = ", ".join(f"{c} {targets.schema[c].dataType.simpleString()}" for c in ("target_id", "reference_id"))
+    one = "struct<rank: int, sequence: string, length: int, gc: double, tm: double, bind_start: bigint, bind_end: bigint>"
+    return at.mapInArrow(run, f"{ids}, rank int, forward {one}, reverse {one}, amplicon_length bigint, avg_tm_deviation double, tm_difference double")
+
+
 def sites_of(primer: str, index: SeedIndex) -> list[tuple[int, int, int, int, int]]:
     """(start, end, mismatches, gaps, score) of each site: an alignment of all but ERRORS of the primer's bases or more with at most ERRORS errors.
 
@@ -172,11 +246,14 @@ def sites_of(primer: str, index: SeedIndex) -> list[tuple[int, int, int, int, in
 def binding_sites(primers: DataFrame, references: DataFrame) -> DataFrame:
     """(reference_id, sequence, ref_start, ref_end, mismatches, gaps, score): every site of each distinct primer (reference_id, sequence) on its reference.
 
-    A reference meets its primers in up to 16 lists; it has 100,000 bases at most, the limit of what is asked for.
+    A reference meets its primers in lists of LIST, one for most; it has 100,000 bases at most, the limit of what is asked for.
+    Lists are dealt by a hash of their own: a partitioning that the join already has would stand in for it, in as few tasks as its bytes fill.
     """
-    lists = primers.select("reference_id", "sequence").distinct().groupBy("reference_id", F.pmod(F.xxhash64("sequence"), F.lit(16)).alias("part")).agg(F.collect_list("sequence").alias("primers"))
-    rows = lists.join(references.select("reference_id", "bases"), "reference_id")
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "reference_id", "part")  # work, not bytes, is what tasks share
+    lists = primers.select("reference_id", "sequence").distinct().groupBy("reference_id").agg(F.collect_list("sequence").alias("all"))
+    lists = lists.select("reference_id", "all", F.explode(F.expr(f"sequence(0, (size(all) - 1) div {LIST})")).alias("part"))
+    lists = lists.select("reference_id", "part", F.expr(f"slice(all, part * {LIST} + 1, {LIST})").alias("primers"))
+    rows = lists.join(references.select("reference_id", "bases"), "reference_id").withColumn("__task", F.xxhash64(F.lit(1), "reference_id", "part"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__task")  # work, not bytes, is what tasks share
     fields = {"ref_start": pa.int64(), "ref_end": pa.int64(), "mismatches": pa.int32(), "gaps": pa.int32(), "score": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

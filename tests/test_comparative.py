@@ -294,3 +294,29 @@ def test_best_matches_in_blocks(spark):
         sim = [(-round(sum(x * y for x, y in zip(v, u, strict=True)) / (size(v) * size(u)), 6) if size(v) * size(u) else 0.0, j) for j, u in rows]
         want += [(i, r + 1, j, pytest.approx(-s, abs=1e-9)) for r, (s, j) in enumerate(sorted(sim)[:3])]
     assert got == want
+
+
+def test_best_pairs_equal_ranked_candidates(spark):
+    """Pairs that are made beside their flanks are those of a table of candidates, and no candidates or pairs are shuffled for them."""
+    rng = random.Random(8)
+    refs = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((600, 300, 90, 500))] + [(4, "ACGTN" * 80), (5, "A" * 400)]
+    references = spark.createDataFrame(refs, "reference_id bigint, bases string")
+    targets = spark.createDataFrame([(10 * i + k, i, s, s + 50) for i, b in refs for k, s in enumerate((0, 5, 30, len(b) // 2)) if s + 50 < len(b)],
+                                    "target_id bigint, reference_id bigint, target_start bigint, target_end bigint")
+    want, got = (sorted(df.collect(), key=lambda r: (r.target_id, r["rank"])) for df in (primers.ranked_pairs(primers.candidates(targets, references)), primers.best_pairs(targets, references)))
+    assert got == want and len({r.target_id for r in got}) > 4
+    plan = primers.best_pairs(targets, references)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_lists_of_primers_are_dealt_over_all_tasks(spark):
+    """The lists go by a hash of their own, which no partitioning of the join can stand in for; a reference may have several lists."""
+    rng = random.Random(9)
+    refs = [(i, "".join(rng.choice("ACGT") for _ in range(400))) for i in range(40)]
+    wanted = [(i, b[k : k + 20]) for i, b in refs for k in range(0, 300, 30 if i else 3)]
+    references = spark.createDataFrame(refs, "reference_id int, bases string")
+    sites = primers.binding_sites(spark.createDataFrame(wanted, "reference_id int, sequence string"), references)
+    found = {(r.reference_id, r.sequence) for r in sites.where("mismatches = 0 and gaps = 0").collect()}
+    assert found == set(wanted)
+    plan = sites._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [__task" in plan
