@@ -320,3 +320,20 @@ def test_lists_of_primers_are_dealt_over_all_tasks(spark):
     assert found == set(wanted)
     plan = sites._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [__task" in plan
+
+
+def test_anchors_placed_together_equal_those_alone(spark):
+    """Ends of many alignments at a time are those of one; pairs that are placed together are those placed each by itself."""
+    rng = random.Random(12)
+    letters_ = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs, jobs = [], []
+    for _ in range(12):
+        a = letters_(320)
+        b = "".join(x if rng.random() < 0.9 else rng.choice(["", "A", "GT"]) for x in a)
+        b = synteny.reverse_complement(b) if rng.random() < 0.4 else b
+        pairs.append(([a[i : i + 32] for i in range(0, 320, 32)], b[: rng.randint(150, len(b))]))
+        jobs += [(q, pairs[-1][1][:k]) for k, q in zip((5, 60, 120), pairs[-1][0], strict=False)]
+    jobs = [(q, t) for q, t in jobs if synteny.local_alignment(q, t)[0]]
+    assert synteny.aligned_ends(jobs) == [synteny.local_alignment(q, t)[2:5] for q, t in jobs]
+    together = synteny.place_many(pairs, 1.2)
+    assert together == [synteny.place_anchors(*p, 1.2) for p in pairs] and sum(x is not None for of in together for x in of) > 40
