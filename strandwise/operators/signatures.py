@@ -158,34 +158,84 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
-    """The k references (ref_id, ref_vector) with the largest cosine, 6 digits, to each vector (id, vector), of all of them.
+#: Parts that references are dealt into, parts that vectors are dealt into at least, and rows of vectors that meet a batch of references at a time.
+STRIPS, LEAST_PARTS, SLICE = 8, 4, 512
+
+
+def _better(best: np.ndarray, place: np.ndarray, cosine: np.ndarray, first: int, k: int) -> None:
+    """Take the columns of cosine, which are the references from number first on, into the k best of each row (best, place), in place.
 
-    Both sides are dealt into blocks of about `block` rows by the hash of their ids; each block of vectors meets each block of references as
-    two matrices, and gives k of each vector. What all blocks give of a vector is then ranked once more. All have one length.
+    References come in order, so that an equal one that comes later takes no place. Only what may pass the last of a row's best is rounded and ranked.
     """
-    blocks = lambda df, i, v: df.groupBy(F.pmod(F.xxhash64(i), F.lit(max(1, df.count() // block))).alias("b")).agg(F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).cast("array<double>").alias("v"))).alias("rows"))
-    left, right = blocks(vectors, "id", "vector"), blocks(references, "ref_id", "ref_vector")
-    met = left.select(F.col("b").alias("p"), F.col("rows").alias("x")).crossJoin(right.select(F.col("b").alias("q"), F.col("rows").alias("y")))  # blocks, not rows
-    met = met.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p", "q")
+    fresh = place[:, -1] < 0  # rows without k references yet
+    floor = best[:, -1] + 4e-7
+    if fresh.any():
+        kth = max(cosine.shape[1] - k, 0)
+        floor[fresh] = np.partition(cosine[fresh], kth, axis=1)[:, kth] - 1e-6
+    row, col = np.nonzero(cosine >= floor[:, None])
+    if not len(row):
+        return
+    met = np.unique(row)
+    own = np.repeat(met, k)
+    rows = np.concatenate([own, row])
+    values = np.concatenate([best[met].ravel(), np.round(cosine[row, col], 6)])
+    places = np.concatenate([place[met].ravel(), first + col])
+    order = np.lexsort((places, -values, rows))  # a place not taken is below all others
+    rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+    order = order[rank < k]
+    best[met], place[met] = values[order].reshape(-1, k), places[order].reshape(-1, k)
+
+
+def best_matches(vectors: DataFrame, references: DataFrame, k: int = 3, block: int = 131_072) -> DataFrame:
+    """The k references (ref_id, ref_vector) with the largest cosine, 6 digits, to each vector (id, vector), of all of them.
 
-    def matrix(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        values = rows.field("v")
-        return rows.field("i"), np.asarray(values.flatten(), np.float64).reshape(len(rows), -1)
+    Vectors are dealt into parts of about `block` rows and references into STRIPS, by hashes of their ids; each part meets each strip in a
+    task of its own, that holds the part and reads the strip in batches. So a vector is shipped STRIPS times and a reference once for each
+    part, never pair by pair, and a task gives k of each vector. What all strips give of a vector is then ranked once more. All have one length.
+    """
+    parts = max(LEAST_PARTS, -(-vectors.count() // block))
+    to = lambda i, n: F.pmod(F.xxhash64(i), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(to("id", parts).alias("p"), every(STRIPS).alias("q"), F.lit(0).alias("side"), "id", F.lit(None).cast(references.schema["ref_id"].dataType).alias("ref_id"), F.col("vector").alias("v"))
+    right = references.select(every(parts).alias("p"), to("ref_id", STRIPS).alias("q"), F.lit(1).alias("side"), F.lit(None).cast(vectors.schema["id"].dataType).alias("id"), "ref_id", F.col("ref_vector").alias("v"))
+    cells = left.unionByName(right).select((F.col("p") * STRIPS + F.col("q")).alias("cell"), "side", "id", "ref_id", "v")
+    cells = cells.repartitionById(parts * STRIPS, "cell").sortWithinPartitions("side", "ref_id")
+    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((vectors, "id"), (references, "ref_id"))], "similarity double"])
+
+    def matrix(values: pa.Array) -> np.ndarray:
+        return np.asarray(values.flatten()).reshape(len(values), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, refs, seen = [], [], [], 0
+        x = best = place = None
         for rb in batches:
-            for n in range(rb.num_rows):
-                (ids, x), (refs, y) = (matrix(rb[c][n].values) for c in "xy")
-                size = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
-                cosine = np.round(np.divide(x @ y.T, size, out=np.zeros_like(size), where=size != 0), 6)
-                order = np.argsort(np.asarray(refs), kind="stable")
-                best = order[np.argsort(-cosine[:, order], axis=1, kind="stable")[:, :k]]
-                own = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), refs.take(pa.array(best.ravel())), pa.array(cosine[own, best.ravel()])], ["id", "ref_id", "similarity"])
-
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((vectors, "id"), (references, "ref_id"))]
-    found = met.mapInArrow(run, f"{', '.join(kinds)}, similarity double")
+            n = int((np.asarray(rb["side"]) == 0).sum())  # vectors come first
+            if n:
+                ids.append(rb["id"].slice(0, n))
+                held.append(matrix(rb["v"].slice(0, n)))
+            if n == rb.num_rows or not ids:
+                continue
+            if x is None:
+                x = np.concatenate(held)
+                best, place = np.full((len(x), k), -np.inf), np.full((len(x), k), -1)
+            y = matrix(rb["v"].slice(n)).astype(np.float64)
+            refs.append(rb["ref_id"].slice(n))
+            length = np.sqrt((y * y).sum(axis=1))
+            for at in range(0, len(x), SLICE):
+                part = x[at : at + SLICE].astype(np.float64)
+                size = np.sqrt((part * part).sum(axis=1))[:, None] * length[None, :]
+                cosine = part @ y.T
+                np.divide(cosine, size, out=cosine, where=size != 0)  # of a zero vector the product is 0
+                _better(best[at : at + SLICE], place[at : at + SLICE], cosine, seen, k)
+            seen += len(y)
+        if x is None:
+            return
+        ids, refs = pa.concat_arrays(ids), pa.concat_arrays(refs)
+        for at in range(0, len(x), 10_000):
+            row, rank = np.nonzero(place[at : at + 10_000] >= 0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + row)), refs.take(pa.array(place[at + row, rank])), pa.array(best[at + row, rank])], ["id", "ref_id", "similarity"])
+
+    found = cells.mapInArrow(run, schema)
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "similarity")
 

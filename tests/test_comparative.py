@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from test_kernels import plain_alignment
 
@@ -337,3 +338,25 @@ def test_anchors_placed_together_equal_those_alone(spark):
     assert synteny.aligned_ends(jobs) == [synteny.local_alignment(q, t)[2:5] for q, t in jobs]
     together = synteny.place_many(pairs, 1.2)
     assert together == [synteny.place_anchors(*p, 1.2) for p in pairs] and sum(x is not None for of in together for x in of) > 40
+
+
+def test_best_matches_ship_no_pairs(spark):
+    """Vectors and references meet without a join of blocks with blocks, and ties go by ref_id across batches, zero vectors included."""
+    from strandwise.operators import signatures
+
+    rng = random.Random(9)
+    rows = [(k, [float(rng.randrange(-1, 2)) for _ in range(3)]) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = signatures.best_matches(df, df.withColumnsRenamed({"id": "ref_id", "vector": "ref_vector"}), 3, 100)
+        got = {(r.id, r["rank"]): (r.ref_id, r.similarity) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = np.array([v for _, v in rows])
+    size = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+    cosine = np.round(np.divide(x @ x.T, size, out=np.zeros_like(size), where=size != 0), 6)
+    first = np.argsort(-cosine, axis=1, kind="stable")[:, :3]
+    assert got == {(i, n + 1): (j, pytest.approx(cosine[i, j], abs=1e-9)) for i in range(700) for n, j in enumerate(first[i].tolist())}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
