@@ -17,6 +17,8 @@ MATCH, MISMATCH, GAP, CELLS = 2, -1, -2, 5_000_000
 SEEDS, KEEP = 10, 0.8
 #: What a traceback cell says: where the best score comes from, ties in this order.
 STOP, BOTH, QUERY, REFERENCE = 0, 1, 2, 3
+#: Letters of a reference that are scored at a time.
+TILE = 16_384
 ALIGNED = "score int, query_start int, query_end int, ref_start int, ref_end int, aligned_query string, aligned_ref string"
 
 
@@ -25,11 +27,64 @@ def letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _tile_end(query: np.ndarray, tile: np.ndarray, skip: int) -> tuple[int, int, int]:
+    """(score, row, column) of the first best cell in row order beyond the first skip columns; rows and columns count from 1."""
+    slope = -GAP * np.arange(len(tile) + 1, dtype=np.int32)
+    scores = {b: np.where(tile == b, MATCH, MISMATCH).astype(np.int32) for b in np.unique(query).tolist()}
+    above, row = np.zeros(len(tile) + 1, np.int32), np.zeros(len(tile) + 1, np.int32)
+    best, end = 0, (0, 0)
+    for i, base in enumerate(query.tolist(), 1):
+        np.add(above, GAP, out=row)
+        np.maximum(row, 0, out=row)
+        row[0] = 0
+        above[:-1] += scores[base]
+        np.maximum(row[1:], above[:-1], out=row[1:])
+        row += slope
+        np.maximum.accumulate(row, out=row)
+        row -= slope
+        own = row[skip + 1 :]
+        if len(own) and (top := int(own.max())) > best:
+            best, end = top, (i, skip + 1 + int(own.argmax()))
+        above, row = row, above
+    return best, *end
+
+
+def _end(query: np.ndarray, ref: np.ndarray) -> tuple[int, int, int]:
+    """_tile_end of the whole reference, in memory of a tile.
+
+    An alignment that scores above 0 has less than two letters of ref for each of the query's, so a cell is right in a tile that begins so
+    far before it. Tiles of equal letters are scored once.
+    """
+    before = 2 * len(query)
+    width = TILE * max(1, -(-2 * before // TILE))
+    known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    best, end = 0, (0, 0)
+    for at in range(0, len(ref), width):
+        left = max(0, at - before)
+        tile = ref[left : at + width]
+        key = at - left, tile.tobytes()
+        if key not in known:
+            known[key] = _tile_end(query, tile, at - left)
+        score, i, j = known[key]
+        if score > best or (score == best and score and i < end[0]):
+            best, end = score, (i, left + j)
+    return best, *end
+
+
 def _local(query: np.ndarray, ref: np.ndarray) -> tuple:
     """The first best local alignment in row order, rows being the query's bases: the fields of ALIGNED.
 
-    A row is one vector step: what a gap along the row can bring is a running maximum, as each base of it costs the same.
+    A row is one vector step: what a gap along the row can bring is a running maximum, as each base of it costs the same. In a long reference
+    the end is found first; then only what an alignment to there, and all that its cells are compared with, can reach is traced.
     """
+    if len(ref) > 2 * TILE:
+        score, _, j = _end(query, ref)
+        left = max(0, j - 4 * len(query) - 4)
+        if not score:
+            return 0, 0, 0, 0, 0, "", ""
+        if left or j < len(ref):
+            _, qs, qe, rs, re, x, y = _local(query, ref[left:j])
+            return score, qs, qe, rs + left, re + left, x, y
     slope = -GAP * np.arange(len(ref) + 1)
     came = np.zeros((len(query) + 1, len(ref) + 1), np.uint8)
     above, best, end = np.zeros(len(ref) + 1, np.int64), 0, (0, 0)

@@ -286,3 +286,25 @@ def test_blocks_of_sites_give_the_same_replicates(spark, monkeypatch):
     assert sum(map(len, draws)) == 6 * len(sites) and {t for d in draws for t in d} == set(range(6))
     plan = cohort.bootstrap_k2p(df, 6, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "transition" not in plan  # no row for a site of a pair
+
+
+def test_long_references_align_by_tiles(monkeypatch):
+    """Tiles give what the whole matrix gives, in memory of a tile, and those of equal letters are scored once."""
+    rng = random.Random(11)
+    whole = alignment._local
+    cases = []
+    for _ in range(60):
+        q = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 14)))
+        r = "".join(rng.choice("ACGT") for _ in range(rng.randrange(200, 400)))
+        cases += [(q, r), (q, "ACGT" * 90), (q, r[:50] + q + r[50:] + q + r[:30]), (q, q[: len(q) // 2] + "T" * 300 + q)]
+    q = "".join(rng.choice("ACGT") for _ in range(60))  # tiles widen with the query
+    cases += [(q, "".join(rng.choice("ACGT") for _ in range(600)) + q[:30] + "GG" + q[30:] + "A" * 90), ("", "ACGT" * 80), ("A", "C" * 300)]
+    want = [whole(alignment.letters(q), alignment.letters(r)) for q, r in cases]
+    monkeypatch.setattr(alignment, "TILE", 16)
+    assert [alignment.local_alignment(q, r) for q, r in cases] == want
+    monkeypatch.setattr(alignment, "TILE", 1024)
+    scored = []
+    tile_end = alignment._tile_end
+    monkeypatch.setattr(alignment, "_tile_end", lambda q, t, skip: scored.append(len(t)) or tile_end(q, t, skip))
+    assert alignment.local_alignment("GATTACA", "ACGT" * 50_000)[0] > 0
+    assert len(scored) <= 4 and max(scored) <= 1024 + 14
