@@ -236,9 +236,11 @@ def with_codon(variants: DataFrame, references: DataFrame, width: int = 1200) ->
 
     References are cut into blocks of width bases and two more, so that a variant meets a short text, not a whole sequence.
     """
-    at = F.expr(f"explode(sequence(0, greatest(length(bases) - 1, 0) div {width}))").alias("__block")
-    blocks = references.select("reference_id", "bases", at)
-    blocks = blocks.select("reference_id", "__block", F.col("bases").substr(F.col("__block") * width + 1, F.lit(width + 2)).alias("__bases"))
+    # one pass over the text: a substring by place counts letters from the first one, for each block anew
+    whole = F.lit(f"(?s)(.{{1,{width}}})(?=(.{{0,2}}))")
+    cut = F.arrays_zip(F.regexp_extract_all("bases", whole, F.lit(1)).alias("own"), F.regexp_extract_all("bases", whole, F.lit(2)).alias("next"))
+    blocks = references.select("reference_id", F.posexplode(cut).alias("__block", "b"))
+    blocks = blocks.select("reference_id", "__block", F.concat("b.own", "b.next").alias("__bases"))
     start = F.col("ref_pos") - F.pmod(F.col("ref_pos") - F.col("start_pos"), F.lit(3))
     placed = variants.withColumn("__start", start).withColumn("__block", F.expr(f"cast(__start div {width} as int)"))
     codon = F.upper(F.col("__bases").substr((F.pmod("__start", F.lit(width)) + 1).cast("int"), F.lit(3)))

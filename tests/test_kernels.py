@@ -308,3 +308,21 @@ def test_long_references_align_by_tiles(monkeypatch):
     monkeypatch.setattr(alignment, "_tile_end", lambda q, t, skip: scored.append(len(t)) or tile_end(q, t, skip))
     assert alignment.local_alignment("GATTACA", "ACGT" * 50_000)[0] > 0
     assert len(scored) <= 4 and max(scored) <= 1024 + 14
+
+
+def test_codons_of_a_long_reference_take_one_pass(spark):
+    """Each block brings its two letters of the next one, and one of ten million letters is cut in seconds."""
+    import time
+
+    rng = random.Random(12)
+    ref = "".join(rng.choice("ACGTé𝄞") for _ in range(100))
+    refs = spark.createDataFrame([(1, ref), (2, ""), (3, None)], "reference_id int, bases string")
+    v = spark.createDataFrame([(r, p, 1) for r in (1, 2, 3, 4) for p in range(1, 105)], "reference_id int, ref_pos int, start_pos int")
+    for width in (3, 7, 1200):
+        for r in alignment.with_codon(v, refs, width).collect():
+            start = r.ref_pos - (r.ref_pos - 1) % 3
+            assert r.codon_ref == (ref[start : start + 3].upper() if r.reference_id == 1 and start + 3 <= len(ref) else None)
+    long = spark.range(1).selectExpr("1 as reference_id", "repeat('ACGT', 2500000) as bases")
+    began = time.perf_counter()
+    assert alignment.with_codon(v.where("ref_pos = 1 and reference_id = 1"), long).where("codon_ref = 'CGT'").count() == 1
+    assert time.perf_counter() - began < 20
