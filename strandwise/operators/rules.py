@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .spectrum import KEY
+from .spectrum import KEY, carried, tasks
 
 #: The classes, from scores of 6, 3, -2 and above -6 on, and below.
 CLASSES = ("pathogenic", "likely_pathogenic", "uncertain_significance", "likely_benign", "benign")
@@ -25,10 +25,23 @@ RULE = "name string, field string, op string, value string, weight double"
 FIELDS = ("impact", "feature_type", "variant_type", "consequence", "population_frequency")
 
 
+def with_evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Each sample's five-tuples with n_alignments, and the depth and best_score of those alignments that have a row, in one pass; depth 0: none has.
+
+    Dealt by sample, so that what is asked of a sample's rows next needs no other shuffle.
+    """
+    by_alignment, by_sample = tasks(links, variants)
+    scores = alignments.groupBy("alignment_id").agg(F.max("score").alias("score"), F.lit(1).alias("known"))
+    joined = carried(links, variants, by_alignment).join(scores, "alignment_id", "left").repartition(by_sample, "sample_id")
+    return joined.groupBy("sample_id", *KEY).agg(F.count("*").alias("n_alignments"), F.count("known").alias("depth"), F.max("score").alias("best_score"))
+
+
 def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:
     """Coverage depth and best score of each sample's five-tuples, in one pass."""
-    joined = links.join(variants, "alignment_id").join(alignments, "alignment_id")
-    return joined.groupBy("sample_id", *KEY).agg(F.count_distinct("alignment_id").alias("depth"), F.max("score").alias("best_score"))
+    by_alignment, by_sample = tasks(links, variants)
+    scores = alignments.groupBy("alignment_id").agg(F.max("score").alias("score"))
+    joined = carried(links, variants, by_alignment).join(scores, "alignment_id").repartition(by_sample, "sample_id", *KEY)
+    return joined.groupBy("sample_id", *KEY).agg(F.count("*").alias("depth"), F.max("score").alias("best_score"))
 
 
 def qc(evidence: DataFrame, min_score: float, min_depth: int, margin: int, length: DataFrame) -> DataFrame:
@@ -103,6 +116,18 @@ def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:
     return spectrum.join(ran, "sample_id", "left").join(ok, ["sample_id", *KEY], "left").where("ran is null or ok").drop("ran", "ok")
 
 
+def passed_of(judged: DataFrame) -> DataFrame:
+    """passed_only of a spectrum that has its own results beside it (qc of with_evidence), without meeting itself again; depth 0: no result."""
+    ran = F.max(F.col("depth") > 0).over(Window.partitionBy("sample_id"))
+    return judged.withColumn("ran", ran).where(F.expr("not ran or (depth > 0 and qc_status = 'PASS')")).drop("ran")
+
+
+def status_of(judged: DataFrame) -> DataFrame:
+    """with_status of a spectrum that has its own results beside it: null without a result."""
+    has = F.col("depth") > 0
+    return judged.withColumns({c: F.when(has, F.col(c)) for c in ("qc_status", "failed_rules")})
+
+
 def with_status(spectrum: DataFrame, results: DataFrame, status: str | None = None) -> DataFrame:
     """The spectrum with each variant's qc_status and failed_rules, null without a result; with a status, its variants only."""
     keys = ["sample_id", *KEY]

@@ -8,10 +8,33 @@ from pyspark.sql import functions as F
 KEY = ["reference_id", "ref_pos", "variant_type", "ref_base", "alt_base"]
 
 
+#: Rows of a task that groups by alignment or by sample and five-tuple, about.
+TASK_ROWS = 250_000
+
+
+def tasks(links: DataFrame, variants: DataFrame) -> tuple[int, int]:
+    """Tasks that what alignments show, and what samples carry of it, are dealt over: as many more as there is more of it, so that a task's memory stays.
+
+    Parquet's footers give the counts of plain tables; how many samples share an alignment takes a pass over links.
+    """
+    least, n = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions")), variants.count()
+    row = links.agg(F.count("*").alias("links"), F.approx_count_distinct("alignment_id").alias("alignments")).first()
+    share = max(1.0, row["links"] / max(1, row["alignments"]))
+    return max(least, -(-n // TASK_ROWS)), max(least, int(n * share) // TASK_ROWS + 1)
+
+
+def carried(links: DataFrame, variants: DataFrame, n: int) -> DataFrame:
+    """(alignment_id, sample_id, KEY, first_variant), once each, in n tasks by alignment: each side is made distinct before they meet."""
+    own = variants.select("alignment_id", *KEY, "variant_id").where("alignment_id is not null").repartition(n, "alignment_id").groupBy("alignment_id", *KEY).agg(F.min("variant_id").alias("first_variant"))
+    of = links.select("alignment_id", "sample_id").repartition(n, "alignment_id").distinct()
+    return of.join(own, "alignment_id")
+
+
 def variant_spectrum(links: DataFrame, variants: DataFrame) -> DataFrame:
     """One row for each sample and five-tuple: its distinct alignments and first variant."""
-    joined = links.join(variants, "alignment_id")
-    return joined.groupBy("sample_id", *KEY).agg(F.count_distinct("alignment_id").alias("n_alignments"), F.min("variant_id").alias("first_variant"))
+    by_alignment, by_sample = tasks(links, variants)
+    joined = carried(links, variants, by_alignment).repartition(by_sample, "sample_id", *KEY)
+    return joined.groupBy("sample_id", *KEY).agg(F.count("*").alias("n_alignments"), F.min("first_variant").alias("first_variant"))
 
 
 def population_frequency(spectrum: DataFrame, samples: DataFrame) -> DataFrame:

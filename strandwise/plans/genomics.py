@@ -139,6 +139,12 @@ def qc_results(spark, d):
     return rules.qc(e, 30, 1, 50, spectrum.table_length(view(spark, d, "variant")))
 
 
+def judged_spectrum(spark, d):
+    """The spectrum with the results of its quality control beside it, from one pass over the tables."""
+    e = rules.with_evidence(view(spark, d, "link"), view(spark, d, "variant"), view(spark, d, "alignment"))
+    return rules.qc(e, 30, 1, 50, spectrum.table_length(view(spark, d, "variant")))
+
+
 @query(EVIDENCE + "SELECT * FROM evidence", WITH_ALIGNMENT)
 def coverage_and_score(spark, d):
     return rules.evidence(view(spark, d, "link"), view(spark, d, "variant"), view(spark, d, "alignment"))
@@ -171,7 +177,7 @@ def qc_report_buckets(spark, d):
 SELECT s.* FROM spectrum s WHERE sample_id NOT IN (SELECT sample_id FROM qc) OR EXISTS (SELECT 1 FROM qc q WHERE q.qc_status = 'PASS' AND q.sample_id = s.sample_id AND
 {' AND '.join(f'q.{k} = s.{k}' for k in spectrum.KEY)})""", WITH_ALIGNMENT)
 def qc_pass_filter(spark, d):
-    return rules.passed_only(spec(spark, d).drop("first_variant"), qc_results(spark, d))
+    return rules.passed_of(judged_spectrum(spark, d)).select("sample_id", *spectrum.KEY, "n_alignments")
 
 
 SCORED = FREQ + f""", scored AS (SELECT {FIVE}, carriers, CAST((CASE WHEN variant_type = 'DEL' THEN 4 ELSE 0 END) + (CASE WHEN variant_type = 'INS' THEN 3 ELSE 0 END)
@@ -353,12 +359,12 @@ def site_classes(spark, d):
 SELECT s.*, q.qc_status, q.failed_rules FROM spectrum s LEFT JOIN qc q ON q.sample_id = s.sample_id AND
 {' AND '.join(f'q.{k} = s.{k}' for k in spectrum.KEY)}""", WITH_ALIGNMENT)
 def spectrum_with_qc(spark, d):
-    return rules.with_status(spec(spark, d).drop("first_variant"), qc_results(spark, d))
+    return rules.status_of(judged_spectrum(spark, d)).select("sample_id", *spectrum.KEY, "n_alignments", "qc_status", "failed_rules")
 
 
 @query(QC + """SELECT sample_id, ref_pos, variant_type, failed_rules FROM qc WHERE qc_status = 'FAIL'""", WITH_ALIGNMENT)
 def spectrum_failed(spark, d):
-    rows = rules.with_status(spec(spark, d), qc_results(spark, d), "FAIL")
+    rows = rules.status_of(judged_spectrum(spark, d)).where("qc_status = 'FAIL'")
     return rows.select("sample_id", "ref_pos", "variant_type", "failed_rules")
 
 

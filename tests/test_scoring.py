@@ -62,3 +62,56 @@ def test_called_variants_to_effects(spark):
     assert (row.ref_pos, row.variant_type, row.ref_base, row.alt_base) == (20, "SNP", bases[20], "C")
     assert (row.codon_ref, row.codon_alt, row.gene_name) == (bases[18:21], bases[18:20] + "C", "g")
     assert row.consequence == ("synonymous_variant" if row.aa_ref == row.aa_alt else "missense_variant")
+
+
+def carried_rows(spark):
+    """Links with repeats and an alignment of two samples, variants with repeats and nulls, alignments that lack some and repeat one."""
+    import random
+
+    rng = random.Random(4)
+    links = [(rng.randrange(12), a) for a in range(80)] + [(3, 7), (3, 7), (11, 79), (None, 5), (4, None)]
+    variants = [(rng.choice([*range(80), None]), n, 1, rng.choice([rng.randrange(9), None]), rng.choice(["SNP", "INS"]), "A", rng.choice("CG")) for n in range(600)]
+    variants += [(a, 900 + n, r, p, t, x, y) for a, n, r, p, t, x, y in variants[:90]]
+    lost = {a for s, a in links if s in (2, 3)}
+    alignments = [(a, rng.choice([10.0, 50.0])) for a in range(80) if a not in lost and a % 5] + [(11, 60.0), (12, None)]
+    kind = "alignment_id int, variant_id int, reference_id int, ref_pos int, variant_type string, ref_base string, alt_base string"
+    return spark.createDataFrame(links, "sample_id int, alignment_id int"), spark.createDataFrame(variants, kind), spark.createDataFrame(alignments, "alignment_id int, score double"), links, variants, alignments
+
+
+def test_spectra_and_evidence_are_dealt_by_their_rows(spark, monkeypatch):
+    """A task's rows stay when there are more of them, and each five-tuple counts an alignment once."""
+    from strandwise.operators import rules, spectrum
+
+    links, variants, alignments, ls, vs, al = carried_rows(spark)
+    monkeypatch.setattr(spectrum, "TASK_ROWS", 25)
+    seen, best = {}, {}
+    for a, n, *key in vs:
+        for s, b in ls:
+            if a is not None and a == b:
+                seen.setdefault((s, *key), {}).setdefault(a, []).append(n)
+    for key, by in seen.items():
+        scores = [x for a in by for b, x in al if a == b]
+        if scores:
+            best[key] = len([a for a in by if any(a == b for b, _ in al)]), max((x for x in scores if x is not None), default=None)
+    got = spectrum.variant_spectrum(links, variants)
+    assert {tuple(r)[:6]: tuple(r)[6:] for r in got.collect()} == {k: (len(by), min(n for ns in by.values() for n in ns)) for k, by in seen.items()}
+    assert got.rdd.getNumPartitions() >= 690 // 25
+    found = rules.evidence(links, variants, alignments)
+    assert {tuple(r)[:6]: tuple(r)[6:] for r in found.collect()} == best and found.rdd.getNumPartitions() >= 690 // 25
+    both = rules.with_evidence(links, variants, alignments)
+    assert {tuple(r)[:6]: tuple(r)[6:] for r in both.collect()} == {k: (len(by), *best.get(k, (0, None))) for k, by in seen.items()}
+
+
+def test_a_spectrum_beside_its_results_equals_one_that_meets_them(spark):
+    from strandwise.operators import rules, spectrum
+
+    links, variants, alignments, *_ = carried_rows(spark)
+    variants = variants.where("ref_pos is not null")
+    length = spectrum.table_length(variants)
+    judge = lambda e: rules.qc(e, 30, 1, 1, length)
+    plain, results = spectrum.variant_spectrum(links.where("sample_id is not null"), variants).drop("first_variant"), judge(rules.evidence(links, variants, alignments))
+    judged = judge(rules.with_evidence(links.where("sample_id is not null"), variants, alignments))
+    rows = lambda df: sorted((tuple(str(r[c]) for c in sorted(r.asDict())) for r in df.collect()))
+    assert rows(rules.passed_of(judged).select(plain.columns)) == rows(rules.passed_only(plain, results))
+    assert rows(rules.status_of(judged).select(*plain.columns, "qc_status", "failed_rules")) == rows(rules.with_status(plain, results))
+    assert {r.qc_status for r in rules.status_of(judged).collect()} == {"PASS", "FAIL", None}
