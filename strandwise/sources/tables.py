@@ -30,15 +30,18 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by order (nulls first), whole; of equal ones any."""
+def last_of(rows: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
+    """The last row of each key by order (nulls first), whole, or the first one (nulls last); of equal ones any."""
     fields = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*fields), F.struct(*[F.struct(F.col(c).isNotNull(), c) for c in order]))
+    if fields == order and len(order) == 1:  # what rows go by is all that they have
+        return rows.groupBy(*keys).agg((F.min if first else F.max)(order[0]).alias(order[0])).select(rows.columns)
+    by = F.min_by if first else F.max_by
+    last = by(F.struct(*fields), F.struct(*[F.struct(F.col(c).isNull() if first else F.col(c).isNotNull(), c) for c in order]))
     return rows.groupBy(*keys).agg(last.alias("__row")).select(*keys, "__row.*").select(rows.columns)
 
 
-def merge(path: str, rows: DataFrame, keys: list[str], order: list[str], buckets: int = 64) -> None:
-    """Put rows into the table at path: of each key, the last row by order of old and new ones stays.
+def merge(path: str, rows: DataFrame, keys: list[str], order: list[str], buckets: int = 64, first: bool = False) -> None:
+    """Put rows into the table at path: of each key, the last row by order of old and new ones stays, or the first one.
 
     The table is dealt into buckets by the hash of its keys. Only buckets that the rows touch are read and written: to a folder beside
     the table first, then in one dynamic overwrite of these buckets. A job that ends in between has left the table as it was, and
@@ -51,7 +54,7 @@ def merge(path: str, rows: DataFrame, keys: list[str], order: list[str], buckets
     if old is not None:
         touched = F.broadcast(new.select("bucket").distinct())  # 64 rows
         new = new.unionByName(old.join(touched, "bucket", "left_semi").select(new.columns))
-    merged = last_of(new, [*keys, "bucket"], order)
+    merged = last_of(new, [*keys, "bucket"], order, first)
     beside = f"{path}.merging"
     merged.repartition("bucket").write.mode("overwrite").parquet(beside)
     spark.read.schema(merged.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -18,9 +18,8 @@ def carried(links: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def merge_batch(path: str, batch: DataFrame) -> None:
-    """Put a batch of carried variants into the table at path; the least variant_id of a key stays."""
-    rows = batch.groupBy(*CARRIED).agg(F.min("variant_id").alias("variant_id"))
-    merge(path, rows.withColumn("least", -F.col("variant_id")), CARRIED, ["least"])
+    """Put a batch of carried variants into the table at path; the least variant_id of a key stays, as the merge of equal keys leaves it."""
+    merge(path, batch.select(*CARRIED, "variant_id"), CARRIED, ["variant_id"], first=True)
 
 
 def grow_spectrum(variants: DataFrame, links: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -75,3 +75,19 @@ def test_a_batch_twice_changes_nothing(spark, tmp_path):
     spark.createDataFrame([(1, 900, 0, 99, "DEL", "A", "")], kind).coalesce(1).write.mode("append").parquet(source)
     spectra.grow_spectrum(stream(), links, path, str(tmp_path / "seen")).awaitTermination()
     assert {x for x in got() if x[2] == 99} == {(1, 0, 99, "DEL", "A", "", 1, 900)}
+
+
+def test_first_and_last_rows_and_what_a_batch_stores(spark, tmp_path):
+    """A merged batch stores what it is named by and the least variant_id alone, nulls giving way."""
+    rows = spark.createDataFrame([("a", 3, 1), ("a", 1, 2), ("a", None, 3), ("b", None, 4), ("c", 5, 5)], "k string, n int, x int")
+    of = lambda df: {tuple(r) for r in df.collect()}
+    assert of(tables.last_of(rows, ["k"], ["n"], first=True)) == {("a", 1, 2), ("b", None, 4), ("c", 5, 5)}
+    assert of(tables.last_of(rows, ["k"], ["n"])) == {("a", 3, 1), ("b", None, 4), ("c", 5, 5)}
+    alone = rows.select("k", "n")
+    assert of(tables.last_of(alone, ["k"], ["n"], first=True)) == {("a", 1), ("b", None), ("c", 5)}
+    assert of(tables.last_of(alone, ["k"], ["n"])) == {("a", 3), ("b", None), ("c", 5)}
+    batch = spark.createDataFrame([(1, 0, 5, "SNP", "A", "C", 7, v) for v in (9, 4, None)], "sample_id long, reference_id long, ref_pos long, variant_type string, ref_base string, alt_base string, alignment_id long, variant_id long")
+    for _ in range(2):
+        spectra.merge_batch(str(tmp_path / "t"), batch)
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert set(got.columns) == {*spectra.CARRIED, "variant_id", "bucket"} and [r.variant_id for r in got.collect()] == [4]
