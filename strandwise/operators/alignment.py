@@ -253,7 +253,11 @@ def effects(annotated: DataFrame, references: DataFrame) -> DataFrame:
 
     Codons are counted from an exon's start. SNPs whose codon the reference ends within are missense, without codons.
     """
-    v = with_codon(annotated, references)
+    return consequences(with_codon(annotated, references))
+
+
+def consequences(v: DataFrame) -> DataFrame:
+    """effects of variants that have the codon_ref of with_codon."""
     exon, kind = F.col("start_pos").isNotNull() & (F.col("feature_type") == "exon"), F.col("variant_type")
     codon = F.when(exon & (kind == "SNP"), F.col("codon_ref"))
     place = F.pmod(F.col("ref_pos") - F.col("start_pos"), F.lit(3)).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, NumericType
 
 from .spectrum import KEY, carried, tasks
 
@@ -25,12 +25,12 @@ RULE = "name string, field string, op string, value string, weight double"
 FIELDS = ("impact", "feature_type", "variant_type", "consequence", "population_frequency")
 
 
-def with_evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:
+def with_evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame, dealt: tuple[int, int] | None = None) -> DataFrame:
     """Each sample's five-tuples with n_alignments, and the depth and best_score of those alignments that have a row, in one pass; depth 0: none has.
 
-    Dealt by sample, so that what is asked of a sample's rows next needs no other shuffle.
+    Dealt by sample, so that what is asked of a sample's rows next needs no other shuffle. dealt: tasks(), if they are known.
     """
-    by_alignment, by_sample = tasks(links, variants)
+    by_alignment, by_sample = dealt or tasks(links, variants)
     scores = alignments.groupBy("alignment_id").agg(F.max("score").alias("score"), F.lit(1).alias("known"))
     joined = carried(links, variants, by_alignment).join(scores, "alignment_id", "left").repartition(by_sample, "sample_id")
     return joined.groupBy("sample_id", *KEY).agg(F.count("*").alias("n_alignments"), F.count("known").alias("depth"), F.max("score").alias("best_score"))
@@ -116,10 +116,15 @@ def passed_only(spectrum: DataFrame, results: DataFrame) -> DataFrame:
     return spectrum.join(ran, "sample_id", "left").join(ok, ["sample_id", *KEY], "left").where("ran is null or ok").drop("ran", "ok")
 
 
-def passed_of(judged: DataFrame) -> DataFrame:
-    """passed_only of a spectrum that has its own results beside it (qc of with_evidence), without meeting itself again; depth 0: no result."""
+def marked(judged: DataFrame) -> DataFrame:
+    """A spectrum that has its own results beside it (qc of with_evidence) with passed, whether passed_only keeps a row; depth 0: no result."""
     ran = F.max(F.col("depth") > 0).over(Window.partitionBy("sample_id"))
-    return judged.withColumn("ran", ran).where(F.expr("not ran or (depth > 0 and qc_status = 'PASS')")).drop("ran")
+    return judged.withColumn("ran", ran).withColumn("passed", F.expr("not ran or (depth > 0 and qc_status = 'PASS')")).drop("ran")
+
+
+def passed_of(judged: DataFrame) -> DataFrame:
+    """passed_only of a spectrum that has its own results beside it, without meeting itself again."""
+    return marked(judged).where("passed").drop("passed")
 
 
 def status_of(judged: DataFrame) -> DataFrame:
@@ -135,10 +140,10 @@ def with_status(spectrum: DataFrame, results: DataFrame, status: str | None = No
     return out.where(F.col("qc_status") == status) if status else out
 
 
-def condition(actual: Column, op: Column, value: Column, numeric: bool) -> Column:
+def condition(actual: Column, op: Column, value: Column, numeric: bool, double: bool = False) -> Column:
     """Whether a rule's condition on a field holds: by eq and ne numbers compare as numbers and text as text; by the others, what
-    is a number on both sides; else false."""
-    x, y = actual.cast("string").try_cast("double"), value.try_cast("double")
+    is a number on both sides; else false. A double is its own number, which any other value is by its text."""
+    x, y = actual if double else actual.cast("string").try_cast("double"), value.try_cast("double")
     a, b = (x, y) if numeric else (actual.cast("string"), value)
     held = F.when(op == "gt", x > y).when(op == "gte", x >= y).when(op == "lt", x < y).when(op == "lte", x <= y)
     held = held.when(op == "eq", a == b).when(op == "ne", a != b)
@@ -172,20 +177,19 @@ def classify(score: Column) -> Column:
 def detailed(variants: DataFrame, rules: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Each row with matched_rules (names, in order), variant_score (the sum of their weights) and variant_classification.
 
-    A null field meets no rule, and a rule on another field is passed over. Rules are a few rows, as in score_variants.
+    A null field meets no rule, and a rule on another field is passed over. Rules are a few rows, as in score_variants: they are read
+    first and become plain conditions, as the folds of an array are not compiled.
     """
-    table = rules.agg(F.sort_array(F.collect_list(F.struct("name", "field", "op", "value", F.col("weight").cast("double").alias("weight")))).alias("__rules"))
-    numeric = {f: isinstance(variants.schema[f].dataType, NumericType) for f in fields}
-
-    def met(rule: Column) -> Column:
-        held = F.lit(False)
-        for f in fields:
-            held = held | ((rule["field"] == f) & condition(F.col(f), rule["op"], rule["value"], numeric[f]))
-        return held
-
-    out = variants.crossJoin(F.broadcast(table)).withColumn("__met", F.filter("__rules", met)).drop("__rules")  # the table is one row
-    score = F.aggregate("__met", F.lit(0.0), lambda total, rule: total + rule["weight"])
-    out = out.withColumn("matched_rules", F.col("__met.name")).withColumn("variant_score", score).drop("__met")
+    kinds = {f: variants.schema[f].dataType for f in fields}
+    table = rules.select("name", "field", "op", "value", F.col("weight").cast("double").alias("weight")).where(F.col("field").isin(*fields))
+    names, score = [], F.lit(0.0)
+    for rule in table.orderBy("name", "field", "op", "value", "weight").collect():
+        kind, text = kinds[rule.field], lambda v: F.lit(v).cast("string")
+        met = condition(F.col(rule.field), text(rule.op), text(rule.value), isinstance(kind, NumericType), isinstance(kind, DoubleType))
+        names.append(F.when(met, F.struct(text(rule["name"]).alias("name"))))
+        score = score + F.when(met, F.lit(rule.weight).cast("double")).otherwise(0.0)
+    matched = F.array_compact(F.array(*names))["name"] if names else F.array().cast("array<string>")
+    out = variants.withColumn("matched_rules", matched).withColumn("variant_score", score)
     return out.withColumn("variant_classification", classify(F.col("variant_score")))
 
 

@@ -44,6 +44,19 @@ def population_frequency(spectrum: DataFrame, samples: DataFrame) -> DataFrame:
     return carriers.crossJoin(F.broadcast(total)).withColumn("frequency", F.col("carriers") / F.col("n_samples"))
 
 
+def with_frequency(carriers: DataFrame, samples: DataFrame, n: int) -> DataFrame:
+    """A spectrum (a row for each sample and five-tuple) with each five-tuple's population_frequency, as of its carriers in it, and without rows of a null key.
+
+    Rows are dealt over n tasks by site and sorted within, so that a site's annotation meets them next without another shuffle; the
+    position goes first, as few rows share it.
+    """
+    site = ["ref_pos", "reference_id"]
+    total = samples.agg(F.count_distinct("sample_id").alias("n_samples"))  # one row
+    own = Window.partitionBy(*site, *[k for k in KEY if k not in site])
+    rows = carriers.na.drop(subset=KEY).repartition(n, *site).withColumn("__carriers", F.count("sample_id").over(own))
+    return rows.crossJoin(F.broadcast(total)).withColumn("population_frequency", F.col("__carriers") / F.col("n_samples")).drop("__carriers", "n_samples")
+
+
 def frequency_range(frequency: DataFrame, low: float, high: float) -> DataFrame:
     return frequency.where(F.col("frequency").between(low, high)).orderBy("ref_pos", *KEY)
 

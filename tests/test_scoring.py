@@ -115,3 +115,41 @@ def test_a_spectrum_beside_its_results_equals_one_that_meets_them(spark):
     assert rows(rules.passed_of(judged).select(plain.columns)) == rows(rules.passed_only(plain, results))
     assert rows(rules.status_of(judged).select(*plain.columns, "qc_status", "failed_rules")) == rows(rules.with_status(plain, results))
     assert {r.qc_status for r in rules.status_of(judged).collect()} == {"PASS", "FAIL", None}
+
+
+def test_frequencies_stay_with_their_carriers(spark):
+    """Each row of a spectrum gets what population_frequency gives its five-tuple, without being met by it; null keys have none."""
+    links, variants, alignments, *_ = carried_rows(spark)
+    carriers = rules.with_evidence(links, variants, alignments).select("sample_id", *spectrum.KEY)
+    samples = spark.createDataFrame([(k,) for k in range(20)], "sample_id int")
+    plain = carriers.join(spectrum.population_frequency(carriers, samples), spectrum.KEY).select("sample_id", *spectrum.KEY, "frequency")
+    got = spectrum.with_frequency(carriers, samples, 5)
+    assert sorted(map(str, got.select("sample_id", *spectrum.KEY, "population_frequency").collect())) == sorted(map(str, plain.withColumnRenamed("frequency", "population_frequency").collect()))
+    assert got.rdd.getNumPartitions() == 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_read_the_variants_of_samples_once(spark):
+    """The carriers, their frequencies and their judgement come from one pass, and a filter of classes doesn't repeat the consequences."""
+    from strandwise.plans import scoring
+
+    for name in ("sample_scores", "score_details", "score_detail_filter"):
+        plan = plan_of(scoring.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count("l_linenumber#") and sum("Relation" not in line and "AS alt_base#" in line for line in plan.splitlines()) == 1
+        assert len(plan) < 60_000
+
+
+def test_conditions_of_rules_are_those_of_their_texts(spark):
+    """Numbers and texts by each operator, null fields, null weights and names, rules on fields that are passed over."""
+    fields = "k int, consequence string, feature_type string, impact string, variant_type string, population_frequency double"
+    rows = [(1, "7", "exon", None, "SNP", 0.1), (2, "07", "x", "HIGH", None, None), (3, None, "-3", "LOW", "DEL", float("inf"))]
+    table = [
+        ("a", "consequence", "eq", "7", 1.0), ("b", "consequence", "ne", "7", 2.0), ("c", "consequence", "gte", "7.0", 4.0), ("d", "feature_type", "lt", "0", 8.0), (None, "population_frequency", "eq", "1e-1", 16.0),
+        ("f", "population_frequency", "gt", "5", 32.0), ("g", "population_frequency", "gt", "none", 64.0), ("h", "gene_name", "ne", "g", 128.0), ("a", "impact", "eq", "HIGH", 256.0), ("z", "impact", "like", "LOW", 512.0),
+    ]
+    got = rules.detailed(spark.createDataFrame(rows, fields), spark.createDataFrame(table, rules.RULE))
+    assert {r.k: (r.variant_score, r.matched_rules) for r in got.collect()} == {1: (21.0, [None, "a", "c"]), 2: (262.0, ["a", "b", "c"]), 3: (40.0, ["d", "f"])}
+    assert got.where("variant_score > 30").count() == 2
