@@ -15,6 +15,7 @@ the whole bitmap is joined once to each distinct pair that is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import arrow_text as A
 from .bloom_dedup import bitmap_bits, repeated_bits_of, repeated_flag
 from .components import components
-from .store import discard, materialize
+from .store import discard, materialize, settle
 
 WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
@@ -38,6 +39,8 @@ FRAGMENT_BITS = 5
 SKETCH = 8
 #: A posting carries so many of its node's tokens before it; a pair that shares one of them has met there.
 EARLIER = 4
+#: Parts in which the postings of rare shingles are shuffled.
+PARTS = 2
 #: Rounds in which each shingle that still spans components ties its documents to another hub, chosen by hash.
 HUB_ROUNDS = 2
 #: Rounds in which each component's likeliest pair is counted before all pairs that are left.
@@ -249,18 +252,23 @@ def distinct_sets(wide: DataFrame) -> DataFrame:
     return tried.where("not again").drop("again").unionByName(grouped)
 
 
-def shared_posts(posts: DataFrame) -> DataFrame:
-    """The postings (token, node, n, at) whose token has two nodes or more, with their number (met) and the smallest (hub).
+def shared_posts(posts: DataFrame) -> list[DataFrame]:
+    """The postings (token, node, n, at) whose token has two nodes or more, with their number (met) and the smallest (hub), as stored tables.
 
     Shingles of level 0 are rare: one shuffle brings the few nodes of each together, and a window counts them. The others may be in any
     share of all documents: they are counted with partial sums, and meet their counts in a join that AQE splits at a hot shingle.
+    Rare ones go in PARTS by a part of their hash, one after the other: most are met once and end here, so that only one part of them lies in a shuffle at a time.
     """
     level = F.shiftrightunsigned("token", 62)
     same = Window.partitionBy("token")
-    rare = posts.where(level == 0).withColumn("hub", F.min("node").over(same)).withColumn("met", F.count("*").over(same)).where("met > 1")
+    parts = []
+    for k in range(PARTS):
+        own = posts.where((level == 0) & (F.shiftrightunsigned("token", 32) % PARTS == k))
+        parts.append(materialize(own.withColumn("hub", F.min("node").over(same)).withColumn("met", F.count("*").over(same)).where("met > 1"), "shared"))
+        settle(posts.sparkSession)
     frequent = posts.where(level != 0)
     lists = materialize(frequent.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1"), "lists")
-    return rare.unionByName(frequent.join(lists.hint("merge"), "token"))
+    return [*parts, materialize(frequent.join(lists.hint("merge"), "token").select(parts[0].columns), "shared")]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -282,15 +290,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wide = materialize(wide.withColumn("node", F.monotonically_increasing_id()), "digests")
     rows = materialize(wide.select("doc_id", "tie", "n_shingles", "h1", "h2"), "rows")
     sets = distinct_sets(wide)
-    nodes = materialize(sets.drop("prefix"), "nodes")
     posts = sets.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    shared = materialize(shared_posts(posts), "shared")
+    parts = shared_posts(posts)
+    shared = reduce(DataFrame.unionByName, parts)
+    nodes = materialize(sets.drop("prefix"), "nodes")  # after the postings, whose shuffles are gone by now
     discard(wide)
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = tested_links(stars.withColumns({"ca": F.col("a"), "cb": F.col("b")}), nodes, docs, level)
     member = materialize(components(links), "member")
     crossed = crossing_links(shared, nodes, docs, level, member)
-    discard(shared)
+    discard(*parts)
     named = nodes.select("node", "h1", "h2", "first_id").join(member.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     if crossed is not None:
         named = moved(named, components(crossed))

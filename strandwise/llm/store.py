@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -67,6 +68,13 @@ def leaving(spark: SparkSession) -> Iterator[list[DataFrame]]:
             remove(spark, path)
 
 
+def settle(spark: SparkSession, seconds: float = 1.0) -> None:
+    """Let go of the shuffles of what was stored last, where the next step's are large: Spark's own listeners hold a query for a moment after its end."""
+    time.sleep(seconds)
+    spark._jvm.System.gc()
+    time.sleep(seconds)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() gave; what was computed from them and isn't stored can't be read any more."""
     for df in tables:

@@ -362,3 +362,24 @@ def test_results_of_a_stage_live_side_by_side(spark):
     assert one.count() >= two.count() > 0 and three.count() == 20
     stored = materialize(one, "stored")
     assert exact(spark, stored, "here").count() == stored.count()
+
+
+def test_rare_postings_are_shuffled_by_parts(spark):
+    """Each part of the rare shingles is stored by itself; together they are all that two nodes or more share, frequent ones too."""
+    import random
+
+    from strandwise.llm import jaccard_join
+
+    rng = random.Random(8)
+    tokens = [(rng.randrange(0, 2**64, 2**30) >> 2 | level << 62) - 2**63 for level in (0, 0, 0, 1, 3) for _ in range(40)]
+    rows = [(n, 9, at, t ^ -(2**63)) for n in range(50) for at, t in enumerate(sorted(rng.sample(tokens, 6)))]
+    rows += [(99, 9, 0, 17)]  # met once
+    posts = spark.createDataFrame(rows, "node long, n int, at int, token long")
+    by = {}
+    for n, _, _, t in rows:
+        by.setdefault(t, []).append(n)
+    want = sorted((t, n, k, at, len(by[t]), min(by[t])) for n, k, at, t in rows if len(by[t]) > 1)
+    parts = jaccard_join.shared_posts(posts)
+    assert len(parts) == jaccard_join.PARTS + 1 and all(p.stored_at for p in parts)
+    assert sorted(tuple(r) for p in parts for r in p.select("token", "node", "n", "at", "met", "hub").collect()) == want
+    assert all(p.count() for p in parts)
