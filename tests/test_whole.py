@@ -149,6 +149,36 @@ def test_linkage_across_tiles(spark, monkeypatch):
     assert linkage.haplotype_blocks(linkage.loci(spectrum_.limit(0), samples), 0.7).count() == 0
 
 
+def test_pairs_of_loci_meet_as_strips(spark, monkeypatch):
+    """Strips of 2 tiles of 4 loci: no row is joined for a pair, and statistics that are looked up are those that are computed; for one word of samples and for two."""
+    monkeypatch.setattr(linkage, "TILE", 4)
+    monkeypatch.setattr(linkage, "STRIP", 2)
+    monkeypatch.setattr(linkage, "TASK_PAIRS", 200)
+    rng = random.Random(9)
+    for n in (30, 70):
+        held = {(ref, pos * 3): set(rng.sample(range(n), rng.randrange(1, n + 1))) for ref in range(2) for pos in range(41 - 30 * ref)}
+        rows = [(s, ref, pos, "SNP") for (ref, pos), group in held.items() for s in group] + [(1, 0, None, "SNP"), (2, None, 5, "SNP")]
+        of = linkage.loci(spark.createDataFrame(rows, "sample_id long, reference_id int, ref_pos long, variant_type string"), spark.range(n).withColumnRenamed("id", "sample_id"))
+        pairs = linkage.ld_pairs(of)
+        got = {(r.reference_id, r.i, r.j): (r.d, r.d_prime, r.r2) for r in pairs.collect()}
+        want = {}
+        for (ref, i), x in held.items():
+            for (other, j), y in held.items():
+                if ref == other and i < j:
+                    a, b, both = len(x) / n, len(y) / n, len(x & y) / n
+                    d, v = both - a * b, a * (1 - a) * b * (1 - b)
+                    m = min(a * (1 - b), (1 - a) * b) if d >= 0 else min(a * b, (1 - a) * (1 - b))
+                    want[ref, i, j] = (d, abs(d / m) if m else 0.0, d * d / v if v else 0.0)
+        assert pairs.count() == len(got) == 41 * 40 // 2 + 11 * 10 // 2
+        assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate inline" in plan[: plan.index("Join Inner")]
+        monkeypatch.setattr(linkage, "MEMO", 0 if n == 30 else 70)
+        assert {(r.reference_id, r.i, r.j): (r.d, r.d_prime, r.r2) for r in linkage.ld_pairs(of).collect()} == got
+        monkeypatch.setattr(linkage, "MEMO", 64)
+    assert linkage.ld_pairs(of.limit(0)).count() == 0
+
+
 def test_density_and_quality_control_take_the_length_from_the_table(spark, small):
     pos = [r.ref_pos for r in view(spark, small, "variant").collect()]
     got = sorted(map(tuple, genomics.QUERIES["variant_density_buckets"](spark, small).collect()))
