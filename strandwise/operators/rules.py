@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
-from .spectrum import KEY, carried, tasks
+from .spectrum import KEY, carried, shown_to, tasks
 
 #: The classes, from scores of 6, 3, -2 and above -6 on, and below.
 CLASSES = ("pathogenic", "likely_pathogenic", "uncertain_significance", "likely_benign", "benign")
@@ -25,15 +25,18 @@ RULE = "name string, field string, op string, value string, weight double"
 FIELDS = ("impact", "feature_type", "variant_type", "consequence", "population_frequency")
 
 
-def with_evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame, dealt: tuple[int, int] | None = None) -> DataFrame:
+def with_evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame, dealt: tuple[int, int] | None = None, counted: bool = True) -> DataFrame:
     """Each sample's five-tuples with n_alignments, and the depth and best_score of those alignments that have a row, in one pass; depth 0: none has.
 
-    Dealt by sample, so that what is asked of a sample's rows next needs no other shuffle. dealt: tasks(), if they are known.
+    Dealt by sample, so that what is asked of a sample's rows next needs no other shuffle. dealt: tasks(), if they are known. Where it is only asked
+    whether there is any depth, it is not counted: it is 1 then, n_alignments is left out, and what an alignment shows twice needs no grouping of its own.
     """
     by_alignment, by_sample = dealt or tasks(links, variants)
     scores = alignments.groupBy("alignment_id").agg(F.max("score").alias("score"), F.lit(1).alias("known"))
-    joined = carried(links, variants, by_alignment).join(scores, "alignment_id", "left").repartition(by_sample, "sample_id")
-    return joined.groupBy("sample_id", *KEY).agg(F.count("*").alias("n_alignments"), F.count("known").alias("depth"), F.max("score").alias("best_score"))
+    shown = (carried if counted else shown_to)(links, variants, by_alignment)
+    joined = shown.join(scores, "alignment_id", "left").repartition(by_sample, "sample_id")
+    depth = [F.count("*").alias("n_alignments"), F.count("known").alias("depth")] if counted else [F.coalesce(F.max("known"), F.lit(0)).alias("depth")]
+    return joined.groupBy("sample_id", *KEY).agg(*depth, F.max("score").alias("best_score"))
 
 
 def evidence(links: DataFrame, variants: DataFrame, alignments: DataFrame) -> DataFrame:

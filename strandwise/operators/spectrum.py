@@ -30,6 +30,12 @@ def carried(links: DataFrame, variants: DataFrame, n: int) -> DataFrame:
     return of.join(own, "alignment_id")
 
 
+def shown_to(links: DataFrame, variants: DataFrame, n: int) -> DataFrame:
+    """carried without first_variant, and a variant that an alignment shows twice is there twice: for what repeats change nothing of."""
+    own = variants.select("alignment_id", *KEY).where("alignment_id is not null").repartition(n, "alignment_id")
+    return links.select("alignment_id", "sample_id").repartition(n, "alignment_id").distinct().join(own, "alignment_id")
+
+
 def variant_spectrum(links: DataFrame, variants: DataFrame) -> DataFrame:
     """One row for each sample and five-tuple: its distinct alignments and first variant."""
     by_alignment, by_sample = tasks(links, variants)
@@ -135,6 +141,17 @@ def annotate_first(variants: DataFrame, annotations: DataFrame, width: int = 50)
     return variants.join(named, ["reference_id", "ref_pos"], "left").withColumn("feature_type", F.coalesce("feature_type", F.lit("intergenic")))
 
 
+def first_features(variants: DataFrame, annotations: DataFrame, width: int = 50) -> DataFrame:
+    """Each site of variants once, with what annotate_first gives there: sites are made distinct once, and those without a hit stay beside the others."""
+    binned = annotations.select("reference_id", F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"end_pos div {width}"))).alias("bin"), "start_pos", "end_pos", "annotation_id")
+    sites = variants.select("ref_pos", "reference_id").distinct().withColumn("bin", F.expr(f"ref_pos div {width}"))
+    s, a = sites.alias("s"), binned.alias("a")
+    over = (F.col("s.reference_id") == F.col("a.reference_id")) & (F.col("s.bin") == F.col("a.bin")) & F.col("s.ref_pos").between(F.col("a.start_pos"), F.col("a.end_pos"))
+    first = s.join(a, over, "left").groupBy("s.ref_pos", "s.reference_id").agg(F.min("annotation_id").alias("annotation_id"))
+    named = first.join(annotations.select("annotation_id", "start_pos", "feature_type", "gene_name"), "annotation_id", "left")
+    return named.select("ref_pos", "reference_id", "annotation_id", "start_pos", F.coalesce("feature_type", F.lit("intergenic")).alias("feature_type"), "gene_name")
+
+
 def hotspots(frequency: DataFrame, spectrum: DataFrame, annotations: DataFrame, least: float, width: int = 50) -> DataFrame:
     """Annotations with at least `least` distinct positions per 100 bases, their carriers and the most frequent variant's."""
     binned = annotations.withColumn("bin", F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"end_pos div {width}"))))

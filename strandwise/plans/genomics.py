@@ -139,9 +139,9 @@ def qc_results(spark, d):
     return rules.qc(e, 30, 1, 50, spectrum.table_length(view(spark, d, "variant")))
 
 
-def judged_spectrum(spark, d, dealt=None):
-    """The spectrum with the results of its quality control beside it, from one pass over the tables."""
-    e = rules.with_evidence(view(spark, d, "link"), view(spark, d, "variant"), view(spark, d, "alignment"), dealt)
+def judged_spectrum(spark, d, dealt=None, counted=True):
+    """The spectrum with the results of its quality control beside it, from one pass over the tables. The least depth is 1, so that depths need not be counted."""
+    e = rules.with_evidence(view(spark, d, "link"), view(spark, d, "variant"), view(spark, d, "alignment"), dealt, counted)
     return rules.qc(e, 30, 1, 50, spectrum.table_length(view(spark, d, "variant")))
 
 

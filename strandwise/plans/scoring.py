@@ -31,8 +31,7 @@ NOTED = ("sample_id", *spectrum.KEY, "feature_type", "gene_name", "consequence",
 
 def sites(spark, d) -> DataFrame:
     """Each site of a variant with the first feature over it and its codon: they are the same for all alleles there, and for all who carry one."""
-    distinct = view(spark, d, "variant").select("ref_pos", "reference_id").distinct()
-    noted = alignment.with_codon(spectrum.annotate_first(distinct, view(spark, d, "annotation")), view(spark, d, "reference"))
+    noted = alignment.with_codon(spectrum.first_features(view(spark, d, "variant"), view(spark, d, "annotation")), view(spark, d, "reference"))
     return noted.select("ref_pos", "reference_id", "start_pos", "feature_type", "gene_name", "codon_ref")
 
 
@@ -65,7 +64,7 @@ def details(spark, d) -> DataFrame:
     """The sample's variants that passed, scored by the default rules. Frequencies are of all carriers, passed or not."""
     table = spark.createDataFrame(rules.DEFAULT_RULES, rules.RULE)
     dealt = spectrum.tasks(view(spark, d, "link"), view(spark, d, "variant"))
-    carriers = rules.marked(judged_spectrum(spark, d, dealt)).select("sample_id", *spectrum.KEY, "passed")
+    carriers = rules.marked(judged_spectrum(spark, d, dealt, counted=False)).select("sample_id", *spectrum.KEY, "passed")
     passed = spectrum.with_frequency(carriers, view(spark, d, "sample"), dealt[1]).where("passed").drop("passed")
     return rules.detailed(changes(spark, d, passed).select(*NOTED, "population_frequency"), table)
 

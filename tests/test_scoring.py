@@ -128,6 +128,28 @@ def test_frequencies_stay_with_their_carriers(spark):
     assert got.rdd.getNumPartitions() == 5
 
 
+def test_any_depth_is_found_without_counting(spark):
+    """Repeats on all sides: the same five-tuples and best scores as those that are counted, and depth 1 where that is more than 0."""
+    links, variants, alignments, *_ = carried_rows(spark)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    counted = rules.with_evidence(links, variants, alignments)
+    got = rules.with_evidence(links, variants, alignments, counted=False)
+    assert counted.where("depth > 1").count() and counted.where("depth = 0").count()
+    assert rows(got) == rows(counted.selectExpr("sample_id", *spectrum.KEY, "least(depth, 1) as depth", "best_score"))
+
+
+def test_first_features_of_sites(spark):
+    """Each site once, with what annotate_first gives it: features that overlap or reach over bins, of other references, none, and null positions."""
+    variants = spark.createDataFrame([(r, p) for r in (0, 1) for p in (*range(0, 300, 7), 49, 50, None)] * 2, "reference_id int, ref_pos int")
+    annotations = [(5, 0, 10, 130, "exon", "a"), (3, 0, 100, 110, "intron", "b"), (4, 1, 50, 50, "UTR", None), (9, 0, 105, 299, "exon", "c"), (1, 2, 0, 300, "exon", "d")]
+    annotations = spark.createDataFrame(annotations, "annotation_id int, reference_id int, start_pos int, end_pos int, feature_type string, gene_name string")
+    columns = ["reference_id", "ref_pos", "annotation_id", "start_pos", "feature_type", "gene_name"]
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select(columns).collect())
+    got = spectrum.first_features(variants, annotations)
+    assert rows(got) == rows(spectrum.annotate_first(variants.distinct(), annotations)) and got.where("feature_type = 'intron'").count() == 1
+    assert plan_of(got).count("Aggregate [ref_pos") + plan_of(got).count("Aggregate [reference_id") <= 2
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
