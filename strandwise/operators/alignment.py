@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import translate_codon
 
-#: Scores of equal bases, of other bases and of a gap; the cells above which only regions around seeds are aligned.
+#: Scores of equal bases, of other bases and of a gap; the cells of a matrix that are traced at a time, about.
 MATCH, MISMATCH, GAP, CELLS = 2, -1, -2, 5_000_000
-#: Seeds of a query at most, and the part of the best score that an alignment needs to be kept.
-SEEDS, KEEP = 10, 0.8
+#: Fixed value: the part of the best score that an alignment needs to be kept.
+KEEP = 0.8
 #: What a traceback cell says: where the best score comes from, ties in this order.
 STOP, BOTH, QUERY, REFERENCE = 0, 1, 2, 3
 #: Letters of a reference that are scored at a time.
@@ -75,7 +76,8 @@ def _local(query: np.ndarray, ref: np.ndarray) -> tuple:
     """The first best local alignment in row order, rows being the query's bases: the fields of ALIGNED.
 
     A row is one vector step: what a gap along the row can bring is a running maximum, as each base of it costs the same. In a long reference
-    the end is found first; then only what an alignment to there, and all that its cells are compared with, can reach is traced.
+    the end is found first; then only what an alignment to there, and all that its cells are compared with, can reach is traced. Every step-th
+    row is kept, and the rows between two of them are scored again where the trace meets them.
     """
     if len(ref) > 2 * TILE:
         score, _, j = _end(query, ref)
@@ -86,59 +88,51 @@ def _local(query: np.ndarray, ref: np.ndarray) -> tuple:
             _, qs, qe, rs, re, x, y = _local(query, ref[left:j])
             return score, qs, qe, rs + left, re + left, x, y
     slope = -GAP * np.arange(len(ref) + 1)
-    came = np.zeros((len(query) + 1, len(ref) + 1), np.uint8)
-    above, best, end = np.zeros(len(ref) + 1, np.int64), 0, (0, 0)
-    for i, base in enumerate(query, 1):
-        both, down = np.zeros_like(above), np.maximum(above + GAP, 0)
-        both[1:] = above[:-1] + np.where(ref == base, MATCH, MISMATCH)
-        down[0] = 0
-        row = np.maximum.accumulate(np.maximum(both, down) + slope) - slope
-        came[i] = np.select([row == 0, row == both, row == above + GAP], [STOP, BOTH, QUERY], REFERENCE)
-        j = int(row.argmax())
-        if row[j] > best:
-            best, end = int(row[j]), (i, j)
-        above = row
+    step = max(CELLS // (len(ref) + 1), math.isqrt(len(query)) + 1)
+    above, best, end, kept = np.zeros(len(ref) + 1, np.int64), 0, (0, 0), []
+    for i, base in enumerate(query):
+        if i % step == 0:
+            kept.append(above)
+        above = _row(above, base, ref, slope)[0]
+        j = int(above.argmax())
+        if above[j] > best:
+            best, end = int(above[j]), (i + 1, j)
     if not best:
         return 0, 0, 0, 0, 0, "", ""
     i, j = end
     q, r = [], []
-    while came[i, j] != STOP:
-        from_query, from_ref = came[i, j] != REFERENCE, came[i, j] != QUERY
+    came: list[np.ndarray] = []
+    first = i  # came has the rows after it
+    while i:
+        if i <= first:
+            first = (i - 1) // step * step
+            above, came = kept[first // step], []
+            for base in query[first:i]:
+                row, *ways = _row(above, base, ref, slope)
+                came.append(np.select([row == 0, row == ways[0], row == ways[1]], [STOP, BOTH, QUERY], REFERENCE).astype(np.uint8))
+                above = row
+        way = came[i - first - 1][j]
+        if way == STOP:
+            break
+        from_query, from_ref = way != REFERENCE, way != QUERY
         i, j = i - from_query, j - from_ref
         q.append(query[i] if from_query else ord("-"))
         r.append(ref[j] if from_ref else ord("-"))
     return best, int(i), end[0] - 1, int(j), end[1] - 1, "".join(map(chr, q[::-1])), "".join(map(chr, r[::-1]))
 
 
-def _seeded(query: str, ref: str, width: int) -> list[int]:
-    """Where the query may begin in ref: shared words of it less their place, those within two query lengths as one."""
-    places = range(0, len(query) - width + 1, max(1, (len(query) - width + 1) // SEEDS))
-    words = list({query[p : p + width]: p for p in reversed(places)}.items())
-    at = []
-    for word, place in sorted(words, key=lambda w: w[1])[:SEEDS]:
-        hit = ref.find(word)
-        while hit >= 0:
-            at.append(hit - place)
-            hit = ref.find(word, hit + 1)
-    at = np.sort(np.array(at, np.int64))
-    groups = np.split(at, np.flatnonzero(np.diff(at) > 2 * len(query)) + 1) if len(at) else []
-    return [int(g[0] + g[-1]) // 2 for g in groups]
+def _row(above: np.ndarray, base: int, ref: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of scores of a base below the row above, and what both bases and a gap in ref bring to its cells."""
+    both, gap = np.zeros_like(above), above + GAP
+    both[1:] = above[:-1] + np.where(ref == base, MATCH, MISMATCH)
+    down = np.maximum(gap, 0)
+    down[0] = 0
+    return np.maximum.accumulate(np.maximum(both, down) + slope) - slope, both, gap
 
 
 def local_alignment(query: str, ref: str) -> tuple:
-    """The fields of ALIGNED for one pair; large pairs only in regions around seeds, and whole if these show nothing."""
-    q, r = letters(query), letters(ref)
-    if len(q) * len(r) > CELLS:
-        width = min(20, max(11, len(q) // 20))
-        begins = (len(q) < width and [0]) or _seeded(query, ref, width) or _seeded(query, ref, max(7, width // 2))
-        around, found = max(len(q) // 2, 50), []
-        for b in begins:
-            left = max(0, b - around)
-            score, qs, qe, rs, re, x, y = _local(q, r[left : b + len(q) + around])
-            found.append((score, qs, qe, rs + left, re + left, x, y))
-        if found and max(f[0] for f in found) >= 5 * MATCH:
-            return max(found, key=lambda f: f[0])
-    return _local(q, r)
+    """The fields of ALIGNED for one pair: the best of its whole matrix, however large the pair is."""
+    return _local(letters(query), letters(ref))
 
 
 def align(queries: DataFrame, references: DataFrame) -> DataFrame:

@@ -49,6 +49,23 @@ def test_large_pairs_align_around_seeds(monkeypatch):
     assert alignment.local_alignment("ACGT" * 5, "T" * 50) == plain_alignment("ACGT" * 5, "T" * 50)
 
 
+def test_large_pairs_align_as_small_ones_do(monkeypatch):
+    """The best alignment shares no whole word with its query where a worse one does: a pair's size must not decide which is found."""
+    rng = random.Random(14)
+    q = "".join(rng.choice("ACGT") for _ in range(220))
+    best = "".join("ACGT"["ACGT".index(b) - 1] if k % 7 == 3 else b for k, b in enumerate(q))
+    ref = q[:30] + "".join(rng.choice("ACGT") for _ in range(700)) + best + "".join(rng.choice("ACGT") for _ in range(100))
+    want = plain_alignment(q, ref)
+    assert want[3] > 700
+    assert alignment.local_alignment(q, ref) == want
+    monkeypatch.setattr(alignment, "CELLS", 1000)  # a few rows at a time, and scored as more cells than these
+    assert alignment.local_alignment(q, ref) == want
+    monkeypatch.undo()
+    far = "".join(rng.choice("ACGT") for _ in range(30_000))
+    score, *_, start, end, x, y = alignment.local_alignment(q, far + ref)
+    assert len(q) * len(far + ref) > alignment.CELLS and (score, start, end, x, y) == (want[0], want[3] + 30_000, want[4] + 30_000, *want[5:])
+
+
 def test_align_and_call(spark):
     ref = "ACGTTGCAAGGCTTAACCGGATATCGCGTTAAGCCTAGGA"
     cases = {1: ref[:10] + "T" + ref[11:], 2: ref[:20] + "GGG" + ref[20:], 3: ref[:20] + ref[23:], 4: None, 5: "", 6: ref.lower()}
