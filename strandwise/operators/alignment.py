@@ -180,25 +180,30 @@ BATCH, LONGEST = 50, 1000
 
 
 def batch_results(items: DataFrame, references: DataFrame) -> DataFrame:
-    """A row for each item (batch_id, order_index, query) with status and error, and the best alignment of one that is completed.
+    """A row for each item (batch_id, order_index, query) with status and error, aligned, and the best alignment of one that has any.
 
-    A batch of over BATCH items, or with a query of over LONGEST bases, is rejected whole, before anything is aligned; a null query
-    fails by itself. Of equal scores the least reference_id is best; a query that aligns nowhere is completed with nulls. Items of one
+    A batch of over BATCH items, or with a query of over LONGEST bases, is rejected whole, before anything is aligned; a null query, an item
+    without batch or place, and other queries for one place fail by themselves. Of equal scores the least reference_id is best; a query that aligns
+    nowhere is completed, with nulls. aligned is true only where a row has an alignment, so that none else is taken for one. Equal items of one
     batch and place are one item. Sizes come from one count for each batch, so that no batch is held by a task.
     """
-    items = items.select("batch_id", "order_index", "query").dropDuplicates(["batch_id", "order_index"])
-    sizes = items.groupBy("batch_id").agg(F.count("*").alias("__n"), F.max(F.length("query")).alias("__longest"))
+    place, score = ["batch_id", "order_index"], ("reference_id", "ref_start", "ref_end", "query_start", "query_end", "cigar")
+    several = (F.min("query") != F.max("query")) | (F.count("query").between(1, F.count("*") - 1))
+    items = items.groupBy(*place).agg(F.min("query").alias("query"), F.max(F.length("query")).alias("__length"), F.coalesce(several, F.lit(False)).alias("__several"))
+    sizes = items.groupBy(F.col("batch_id").alias("__batch")).agg(F.count("*").alias("__n"), F.max("__length").alias("__longest"))
+    checked = items.join(sizes, F.col("batch_id").eqNullSafe(F.col("__batch")))
+    large, long = F.col("__n") > BATCH, F.coalesce(F.col("__longest") > LONGEST, F.lit(False))
     error = (
-        F.when(F.col("__n") > BATCH, f"over {BATCH} queries").when(F.col("__longest") > LONGEST, f"a query of over {LONGEST} bases")
-        .when(F.col("query").isNull(), "no query")
+        F.when(large, f"over {BATCH} queries").when(long, f"a query of over {LONGEST} bases")
+        .when(F.col("batch_id").isNull() | F.col("order_index").isNull(), "no batch or place").when(F.col("__several"), "several queries for one place").when(F.col("query").isNull(), "no query")
     )
-    status = F.when((F.col("__n") > BATCH) | (F.col("__longest") > LONGEST), "rejected").when(F.col("query").isNull(), "failed").otherwise("completed")
-    checked = items.join(sizes, "batch_id").withColumn("status", status).withColumn("error", error).drop("__n", "__longest")
-    todo = checked.where("status = 'completed'").select(F.struct("batch_id", "order_index").alias("query_id"), "query")
-    best = F.min(F.struct((-F.col("score")).alias("__score"), "reference_id", "ref_start", "ref_end", "query_start", "query_end", "cigar")).alias("b")
+    status = F.when(large | long, "rejected").when(error.isNotNull(), "failed").otherwise("completed")
+    checked = checked.select(*place, "query", status.alias("status"), error.alias("error"))
+    todo = checked.where("status = 'completed'").select(F.struct(*place).alias("query_id"), "query")
+    best = F.min(F.struct((-F.col("score")).alias("__score"), *score)).alias("b")
     top = align(todo, references).where("score > 0").groupBy("query_id").agg(best)
-    found = top.select("query_id.*", (-F.col("b.__score")).alias("score"), *[f"b.{c}" for c in ("reference_id", "ref_start", "ref_end", "query_start", "query_end", "cigar")])
-    return checked.drop("query").join(found, ["batch_id", "order_index"], "left")
+    found = top.select("query_id.*", (-F.col("b.__score")).alias("score"), *[f"b.{c}" for c in score])
+    return checked.drop("query").join(found, place, "left").withColumn("aligned", F.col("score").isNotNull())
 
 
 def called_variants(aligned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.operators import alignment, cohort, control, factors, signatures, trees
+from strandwise.plans import histories
 
 SPECTRUM = "sample_id bigint, reference_id bigint, ref_pos bigint, variant_type string, ref_base string, alt_base string"
 
@@ -139,6 +140,21 @@ def test_batches(spark):
             assert (r.score, r.reference_id) == ((-best[0], best[1]) if best[0] else (None, None))
 
 
+def test_failures_of_a_batch_are_told_from_results(spark, tmp_path):
+    """Items without a place and places with several queries fail and are there; what has no alignment isn't aligned; no probe is left out for the size of its batch."""
+    bases = "GATTACAGCATGCCGTTAGCATTGACCGATACGGATCCATTGACGAT"
+    references = spark.createDataFrame([(1, bases)], "reference_id int, bases string")
+    items = [(0, 0, bases[:9]), (0, 0, bases[5:20]), (0, None, bases[:9]), (None, 3, bases[:9]), (0, 4, bases[:9]), (0, 4, None), (0, 5, "N"), (0, 6, bases[:9]), (0, 6, bases[:9])]
+    got = {(r.batch_id, r.order_index): (r.status, r.error, r.score, r.aligned) for r in alignment.batch_results(spark.createDataFrame(items, "batch_id int, order_index int, query string"), references).collect()}
+    several, nowhere = ("failed", "several queries for one place", None, False), ("failed", "no batch or place", None, False)
+    assert got == {(0, 0): several, (0, None): nowhere, (None, 3): nowhere, (0, 4): several, (0, 5): ("completed", None, None, False), (0, 6): ("completed", None, 18, True)}
+
+    spark.range(1500).selectExpr("id as item_id", "substr('acgtacgtta', cast(id % 5 + 1 as int), 6) as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(20).selectExpr("id as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = histories.batch_alignments(spark, str(tmp_path)).collect()
+    assert len(rows) == 1500 and {r.status for r in rows} == {"completed"} and all(r.aligned for r in rows)
+
+
 RULES = "rule_set_id bigint, rule_id bigint, rule_index int, rule_type string, min_alignment_score int, min_coverage_depth int, edge_margin int"
 
 
