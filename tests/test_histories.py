@@ -219,3 +219,24 @@ def test_coded_variants_of_edges_equal_sets(spark):
     pairs = spark.createDataFrame([*want, (31, 32)], "source long, target long")
     got = {tuple(r) for r in cohort.edge_variants(df, pairs).collect()}
     assert got == {(a, b, *k) for a, b in want for k in have[b] - have[a]} | {(31, 32, *k) for k in have[32]}
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have shuffled."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_of_a_chain_bring_arrays_not_rows(spark):
+    """Nested samples, each pair of which shares many variants: a variant is shuffled for its sample, not for every pair that has it."""
+    rows = [(s, 0, p, "SNP", "A", "C") for s in range(40) for p in range(10 * (s + 1))]
+    df = spark.createDataFrame(rows, SPECTRUM)
+    samples = spark.sql("select id sample_id, date_add(date'2020-01-01', cast(id as int)) collection_date from range(40)")
+    own, known = cohort.coded(df, df)
+    before = shuffled_rows(spark)
+    edges = cohort.coded_edges(own, samples)
+    assert {tuple(r) for r in edges.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    assert shuffled_rows(spark) - before < 3 * len(rows)  # all pairs share 106,600 variants
+    few = spark.createDataFrame([(0, 39), (38, 39), (50, 1)], "source long, target long")
+    assert sorted(r.ref_pos for r in cohort.coded_edge_variants(own, known, few).collect()) == sorted([*range(10, 400), *range(390, 400), *range(20)])
