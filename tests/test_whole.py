@@ -225,3 +225,17 @@ def test_matches_and_sequences_are_whole(spark, tmp_path):
     tm = genomics.QUERIES["melting_temperature"](spark, str(tmp_path)).collect()
     assert {(r.sequence_id, r.place, r.primer) for r in tm} == {(i, p + 1, t[p : p + 24]) for i, t in enumerate(texts) for p in range(max(1, len(t) - 23))}
     assert all(r.tm is not None for r in tm)
+
+
+def test_loci_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    """A reference with twice the loci sends each of them as often: strips get wider, not more."""
+    monkeypatch.setattr(linkage, "TILE", 2)
+    monkeypatch.setattr(linkage, "STRIP", 1)
+    monkeypatch.setattr(linkage, "STRIPS", 4)
+    samples = spark.range(6).withColumnRenamed("id", "sample_id")
+    for n in (40, 80):
+        rows = [(s, ref, pos, "SNP") for ref in range(2) for pos in range(n >> ref) for s in range(6) if s < 1 + pos % 5]
+        of = linkage.loci(spark.createDataFrame(rows, "sample_id long, reference_id int, ref_pos long, variant_type string"), samples)
+        assert linkage._met(of, 1).count() <= 3 * (n + n // 2)  # a strip of every tile would send 5 or more
+        pairs = {(r.reference_id, r.i, r.j) for r in linkage.ld_pairs(of).collect()}
+        assert pairs == {(ref, i, j) for ref in range(2) for i in range(n >> ref) for j in range(i + 1, n >> ref)}
