@@ -360,3 +360,25 @@ def test_best_matches_ship_no_pairs(spark):
     assert got == {(i, n + 1): (j, pytest.approx(cosine[i, j], abs=1e-9)) for i in range(700) for n, j in enumerate(first[i].tolist())}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_windows_that_cannot_win_are_not_scored(monkeypatch):
+    """Of an anchor's windows on both strands, those that could at most reach less than the best one are left out; anchors are placed as by whole alignments."""
+    rng = random.Random(31)
+    text = bases(rng, 3000)
+    changed = [text[i : i + 15] + ("A" if text[i + 15] != "A" else "C") + text[i + 16 : i + 32] for i in range(40, 2900, 200)]
+    wanted = [other_strand(x) if k % 3 == 0 else x for k, x in enumerate(changed)] + [bases(rng, 32)]
+    jobs, score = [], synteny.best_scores
+    monkeypatch.setattr(synteny, "best_scores", lambda some: jobs.extend(some) or score(some))
+    placed = synteny.place_anchors(wanted, text, 1.5)
+    index = synteny.SeedIndex(text)
+    shared, gaps = synteny.anchor_bounds(32, 1.5)
+    windows = sum(len(index.windows(q, shared, gaps)) for x in wanted[:-1] for q in (x, other_strand(x)))
+    mine = {q for x in wanted[:-1] for q in (x, other_strand(x))}
+    assert sum(q in mine for q, _ in jobs) <= 2 * len(wanted) < windows
+    for x, hit in zip(wanted, placed, strict=True):
+        one, two = plain_alignment(x, text), plain_alignment(other_strand(x), text)
+        best, direction = (two, "-") if two[0] > one[0] else (one, "+")
+        assert hit == ((best[3], best[4], best[0], direction) if best[0] >= 48 else None)
+    pairs = [(bases(rng, 32), bases(rng, n)) for n in (1, 5, 33, 90, 200)]
+    assert score(pairs).tolist() == [plain_alignment(*p)[0] for p in pairs]
