@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignment import GAP as GAP_SCORE
 from .alignment import MATCH, local_alignment
-from .synteny import WORD, SeedIndex, reverse_complement
+from .synteny import WORD, SeedIndex, best_scores, reverse_complement
 
 #: Bases beside a target, lengths, GC per cent and melting temperatures of primers, the temperature to be near to.
 FLANK, LENGTHS, GC, TM, OPTIMAL = 200, (18, 25), (40.0, 60.0), (55.0, 65.0), 60.0
@@ -216,20 +217,25 @@ def best_pairs(targets: DataFrame, references: DataFrame) -> DataFrame:
     return at.mapInArrow(run, f"{ids}, rank int, forward {one}, reverse {one}, amplicon_length bigint, avg_tm_deviation double, tm_difference double")
 
 
-def sites_of(primer: str, index: SeedIndex) -> list[tuple[int, int, int, int, int]]:
+def shared_words(primer: str) -> int:
+    """Words that a site has in common with its primer at least: up to ERRORS bases at the ends and ERRORS errors leave so many whole."""
+    return len(primer) - WORD + 1 - ERRORS * WORD - ERRORS
+
+
+def sites_of(primer: str, index: SeedIndex, windows: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int, int, int]]:
     """(start, end, mismatches, gaps, score) of each site: an alignment of all but ERRORS of the primer's bases or more with at most ERRORS errors.
 
-    Sites are taken best first; where one is, nothing within two bases of it is looked at again. Up to ERRORS bases at the ends and
-    ERRORS errors leave so many words whole that all sites are within the windows.
+    Sites are taken best first; where one is, nothing within two bases of it is looked at again. All sites are within the index's windows,
+    and where fewer words are left than a site has in common with its primer, none is.
     """
-    shared = len(primer) - WORD + 1 - ERRORS * WORD - ERRORS
+    shared, plain = shared_words(primer), not primer.strip("ACGT")
     out = []
-    for lo, hi in index.windows(primer, shared, ERRORS):
+    for lo, hi, _ in index.windows_of([primer], [shared], ERRORS)[0] if windows is None else windows:
         text = index.text[lo:hi]
         while True:
             if (start := text.find(primer)) >= 0:
                 end, other, gaps, score = start + len(primer) - 1, 0, 0, MATCH * len(primer)
-            elif SeedIndex(text).windows(primer, shared, ERRORS):
+            elif (not plain or sum(max(0, len(run) - WORD + 1) for run in text.split("N")) >= shared) and SeedIndex(text).windows(primer, shared, ERRORS):
                 score, _, _, start, end, query, ref = local_alignment(primer, text)
                 gaps = query.count("-") + ref.count("-")
                 other = sum(x != y for x, y in zip(query, ref, strict=True)) - gaps
@@ -243,6 +249,26 @@ def sites_of(primer: str, index: SeedIndex) -> list[tuple[int, int, int, int, in
     return sorted(out)
 
 
+def scored_windows(asked: list[tuple[str, SeedIndex, list[tuple[int, int, int]]]]) -> list[list[tuple[int, int, int]]]:
+    """Of the windows of each (primer, index, windows), those that can have a site: many are scored at a time.
+
+    A site has all but ERRORS of the primer's bases as columns, of which ERRORS at most are gaps, the worst of errors.
+    """
+    out: list[list[tuple[int, int, int]]] = [[] for _ in asked]
+    jobs: dict[int, list[tuple[int, tuple[int, int, int], str]]] = {}
+    for k, (primer, index, windows) in enumerate(asked):
+        for w in windows:
+            jobs.setdefault(len(primer), []).append((k, w, index.text[w[0] : w[1]]))
+    for size, own in jobs.items():
+        far = [x for x in own if asked[x[0]][0] not in x[2]]
+        least = MATCH * (size - 2 * ERRORS) + GAP_SCORE * ERRORS
+        drop = {(k, w) for (k, w, _), score in zip(far, best_scores([(asked[k][0], text) for k, _, text in far]).tolist(), strict=True) if score < least}
+        for k, w, _ in own:
+            if (k, w) not in drop:
+                out[k].append(w)
+    return out
+
+
 def binding_sites(primers: DataFrame, references: DataFrame) -> DataFrame:
     """(reference_id, sequence, ref_start, ref_end, mismatches, gaps, score): every site of each distinct primer (reference_id, sequence) on its reference.
 
@@ -259,12 +285,15 @@ def binding_sites(primers: DataFrame, references: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             row, made = [], []
+            asked, own = [], []
             for k, (primers, bases) in enumerate(zip(rb["primers"].to_pylist(), rb["bases"].to_pylist(), strict=True)):
                 index = SeedIndex(bases or "")
-                for p in primers:
-                    for site in sites_of(p, index):
-                        row.append(k)
-                        made.append((p, *site))
+                asked += [(p, index, windows) for p, windows in zip(primers, index.windows_of(primers, [shared_words(p) for p in primers], ERRORS), strict=True)]
+                own += [k] * len(primers)
+            for k, (p, index, _), windows in zip(own, asked, scored_windows(asked), strict=True):
+                for site in sites_of(p, index, windows):
+                    row.append(k)
+                    made.append((p, *site))
             if made:
                 columns = list(zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([rb["reference_id"].take(pa.array(row)), pa.array(columns[0]), *[pa.array(c, t) for c, t in zip(columns[1:], fields.values(), strict=True)]],

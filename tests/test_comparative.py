@@ -382,3 +382,20 @@ def test_windows_that_cannot_win_are_not_scored(monkeypatch):
         assert hit == ((best[3], best[4], best[0], direction) if best[0] >= 48 else None)
     pairs = [(bases(rng, 32), bases(rng, n)) for n in (1, 5, 33, 90, 200)]
     assert score(pairs).tolist() == [plain_alignment(*p)[0] for p in pairs]
+
+
+def test_windows_without_a_site_are_dropped(spark):
+    """Windows that share words by chance are told by their score, for many primers at a time; none that has a site is dropped."""
+    rng = random.Random(32)
+    text = bases(rng, 12_000)
+    wanted = [bases(rng, 18 + k % 8) for k in range(40)] + [text[k * 300 : k * 300 + 9] + text[k * 300 + 10 : k * 300 + 22] for k in range(20)]
+    wanted += [text[k * 301 : k * 301 + 7] + "N" + text[k * 301 + 8 : k * 301 + 20] for k in range(10)]
+    index = synteny.SeedIndex(text)
+    windows = index.windows_of(wanted, [primers.shared_words(p) for p in wanted], primers.ERRORS)
+    assert windows == [index.windows_of([p], [primers.shared_words(p)], primers.ERRORS)[0] for p in wanted]
+    kept = primers.scored_windows([(p, index, w) for p, w in zip(wanted, windows, strict=True)])
+    sites = [primers.sites_of(p, index, w) for p, w in zip(wanted, kept, strict=True)]
+    assert sites == [primers.sites_of(p, index) for p in wanted] and sum(map(len, sites)) >= 30
+    assert sum(map(len, windows)) - sum(map(len, kept)) >= 20  # by chance
+    got = primers.binding_sites(spark.createDataFrame([(1, p) for p in wanted], "reference_id int, sequence string"), spark.createDataFrame([(1, text)], "reference_id int, bases string"))
+    assert {(r.sequence, r.ref_start, r.ref_end, r.mismatches, r.gaps, r.score) for r in got.collect()} == {(p, *s) for p, of in zip(wanted, sites, strict=True) for s in of}
