@@ -239,3 +239,16 @@ def test_loci_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
         assert linkage._met(of, 1).count() <= 3 * (n + n // 2)  # a strip of every tile would send 5 or more
         pairs = {(r.reference_id, r.i, r.j) for r in linkage.ld_pairs(of).collect()}
         assert pairs == {(ref, i, j) for ref in range(2) for i in range(n >> ref) for j in range(i + 1, n >> ref)}
+
+
+def test_blocks_send_no_loci_through_the_driver(spark):
+    """Tables of loci and of blocks are merged, not broadcast, in the steps as in the result."""
+    rng = random.Random(10)
+    rows = [(s, ref, pos, "SNP") for ref in range(2) for pos in range(50) for s in range(8) if s < 4 + pos // 9 % 2 or rng.random() < 0.1]
+    of = linkage.loci(spark.createDataFrame(rows, "sample_id long, reference_id int, ref_pos long, variant_type string"), spark.range(8).withColumnRenamed("id", "sample_id"))
+    jobs = spark.sparkContext._jsc.sc().statusStore().jobsList(None)
+    seen = max(jobs.apply(k).jobId() for k in range(jobs.size()))
+    assert linkage.haplotype_blocks(of, 0.5).count() > 2
+    jobs = spark.sparkContext._jsc.sc().statusStore().jobsList(None)
+    made = [j.jobTags().mkString(" ") + j.name() for j in (jobs.apply(k) for k in range(jobs.size())) if j.jobId() > seen]
+    assert len(made) > 5 and not any("broadcast" in text.lower() for text in made)
